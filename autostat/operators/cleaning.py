@@ -187,9 +187,13 @@ def clean(
     keep_typed: Sequence[str] = (),
     never_filter: Sequence[str] = (),
     filter_outliers: bool = True,
+    carry: Sequence[str] = (),
 ) -> Cleaned:
-    """Types, then missing values, then outliers; the log lists every action in order."""
-    typed = convert_types(df.select(*columns), columns, keep_typed)
+    """Types, then missing values, then outliers; the log lists every action in order.
+
+    `carry` columns (segment and subject keys) are kept as they are.
+    """
+    typed = convert_types(df.select(*columns, *carry), columns, keep_typed)
     filled = fill_missing(typed.frame, columns, typed.types)
     numeric = [c for c in columns if typed.types[c] == "numerical" and c not in never_filter]
     log = typed.log + filled.log
