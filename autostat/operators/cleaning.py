@@ -69,7 +69,7 @@ def convert_types(df: DataFrame, columns: Sequence[str], keep_typed: Sequence[st
         elif lost.get(c):
             types[c] = "numerical"
             cast[c] = number(df, c)
-            log.append(log_row("types", c, "converted to number"))
+            log.append(log_row("types", c, "converted to number", 0))
         else:
             types[c] = "categorical"
             cast[c] = F.nullif(F.col(c).cast("string"), F.lit("nan"))
