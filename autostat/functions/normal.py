@@ -43,46 +43,63 @@ FAR_TAIL = (
 
 
 def polynomial(coefficients, x):
-    """Value of a polynomial, highest order first; x may be a Column or an array."""
+    """Value of a polynomial, highest order first."""
     total = x * coefficients[0] + coefficients[1]
     for c in coefficients[2:]:
         total = total * x + c
     return total
 
 
+def polynomial_sql(coefficients, x: str) -> str:
+    """The same as SQL text; parsed once, it is far cheaper to build than one Column per operation."""
+    text = f"{coefficients[0]!r}D"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}D)"
+    return text
+
+
 def _far_fraction(size):
     return size + 1 / (size + 2 / (size + 3 / (size + 4 / (size + 0.65))))
 
 
-def upper_tail(z: Column) -> Column:
-    """P(Z > z)."""
-    size = F.abs(z)
-    bell = F.exp(size * size * -0.5)
-    near = bell * polynomial(TAIL_TOP, size) / polynomial(TAIL_BOTTOM, size)
-    far = bell / _far_fraction(size) / ROOT_TWO_PI
-    tail = F.when(size > 37, F.lit(0.0)).when(size < TAIL_SPLIT, near).otherwise(far)
-    return F.when(z > 0, tail).otherwise(1 - tail)
+def upper_tail_sql(z: str) -> str:
+    size = f"abs({z})"
+    bell = f"exp(-0.5D * {z} * {z})"
+    near = f"{bell} * {polynomial_sql(TAIL_TOP, size)} / {polynomial_sql(TAIL_BOTTOM, size)}"
+    fraction = f"({size} + 1 / ({size} + 2 / ({size} + 3 / ({size} + 4 / ({size} + 0.65D)))))"
+    tail = (
+        f"CASE WHEN {size} > 37 THEN 0D WHEN {size} < {TAIL_SPLIT!r}D THEN {near} "
+        f"ELSE {bell} / {fraction} / {ROOT_TWO_PI!r}D END"
+    )
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 0 THEN {tail} ELSE 1 - {tail} END"
+
+
+def upper_tail(z: str) -> Column:
+    """P(Z > z) of the column named `z`."""
+    return F.expr(upper_tail_sql(z))
+
+
+def cumulative(z: str) -> Column:
+    """P(Z <= z) of the column named `z`."""
+    return 1 - F.expr(upper_tail_sql(z))
 
 
-def cumulative(z: Column) -> Column:
-    """P(Z <= z)."""
-    return upper_tail(-z)
+def two_sided(z: str) -> Column:
+    return F.least(F.expr(upper_tail_sql(f"abs({z})")) * 2, F.lit(1.0))
 
 
-def two_sided(z: Column) -> Column:
-    return F.least(upper_tail(F.abs(z)) * 2, F.lit(1.0))
+def quantile(p: str) -> Column:
+    """z with P(Z <= z) = p, for the column named `p` within (0, 1)."""
+    q, r = f"({p} - 0.5D)", f"(0.180625D - ({p} - 0.5D) * ({p} - 0.5D))"
+    near, far = f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6D)", f"(sqrt(-ln(least({p}, 1 - {p}))) - 5D)"
 
+    def fraction(table, x):
+        return f"{polynomial_sql(table[0][::-1], x)} / {polynomial_sql(table[1][::-1], x)}"
 
-def quantile(p: Column) -> Column:
-    """z with P(Z <= z) = p, for 0 < p < 1."""
-    q = p - 0.5
-    r = F.lit(0.180625) - q * q
-    centre = q * polynomial(CENTRE[0][::-1], r) / polynomial(CENTRE[1][::-1], r)
-    s = F.sqrt(-F.log(F.least(p, 1 - p)))
-    near = polynomial(SHOULDER[0][::-1], s - 1.6) / polynomial(SHOULDER[1][::-1], s - 1.6)
-    far = polynomial(FAR_TAIL[0][::-1], s - 5.0) / polynomial(FAR_TAIL[1][::-1], s - 5.0)
-    outer = F.when(s <= 5, near).otherwise(far)
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * outer)
+    return F.expr(
+        f"CASE WHEN abs({q}) <= 0.425D THEN {q} * {fraction(CENTRE, r)} "
+        f"WHEN {near} <= 3.4D THEN sign({q}) * {fraction(SHOULDER, near)} ELSE sign({q}) * {fraction(FAR_TAIL, far)} END"
+    )
 
 
 def upper_tail_array(z: np.ndarray) -> np.ndarray:

@@ -30,14 +30,16 @@ LOG_SCHEMA = (
 
 @dataclass
 class Cleaned:
-    """A cleaned frame and what was done to it."""
+    """A cleaned frame and what was done to it. `late` holds log rows that cost a job, run when the log is read."""
 
     frame: DataFrame
     types: dict[str, str]
     log: list[Row] = field(default_factory=list)
+    late: DataFrame | None = None
 
     def log_frame(self) -> DataFrame:
-        return self.frame.sparkSession.createDataFrame(self.log, LOG_SCHEMA)
+        known = self.frame.sparkSession.createDataFrame(self.log, LOG_SCHEMA)
+        return known if self.late is None else known.unionByName(self.late)
 
 
 def log_row(step, column, action, n_rows=None, percent=None, lower=None, upper=None, imputed_value=None) -> Row:
@@ -164,21 +166,25 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], simultaneous: bool = False
             bounds[c] = limits
             inside = F.col(c).between(*[F.lit(v) for v in limits])
             kept = kept.where(inside | F.col(c).isNull()) if df.schema[c].nullable else kept.where(inside)
-    log = []
-    if bounds:
-        # Rows removed at each step, counted in one scan of the unfiltered frame.
-        alive, outside = F.lit(True), []
-        for c, (low, high) in bounds.items():
-            out = F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
-            outside.append(F.count_if(alive & out))
-            alive = alive & ~out
-        removed = df.select(*outside).first()
-        for i, (c, (low, high)) in enumerate(bounds.items()):
-            if removed[i]:
-                log.append(log_row("outliers", c, "filter", removed[i], None, round(low, 4), round(high, 4)))
-            else:
-                log.append(log_row("outliers", c, "none", 0))
-    return Cleaned(kept, {c: "numerical" for c in columns}, log)
+    return Cleaned(kept, {c: "numerical" for c in columns}, [], _outlier_log(df, bounds) if bounds else None)
+
+
+def _outlier_log(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Rows removed at each step, counted in one scan of the unfiltered frame."""
+    alive, rows = F.lit(True), []
+    for c, (low, high) in bounds.items():
+        out = F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
+        n = F.count_if(alive & out)
+        alive = alive & ~out
+        rows.append(
+            F.struct(
+                F.lit("outliers").alias("step"), F.lit(c).alias("column"),
+                F.when(n > 0, "filter").otherwise("none").alias("action"), n.alias("n_rows"),
+                F.lit(None).cast("double").alias("percent"), F.when(n > 0, round(low, 4)).alias("lower"),
+                F.when(n > 0, round(high, 4)).alias("upper"), F.lit(None).cast("string").alias("imputed_value"),
+            )
+        )
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def clean(
@@ -200,4 +206,4 @@ def clean(
     if not (filter_outliers and numeric):
         return Cleaned(filled.frame, typed.types, log)
     within = iqr_filter(filled.frame, numeric)
-    return Cleaned(within.frame, typed.types, log + within.log)
+    return Cleaned(within.frame, typed.types, log, within.late)

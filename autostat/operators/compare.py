@@ -46,11 +46,12 @@ def pooled_effect(n1: Column, n2: Column, m1: Column, m2: Column, v1: Column, v2
     return F.coalesce(ratio(m1 - m2, pooled), F.lit(0.0))
 
 
-def rank_effect(p: Column, n: Column) -> Column:
-    """r = |z| / sqrt(n) from a two-sided p-value."""
-    floor = F.when(p == 0, SMALLEST_P).otherwise(p)
-    z = F.when(floor >= 1, 0.0).otherwise(F.abs(normal.quantile(F.least(floor, F.lit(1 - 1e-16)) / 2)))
-    return z / F.sqrt(n.cast("double"))
+def with_rank_effect(df: DataFrame, n: Column) -> DataFrame:
+    """Add `effect_size` r = |z| / sqrt(n), z being the normal quantile of p_value / 2."""
+    p = F.col("p_value")
+    half = F.when(p == 0, SMALLEST_P / 2).when(p < 1, p / 2).otherwise(0.5)
+    r = F.abs(normal.quantile("__half")) / F.sqrt(n.cast("double"))
+    return df.withColumn("__half", half).withColumn("effect_size", r)
 
 
 def _finish(df: DataFrame, keys: Sequence[str], test: str, parametric: bool, effect: str, alpha: float) -> DataFrame:
@@ -136,12 +137,12 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05)
     exact = (F.col("n") <= EXACT_PAIRS) & (F.col("ties") == 0) & (F.col("n") == F.col("pairs"))
     joined = join_on(join_on(ranks, middle, keys), medians, keys)
     p = F.when(exact, signed_rank_exact_p(F.when(exact, F.col("statistic")), F.when(exact, F.col("n")))).otherwise(
-        normal.two_sided(ratio(F.col("statistic") - total / 2, F.sqrt(spread)))
+        normal.two_sided("z")
     )
-    out = joined.withColumn("statistic", least).withColumn("p_value", p)
+    out = joined.withColumn("statistic", least).withColumn("z", ratio(F.col("statistic") - total / 2, F.sqrt(spread)))
+    out = with_rank_effect(out.withColumn("p_value", p), F.col("pairs") * 2)
     out = out.select(
         "*", F.lit(None).alias("df1"), F.lit(None).alias("df2"),
-        rank_effect(F.col("p_value"), F.col("pairs") * 2).alias("effect_size"),
         _higher("median1", "median2").alias("higher_group"),
         F.when(exact, "exact").otherwise("normal approximation").alias("method"),
     )
@@ -156,22 +157,21 @@ def rank_sums(ordered: DataFrame, group: str, keys: Sequence[str] = ()) -> DataF
     )
 
 
-def _u_columns() -> dict[str, Column]:
-    """U of group 1 and its two-sided p from n1, n2, r1 (rank sum of group 1) and ties."""
+def _with_u(df: DataFrame) -> DataFrame:
+    """Add U of group 1 (`statistic`), `z`, two-sided `p_value` and `method` from n1, n2, r1 (rank sum of group 1), ties."""
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    n = n1 + n2
-    u = F.col("r1") - n1 * (n1 + 1) / 2
-    top = F.greatest(u, n1 * n2 - u)
+    n, u = n1 + n2, F.col("statistic")
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - ratio(F.col("ties"), n * (n - 1))))
-    z = ratio(top - n1 * n2 / 2 - 0.5, sd)
+    df = df.withColumn("statistic", F.col("r1") - n1 * (n1 + 1) / 2)
+    df = df.withColumn("z", ratio(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd))
     exact = (F.least(n1, n2) <= EXACT_SMALLER_GROUP) & (F.col("ties") == 0) & (n1 * n2 <= EXACT_CELLS)
     table = rank_sum_exact_p(F.when(exact, u), F.when(exact, F.col("n1")), F.when(exact, F.col("n2")))
-    return {
-        "statistic": u,
-        "p_value": F.when(exact, table).otherwise(F.least(normal.upper_tail(z) * 2, F.lit(1.0))),
-        "method": F.when(exact, "exact").otherwise("normal approximation"),
-        "z": z,
-    }
+    return df.withColumns(
+        {
+            "p_value": F.when(exact, table).otherwise(F.least(normal.upper_tail("z") * 2, F.lit(1.0))),
+            "method": F.when(exact, "exact").otherwise("normal approximation"),
+        }
+    )
 
 
 def mann_whitney(sums: DataFrame, medians: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
@@ -181,10 +181,9 @@ def mann_whitney(sums: DataFrame, medians: DataFrame, group: str, keys: Sequence
         F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"),
     ).where("k = 2")
     middle = medians.groupBy(*keys).agg(*_two("median", group))
-    out = join_on(two, middle, keys).withColumns(_u_columns())
+    out = with_rank_effect(_with_u(join_on(two, middle, keys)), F.col("n1") + F.col("n2"))
     out = out.select(
         "*", F.lit(None).alias("df1"), F.lit(None).alias("df2"),
-        rank_effect(F.col("p_value"), F.col("n1") + F.col("n2")).alias("effect_size"),
         _higher("median1", "median2").alias("higher_group"),
     )
     return _finish(out, keys, "Mann-Whitney U Test", False, "r (Z/sqrt(N))", alpha)
@@ -279,7 +278,7 @@ def pairwise_mann_whitney(
     sums = rank_sums(ordered_counts(join_on(collapsed, member, at), y, seg, [group], weight="rows"), group, seg)
     one = sums.groupBy(*seg).agg(F.min_by("rank_sum", group).alias("r1"), F.sum("ties").alias("ties"))
     m = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    scored = join_on(join_on(pairs, one, seg), m, keys).withColumns(_u_columns())
+    scored = _with_u(join_on(join_on(pairs, one, seg), m, keys))
     corrected = F.least(F.col("p_value") * F.col("m"), F.lit(1.0))
     return scored.select(
         *keys, F.col("group1").cast("string").alias("group1"), F.col("group2").cast("string").alias("group2"),

@@ -55,7 +55,7 @@ def mediation(df: DataFrame, y: str, x: str, m: str, keys: Sequence[str] = (), a
         F.col("b") * F.col("b") * F.col("se_a") * F.col("se_a") + F.col("a") * F.col("a") * F.col("se_b") * F.col("se_b")
     )
     step = step.withColumn("sobel_z", F.coalesce(ratio(F.col("indirect"), down), F.lit(0.0)))
-    step = step.withColumn("sobel_p", normal.two_sided(F.col("sobel_z")))
+    step = step.withColumn("sobel_p", normal.two_sided("sobel_z"))
     direct = F.coalesce(F.col("p_c_prime") < alpha, F.lit(False))
     kind = F.when(F.col("sobel_p") >= alpha, "none").when(direct, "partial").otherwise("full")
     wanted = [f"{s}{p}" for p in ("a", "b", "c_prime", "c") for s in ("", "se_", "t_", "p_")]

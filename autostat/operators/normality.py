@@ -5,7 +5,7 @@ from __future__ import annotations
 import statistics
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autostat.functions import normal
@@ -66,32 +66,35 @@ def _weight_table(spark: SparkSession, limit: int) -> DataFrame:
     return spark.createDataFrame(rows, "wn long, wi long, running double")
 
 
-def shapiro_p(w: Column, n: Column) -> Column:
-    low = F.log(F.greatest(1 - w, F.lit(1e-19)))
-    gamma = normal.polynomial(SMALL_GAMMA[::-1], n.cast("double"))
-    small = (-F.log(F.greatest(gamma - low, F.lit(1e-300))) - normal.polynomial(SMALL_MEAN[::-1], n.cast("double"))) / F.exp(
-        normal.polynomial(SMALL_LOG_SD[::-1], n.cast("double"))
-    )
-    size = F.log(n.cast("double"))
-    large = (low - normal.polynomial(LARGE_MEAN[::-1], size)) / F.exp(normal.polynomial(LARGE_LOG_SD[::-1], size))
-    p = normal.upper_tail(F.when(n <= 11, small).otherwise(large))
-    return F.when((n <= 11) & (low >= gamma), 1e-99).otherwise(p)
-
-
-def lilliefors_p(d: Column, n: Column) -> Column:
-    n = n.cast("double")
+def _with_p(df: DataFrame, small_limit: int) -> DataFrame:
+    """Add `p_value` from the columns n, w (Shapiro-Wilk), d (Lilliefors) and flat."""
+    poly = normal.polynomial_sql
+    low, gamma, size = "ln(greatest(1 - w, 1e-19D))", f"({SMALL_GAMMA[1]!r}D * n + {SMALL_GAMMA[0]!r}D)", "ln(double(n))"
+    small = f"(-ln(greatest({gamma} - {low}, 1e-300D)) - {poly(SMALL_MEAN[::-1], 'n')}) / exp({poly(SMALL_LOG_SD[::-1], 'n')})"
+    large = f"({low} - {poly(LARGE_MEAN[::-1], size)}) / exp({poly(LARGE_LOG_SD[::-1], size)})"
     a, shift, b, c, e, f = TAIL_FIT
-    size = F.least(n, F.lit(100.0))
-    dist = F.when(n > 100, d * F.pow(n / 100, F.lit(0.49))).otherwise(d)
-    tail = F.exp(
-        a * dist * dist * (size + shift) + b * dist * F.sqrt(size + shift) + c + e / F.sqrt(size) + f / size
-    )
-    k = (F.sqrt(n) - 0.01 + 0.85 / F.sqrt(n)) * d
-    upper = F.when(k <= 0.302, 1.0)
-    for limit, fit in UPPER_FITS:
-        upper = upper.when(k <= limit, normal.polynomial(fit, k))
-    upper = upper.otherwise(0.0)
-    return F.when(tail <= 0.1, tail).otherwise(upper)
+    k = "((sqrt(double(n)) - 0.01D + 0.85D / sqrt(double(n))) * d)"
+    upper = " ".join(f"WHEN {k} <= {limit!r}D THEN {poly(fit, k)}" for limit, fit in UPPER_FITS)
+    staged = df.withColumns(
+        {
+            "zw": F.expr(f"CASE WHEN n <= 11 THEN {small} ELSE {large} END"),
+            "dist": F.expr("CASE WHEN n > 100 THEN d * pow(n / 100D, 0.49D) ELSE d END"),
+            "size": F.expr("least(double(n), 100D)"),
+        }
+    )
+    staged = staged.withColumns(
+        {
+            "pw": F.when(F.expr(f"n <= 11 AND {low} >= {gamma}"), 1e-99).otherwise(normal.upper_tail("zw")),
+            "tail": F.expr(
+                f"exp({a!r}D * dist * dist * (size + {shift!r}D) + {b!r}D * dist * sqrt(size + {shift!r}D) "
+                f"+ {c!r}D + {e!r}D / sqrt(size) + {f!r}D / size)"
+            ),
+        }
+    )
+    lilliefors = F.expr(f"CASE WHEN tail <= 0.1D THEN tail WHEN {k} <= 0.302D THEN 1D {upper} ELSE 0D END")
+    small_n = F.col("n") < small_limit
+    p = F.when(F.col("flat"), F.when(small_n, 1.0).otherwise(0.0)).when(small_n, F.col("pw")).otherwise(lilliefors)
+    return staged.withColumn("p_value", p)
 
 
 def moments(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
@@ -115,7 +118,7 @@ def normality_of(
     at = at.join(F.broadcast(high), (F.col("total") == F.col("vn")) & (F.col("upto") == F.col("vi")), "left")
     # Separate projections keep the long polynomial from being generated once per use.
     at = at.withColumn("__z", ratio(F.col(column) - F.col("__m"), F.col("__s")))
-    at = at.withColumn("__f", normal.cumulative(F.col("__z")))
+    at = at.withColumn("__f", normal.cumulative("__z"))
     gap = F.greatest(
         F.col("upto") / F.col("total") - F.col("__f"), F.col("__f") - (F.col("upto") - F.col("tied")) / F.col("total"),
         F.lit(0.0),
@@ -129,13 +132,12 @@ def normality_of(
     flat = F.coalesce(F.col("s"), F.lit(0.0)) == 0
     w = F.when(flat, 1.0).otherwise(F.least(ratio(F.col("b") * F.col("b"), F.col("ss")), F.lit(1.0)))
     small = n < small_limit
-    scored = agg.where(n >= SMALLEST).withColumn("flat", flat).withColumn("w", w)
+    scored = _with_p(agg.where(n >= SMALLEST).withColumn("flat", flat).withColumn("w", w), small_limit)
+    small = n < small_limit
     known = scored.select(
         *keys, F.lit(column).alias("column"),
         F.when(small, "Shapiro-Wilk").otherwise("Kolmogorov-Smirnov (Lilliefors)").alias("test_name"),
-        n, F.when(small, F.col("w")).otherwise(F.col("d")).alias("statistic"),
-        F.when(F.col("flat"), F.when(small, 1.0).otherwise(0.0))
-        .when(small, shapiro_p(F.col("w"), n)).otherwise(lilliefors_p(F.col("d"), n)).alias("p_value"),
+        n, F.when(small, F.col("w")).otherwise(F.col("d")).alias("statistic"), "p_value",
     )
     return known.withColumn("is_normal", F.coalesce(F.col("p_value"), F.lit(0.0)) >= alpha)
 

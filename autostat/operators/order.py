@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from autostat.functions.columns import join_on
 
-BUCKET_ROWS_CONF = "autostat.bucketRows"
+BUCKET_ROWS_CONF = "spark.autostat.bucketRows"
 DEFAULT_BUCKET_ROWS = 1_000_000
 # Bounds of the layout: cut points asked of the quantile sketch, and segments that may be large at once.
 CUT_POINTS = 1024

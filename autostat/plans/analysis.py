@@ -53,10 +53,9 @@ def analyze(df: DataFrame, spec: AnalysisSpec) -> dict[str, DataFrame]:
     out["describe"] = describe(rows, described, keys)
     if spec.goal == "compare":
         parts = Comparison(rows, spec)
-        result = cut_lineage(parts.result())
         out |= {
-            "normality": parts.normality(), "test_result": result, "group_summary": parts.summary.drop("variance"),
-            "post_hoc": parts.post_hoc(result), "box_stats": box_stats(rows, spec.y, spec.group, keys),
+            "normality": parts.normality(), "test_result": parts.result, "group_summary": parts.summary,
+            "post_hoc": parts.post_hoc(), "box_stats": box_stats(rows, spec.y, spec.group, keys),
         }
         return out
     gate = normality(rows, spec.y, keys, spec.small_n, spec.normality_alpha)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from autostat.operators.normality import normality, normality_of
 from autostat.operators.order import ordered_counts, plan_layout, quantile_at
 from autostat.operators.regress import fit_summary, regression
 from autostat.plans.spec import AnalysisSpec
+from autostat.sources.checkpoints import cut_lineage
 
 TEST_COLUMNS = [
     "test", "is_parametric", "statistic", "df1", "df2", "p_value", "is_significant", "effect_name", "effect_size",
@@ -24,86 +26,103 @@ TEST_COLUMNS = [
 
 
 
+NORMALITY_COLUMNS = ["column", "test_name", "n", "statistic", "p_value", "is_normal"]
+
+
 class Comparison:
-    """The pieces of one comparison; every table is lazy and shares one ordered frame."""
+    """One comparison: the data are ordered and aggregated once into `facts`, every table is read off it."""
 
     def __init__(self, df: DataFrame, spec: AnalysisSpec):
         self.spec, self.keys = spec, list(spec.keys)
-        y, group, keys = spec.y, spec.group, self.keys
         extra = [spec.pair_key] if spec.paired else []
-        self.rows = numeric_frame(df, [y], [*keys, group, *extra]).where(F.col(y).isNotNull() & F.col(group).isNotNull())
-        self.layout = plan_layout(self.rows, y)
-        # Ordered once: ranks for the rank tests, distances for the normality test.
-        self.ordered = ordered_counts(self.rows, y, keys, [group], self.layout)
-        self.moments = group_moments(self.rows, y, group, keys)
-        self.guard = cmp.group_guard(self.moments, group, keys)
-        middle = ordered_counts(self.rows, y, [*keys, group]).groupBy(*keys, group).agg(quantile_at(y, 0.5).alias("median"))
-        self.summary = join_on(self.moments, middle, [*keys, group])
+        rows = numeric_frame(df, [spec.y], [*self.keys, spec.group, *extra])
+        self.rows = rows.where(F.col(spec.y).isNotNull() & F.col(spec.group).isNotNull())
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """(keys, group): n, mean, variance, median, rank_sum, ties, and the segment's normality (`seg_*`).
+
+        One job. The ordered values of a segment serve both its ranks and its normality test.
+        """
+        spec, keys, y, group = self.spec, self.keys, self.spec.y, self.spec.group
+        at = [*keys, group]
+        layout = plan_layout(self.rows, y)
+        ordered = ordered_counts(self.rows, y, keys, [group], layout)
+        normal = normality_of(
+            ordered, self.rows.select(*keys, y), layout, y, keys, spec.small_n, spec.normality_alpha
+        ).select(*keys, *[F.col(c).alias(f"seg_{c}") for c in NORMALITY_COLUMNS])
+        ranks = cmp.rank_sums(ordered, group, keys).drop("n")
+        middle = ordered_counts(self.rows, y, at, (), layout).groupBy(*at).agg(quantile_at(y, 0.5).alias("median"))
+        facts = join_on(join_on(group_moments(self.rows, y, group, keys), ranks, at), middle, at)
+        return cut_lineage(join_on(facts, normal, keys, "left"))
+
+    @property
+    def summary(self) -> DataFrame:
+        return self.facts.select(*self.keys, self.spec.group, "n", "mean", "median")
 
     def normality(self) -> DataFrame:
-        spec = self.spec
-        rows = self.rows.select(*self.keys, spec.y)
-        return normality_of(self.ordered, rows, self.layout, spec.y, self.keys, spec.small_n, spec.normality_alpha)
+        columns = [F.col(f"seg_{c}").alias(c) for c in NORMALITY_COLUMNS]
+        return self.facts.where(F.col("seg_n").isNotNull()).select(*self.keys, *columns).distinct()
 
-    def leaf_tables(self) -> dict[tuple[int, bool], DataFrame]:
-        """(number of groups: 2 or 3 for more, normal) -> test table."""
+    def leaf(self, groups: int, normal: bool) -> DataFrame:
+        """The test for 2 or more than 2 groups and a normal or other outcome."""
         spec, keys, group = self.spec, self.keys, self.spec.group
-        sums = cmp.rank_sums(self.ordered, group, keys)
+        if groups > 2:
+            if normal:
+                return cmp.anova(self.facts, group, keys, spec.alpha)
+            return cmp.kruskal(self.facts, self.facts, group, keys, spec.alpha)
         if spec.paired:
             pairs = cmp.pair_rows(self.rows, spec.y, group, spec.pair_key, keys)
-            two = {True: cmp.paired_t(pairs, keys, spec.alpha), False: cmp.signed_rank(pairs, keys, spec.alpha)}
-        else:
-            two = {
-                True: cmp.welch_t(self.moments, group, keys, spec.alpha),
-                False: cmp.mann_whitney(sums, self.summary, group, keys, spec.alpha),
-            }
-        return {
-            (2, True): two[True], (2, False): two[False],
-            (3, True): cmp.anova(self.moments, group, keys, spec.alpha),
-            (3, False): cmp.kruskal(sums, self.summary, group, keys, spec.alpha),
-        }
-
+            return (cmp.paired_t if normal else cmp.signed_rank)(pairs, keys, spec.alpha)
+        if normal:
+            return cmp.welch_t(self.facts, group, keys, spec.alpha)
+        return cmp.mann_whitney(self.facts, self.facts, group, keys, spec.alpha)
+
+    def gate(self) -> DataFrame:
+        """One row per segment: status, number of groups, normality of the outcome."""
+        guard = cmp.group_guard(self.facts, self.spec.group, self.keys)
+        normal = self.facts.groupBy(*self.keys).agg(
+            F.max("seg_p_value").alias("normality_p"), F.bool_or("seg_is_normal").alias("is_normal")
+        )
+        return join_on(guard, normal, self.keys)
+
+    @cached_property
     def result(self) -> DataFrame:
         """One row per segment: status, normality and the test the rules choose."""
-        keys = self.keys
-        gate = join_on(self.guard, self.normality().select(*keys, F.col("p_value").alias("normality_p"), "is_normal"), keys, "left")
+        keys, gate = self.keys, self.gate()
         if not keys:
             # A single table: look at the one-row gate and plan only the chosen test.
             row = gate.first()
-            if row is None:
-                raise ValueError("no rows to compare")
-            if row["status"] != "ok":
-                raise ValueError(row["status"])
-            chosen = self.leaf_tables()[(min(row["n_groups"], 3), bool(row["is_normal"]))]
+            if row is None or row["status"] != "ok":
+                raise ValueError(row["status"] if row else "no rows to compare")
+            chosen = self.leaf(row["n_groups"], bool(row["is_normal"]))
             return chosen.select(
                 F.lit(row["n_groups"]).alias("n_groups"), F.lit(row["normality_p"]).alias("normality_p"),
                 F.lit(row["is_normal"]).alias("is_normal"), F.lit("ok").alias("status"), *TEST_COLUMNS,
             )
-        gate = gate.withColumn("slot", F.least(F.col("n_groups"), F.lit(3)))
         parts = [
-            t.select(*keys, F.lit(k).cast("long").alias("slot"), F.lit(normal).alias("branch"), *TEST_COLUMNS)
-            for (k, normal), t in self.leaf_tables().items()
-        ]
-        tests = parts[0]
-        for p in parts[1:]:
-            tests = tests.unionByName(p)
+            self.leaf(k, normal).select(*keys, F.lit(k).cast("long").alias("slot"), F.lit(normal).alias("branch"), *TEST_COLUMNS)
+            for k in (2, 3) for normal in (True, False)
+        ]
+        tests = reduce(DataFrame.unionByName, parts)
+        gate = gate.withColumn("slot", F.least(F.col("n_groups"), F.lit(3)))
         gate = gate.withColumn("branch", F.when(F.col("status") == "ok", F.coalesce("is_normal", F.lit(False))))
         joined = join_on(gate, tests, [*keys, "slot", "branch"], "left")
         return joined.select(*keys, "n_groups", "normality_p", "is_normal", "status", *TEST_COLUMNS)
 
-    def post_hoc(self, result: DataFrame) -> DataFrame:
+    def post_hoc(self) -> DataFrame:
         """Pairwise comparisons of the segments whose test over more than 2 groups is significant."""
         spec, keys, group = self.spec, self.keys, self.spec.group
-        wanted = result.where(F.col("is_significant") & (F.col("n_groups") > 2)).select(*keys, "is_parametric")
+        wanted = self.result.where(F.col("is_significant") & (F.col("n_groups") > 2)).select(*keys, "is_parametric")
         if not keys:
             row = wanted.first()
             if row is None:
-                return cmp.tukey_hsd(self.moments.where(F.lit(False)), group, (), spec.alpha).drop("statistic")
+                return cmp.tukey_hsd(self.facts.where(F.lit(False)), group, (), spec.alpha).drop("statistic")
             if row["is_parametric"]:
-                return cmp.tukey_hsd(self.moments, group, (), spec.alpha).drop("statistic")
-            return cmp.pairwise_mann_whitney(self.rows, spec.y, group, (), spec.alpha, self.moments).drop("statistic", "z")
-        tukey = join_on(cmp.tukey_hsd(self.moments, group, keys, spec.alpha), wanted.where("is_parametric"), keys)
-        ranks = cmp.pairwise_mann_whitney(self.rows, spec.y, group, keys, spec.alpha, self.moments)
+                return cmp.tukey_hsd(self.facts, group, (), spec.alpha).drop("statistic")
+            return cmp.pairwise_mann_whitney(self.rows, spec.y, group, (), spec.alpha, self.facts).drop("statistic", "z")
+        tukey = join_on(cmp.tukey_hsd(self.facts, group, keys, spec.alpha), wanted.where("is_parametric"), keys)
+        ranks = cmp.pairwise_mann_whitney(self.rows, spec.y, group, keys, spec.alpha, self.facts)
         ranks = join_on(ranks, wanted.where(~F.col("is_parametric")), keys)
         return tukey.drop("statistic", "is_parametric").unionByName(ranks.drop("statistic", "z", "is_parametric"))
 
@@ -122,7 +141,7 @@ def auto_test(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """One test row per segment for any goal (time series excepted), chosen by the routing rules."""
     spec, keys = spec.validated(), list(spec.keys)
     if spec.goal == "compare":
-        return Comparison(df, spec).result()
+        return Comparison(df, spec).result
     if spec.goal == "influence":
         fit = fit_summary(regression(df, spec.y, spec.xs, keys, spec.alpha, spec.vif_limit), keys)
         return _row(

@@ -3,22 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_own_folder: str | None = None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the session's shared folder, so that several tables can start from it
-    and survive lost executors. Without such a folder only a local session gets one of its own."""
+def shared_folder(df: DataFrame) -> str | None:
+    """The folder the cluster names; a local session without one gets a folder of its own."""
+    global _own_folder
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="autostat-checkpoint-")
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if folder or not spark.sparkContext.master.startswith("local"):
+        return folder
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="autostat-")
+    return _own_folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` once and go on from the stored table, so several tables can start from it and
+    lost executors cost no recomputation. (`checkpoint()` would run the plan twice.)"""
+    folder = shared_folder(df)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/autostat-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
