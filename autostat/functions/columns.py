@@ -1,9 +1,10 @@
-"""Small Column helpers: numeric coercion, guarded arithmetic, labels."""
+"""Small Column helpers: numeric coercion, guarded arithmetic, segment keys, labels."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import inspect
+from collections.abc import Callable, Sequence
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,37 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def restore_keys(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Give renamed segment keys (`names`: original -> internal) their names back."""
+    taken = [k for k in names if k in out.columns]
+    if taken:
+        raise ValueError(f"segment column(s) named like a result column, rename first: {', '.join(taken)}")
+    return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
+def own_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Copy segment keys to internal names, so that no key can meet a working column of the same name."""
+    names = {k: f"__seg_{k}" for k in keys if not k.startswith("__seg_")}
+    return (df.withColumns({v: F.col(k) for k, v in names.items()}) if names else df), names
+
+
+def by_segment(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run an operator on internally named segment keys."""
+    signature = inspect.signature(fn)
+
+    @wraps(fn)
+    def run(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        first, keys = next(iter(bound.arguments)), list(bound.arguments["keys"])
+        require_columns(bound.arguments[first], keys)
+        bound.arguments[first], names = own_keys(bound.arguments[first], keys)
+        bound.arguments["keys"] = [names.get(k, k) for k in keys]
+        return restore_keys(fn(*bound.args, **bound.kwargs), names)
+
+    return run
+
+
 def strength(r: Column) -> Column:
     # Cut points of the strength labels.
     size = F.abs(r)

@@ -14,10 +14,13 @@ from pyspark.sql.types import DoubleType
 
 from autostat.functions.normal import upper_tail_array
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 _TINY = 1e-300
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) if v > 0 else math.nan for v in np.ravel(x)]).reshape(np.shape(x))
+
+
 def _continued_fraction(terms, start: np.ndarray, steps: int = 500) -> np.ndarray:
     """Modified Lentz evaluation of start + n1/(d1 + n2/(d2 + ...)); terms(i) gives (n_i, d_i)."""
     value = np.where(np.abs(start) < _TINY, _TINY, start)

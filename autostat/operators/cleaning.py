@@ -102,7 +102,7 @@ def drop_sparse_missing(df: DataFrame, columns: Sequence[str], report: Sequence[
 
 
 def median_value(df: DataFrame, column: str) -> float | None:
-    return ordered_counts(df, column).agg(quantile_at(column, 0.5)).first()[0]
+    return ordered_counts(df.select(F.col(column).alias("__y")), "__y").agg(quantile_at("__y", 0.5)).first()[0]
 
 
 def mode_value(df: DataFrame, column: str) -> str | None:
@@ -146,8 +146,8 @@ def fill_missing(df: DataFrame, columns: Sequence[str], types: dict[str, str]) -
 def iqr_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:
     """Fences of one column, None when fewer than 4 rows."""
     row = (
-        ordered_counts(df, column)
-        .agg(quantile_at(column, 0.25).alias("q1"), quantile_at(column, 0.75).alias("q3"), F.max("total").alias("n"))
+        ordered_counts(df.select(F.col(column).alias("__y")), "__y")
+        .agg(quantile_at("__y", 0.25).alias("q1"), quantile_at("__y", 0.75).alias("q3"), F.max("total").alias("n"))
         .first()
     )
     if row is None or row["n"] is None or row["n"] < 4:

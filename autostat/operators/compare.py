@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autostat.functions import normal
-from autostat.functions.columns import decision, join_on, numeric_frame, ratio
+from autostat.functions.columns import by_segment, decision, join_on, numeric_frame, own_keys, ratio
 from autostat.functions.tails import chi2_p, f_p, rank_sum_exact_p, signed_rank_exact_p, studentized_range_p, t_p
 from autostat.operators.describe import group_moments
 from autostat.operators.order import midrank, ordered_counts, quantile_at
@@ -67,11 +67,17 @@ def _finish(df: DataFrame, keys: Sequence[str], test: str, parametric: bool, eff
     )
 
 
+def _same_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A second input of a `by_segment` operator, with its keys under the same internal names."""
+    return own_keys(df, [k.removeprefix("__seg_") for k in keys if k not in df.columns])[0]
+
+
 def _higher(a: str, b: str) -> Column:
     return F.when(F.col(a) > F.col(b), F.col("label1")).otherwise(F.col("label2"))
 
 
 
+@by_segment
 def welch_t(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Unequal-variance t-test of two independent groups, from `group_moments`."""
     two = summary.withColumn("label", F.col(group)).groupBy(*keys).agg(
@@ -101,6 +107,7 @@ def pair_rows(df: DataFrame, y: str, group: str, pair_key: str, keys: Sequence[s
     return both.where(complete).select(*at, "label1", "label2", "y1", "y2", (F.col("y1") - F.col("y2")).alias("diff"))
 
 
+@by_segment
 def paired_t(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     agg = pairs.groupBy(*keys).agg(
         F.count("diff").alias("n"), F.avg("diff").alias("m"), F.coalesce(F.stddev_samp("diff"), F.lit(0.0)).alias("s"),
@@ -115,6 +122,7 @@ def paired_t(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05) ->
     return _finish(out, keys, "Paired Samples T-Test", True, "Cohen's d", alpha)
 
 
+@by_segment
 def signed_rank(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Wilcoxon signed-rank test; zero differences are dropped before ranking."""
     sized = pairs.withColumn("__size", F.abs("diff")).withColumn("__up", F.col("diff") > 0)
@@ -174,13 +182,14 @@ def _with_u(df: DataFrame) -> DataFrame:
     )
 
 
+@by_segment
 def mann_whitney(sums: DataFrame, medians: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Two-sided test of two independent groups from `rank_sums`; `medians` names the higher group."""
     two = sums.withColumn("label", F.col(group)).groupBy(*keys).agg(
         *_two("label", group), *_two("n", group), F.min_by("rank_sum", group).alias("r1"),
         F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"),
     ).where("k = 2")
-    middle = medians.groupBy(*keys).agg(*_two("median", group))
+    middle = _same_keys(medians, keys).groupBy(*keys).agg(*_two("median", group))
     out = with_rank_effect(_with_u(join_on(two, middle, keys)), F.col("n1") + F.col("n2"))
     out = out.select(
         "*", F.lit(None).alias("df1"), F.lit(None).alias("df2"),
@@ -200,6 +209,7 @@ def sums_of_squares(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+@by_segment
 def anova(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """One-way ANOVA with eta-squared."""
     squares = sums_of_squares(summary, keys)
@@ -214,13 +224,14 @@ def anova(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float
     return _finish(out, keys, "One-Way ANOVA", True, "Eta-squared", alpha)
 
 
+@by_segment
 def kruskal(sums: DataFrame, medians: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H with epsilon-squared."""
     agg = sums.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("total"), F.sum("ties").alias("ties"),
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"),
     ).where("k >= 2")
-    top = medians.groupBy(*keys).agg(F.max_by(F.col(group), F.col("median")).alias("higher_group"))
+    top = _same_keys(medians, keys).groupBy(*keys).agg(F.max_by(F.col(group), F.col("median")).alias("higher_group"))
     n = F.col("total")
     h = ratio(ratio(F.lit(12.0), n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - ratio(F.col("ties"), n * n * n - n))
     out = join_on(agg, top, keys).withColumn("statistic", h).withColumn("df1", (F.col("k") - 1).cast("double"))
@@ -241,6 +252,7 @@ def group_pairs(summary: DataFrame, group: str, columns: Sequence[str], keys: Se
     return pairs.select(*keys, F.col(f"a.{group}").alias("group1"), F.col(f"b.{group}").alias("group2"), *sides)
 
 
+@by_segment
 def tukey_hsd(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Tukey-Kramer comparison of all group pairs from group moments; mean_diff is group 1 minus group 2."""
     squares = sums_of_squares(summary, keys)
@@ -259,6 +271,7 @@ def tukey_hsd(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: f
     )
 
 
+@by_segment
 def pairwise_mann_whitney(
     df: DataFrame, y: str, group: str, keys: Sequence[str] = (), alpha: float = 0.05, summary: DataFrame | None = None
 ) -> DataFrame:
@@ -270,7 +283,7 @@ def pairwise_mann_whitney(
     """
     at = [*keys, group]
     rows = numeric_frame(df, [y], at).where(F.col(y).isNotNull() & F.col(group).isNotNull())
-    summary = group_moments(df, y, group, keys) if summary is None else summary
+    summary = group_moments(df, y, group, keys) if summary is None else _same_keys(summary, keys)
     pairs = group_pairs(summary, group, ["n", "mean"], keys)
     member = pairs.select(*keys, "group1", "group2", F.explode(F.array("group1", "group2")).alias(group))
     collapsed = rows.groupBy(*at, y).agg(F.count(F.lit(1)).alias("rows"))

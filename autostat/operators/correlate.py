@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import direction, join_on, numeric_frame, ratio, strength
+from autostat.functions.columns import by_segment, direction, join_on, numeric_frame, ratio, strength
 from autostat.functions.tails import t_p
 from autostat.operators.order import attach, midrank, ordered_counts, plan_layout
 
@@ -32,6 +32,7 @@ def _pair(x: str, y: str) -> Column:
     return ratio(F.covar_samp(a, b), F.sqrt(F.var_samp(a) * F.var_samp(b)))
 
 
+@by_segment
 def pearson(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """All predictors in one aggregation."""
     known = [x for x in dict.fromkeys(xs) if x in df.columns]
@@ -54,6 +55,7 @@ def _ranked(pairs: DataFrame, column: str, seg: Sequence[str], out: str) -> Data
     return attach(pairs, ranks, [*seg, column], layout, "cnt", [out])
 
 
+@by_segment
 def spearman(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Rank correlation of all predictors in one job: long form (variable, x, y), complete pairs."""
     known = [x for x in dict.fromkeys(xs) if x in df.columns]
@@ -74,6 +76,7 @@ def spearman(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     return _report(flat, keys, "Spearman Rank Correlation", alpha)
 
 
+@by_segment
 def correlation_summary(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per segment: any predictor significant, and the smallest (uncorrected) p with its predictor."""
     best = F.min(F.struct("p_value", "position", "variable"))

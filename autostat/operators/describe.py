@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import join_on, melt, numeric_frame
+from autostat.functions.columns import by_segment, join_on, melt, numeric_frame
 from autostat.operators.order import mode_of, ordered_counts, quantile_at
 
 
+@by_segment
 def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per segment and column: count, mean, median, mode, std, variance, range, min, max.
 
@@ -34,6 +35,7 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return both.select(*at, "count", "mean", "median", "mode", "std", "variance", "range", "min", "max")
 
 
+@by_segment
 def group_moments(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, mean and sample variance per segment and group: all the t and F tests need."""
     at = [*keys, group]
@@ -43,9 +45,10 @@ def group_moments(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -
     )
 
 
+@by_segment
 def group_summary(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, mean and median per segment and group, one pass per statistic over all groups."""
     at = [*keys, group]
-    rows = numeric_frame(df, [y], at).where(F.col(group).isNotNull())
-    middle = ordered_counts(rows, y, at).groupBy(*at).agg(quantile_at(y, 0.5).alias("median"))
+    rows = numeric_frame(df, [y], at).where(F.col(group).isNotNull()).withColumnRenamed(y, "__y")
+    middle = ordered_counts(rows, "__y", at).groupBy(*at).agg(quantile_at("__y", 0.5).alias("median"))
     return join_on(group_moments(df, y, group, keys), middle, at).select(*at, "n", "mean", "median")

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import numeric_frame, ratio
+from autostat.functions.columns import by_segment, numeric_frame, ratio
 
 
 def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +40,7 @@ def matrix(cov: Sequence[float], k: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
+@by_segment
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Long form (row, col, r) of the Pearson matrix."""
     k = len(columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import ratio
+from autostat.functions.columns import by_segment, ratio
 from autostat.functions.tails import t_p
 from autostat.operators.gram import cell, gram
 
@@ -16,6 +16,7 @@ RELIABLE, VALID = 0.6, 0.3
 SMALLEST = 5
 
 
+@by_segment
 def instrument(df: DataFrame, items: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per item: r with the sum of the others, validity, and the instrument's alpha. One scan."""
     if len(items) < 2:

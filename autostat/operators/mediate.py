@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autostat.functions import normal
-from autostat.functions.columns import number, ratio
+from autostat.functions.columns import by_segment, number, ratio
 from autostat.functions.tails import t_p
 from autostat.operators.gram import cell, gram
 from autostat.operators.regress import regression
@@ -18,6 +18,7 @@ def _not_negative(c: Column) -> Column:
     return F.greatest(c, F.lit(0.0))
 
 
+@by_segment
 def mediation(df: DataFrame, y: str, x: str, m: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """One row per segment: paths a, b, c', c, the indirect effect, Sobel z and the mediation type.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autostat.functions import normal
-from autostat.functions.columns import numeric_frame, ratio
+from autostat.functions.columns import by_segment, numeric_frame, ratio
 from autostat.operators.order import Layout, attach, ordered_counts, plan_layout
 
 SMALLEST, SMALL_LIMIT, NORMALITY_ALPHA = 5, 30, 0.05
@@ -142,11 +142,14 @@ def normality_of(
     return known.withColumn("is_normal", F.coalesce(F.col("p_value"), F.lit(0.0)) >= alpha)
 
 
+@by_segment
 def normality(
     df: DataFrame, column: str, keys: Sequence[str] = (),
     small_limit: int = SMALL_LIMIT, alpha: float = NORMALITY_ALPHA,
 ) -> DataFrame:
     """One row per segment with at least 5 numbers: test, n, statistic, p-value, is_normal."""
-    rows = numeric_frame(df, [column], keys)
-    layout = plan_layout(rows, column)
-    return normality_of(ordered_counts(rows, column, keys, (), layout), rows, layout, column, keys, small_limit, alpha)
+    rows = numeric_frame(df, [column], keys).withColumnRenamed(column, "__y")
+    layout = plan_layout(rows, "__y")
+    ordered = ordered_counts(rows, "__y", keys, (), layout)
+    found = normality_of(ordered, rows, layout, "__y", keys, small_limit, alpha)
+    return found.withColumn("column", F.lit(column))

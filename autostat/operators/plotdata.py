@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import numeric_frame, ratio
+from autostat.functions.columns import by_segment, numeric_frame, ratio
 from autostat.operators.order import ordered_counts, quantile_at
 
 FENCE = 1.5
 
 
+@by_segment
 def box_stats(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per group: n, quartiles, whisker ends (furthest points within 1.5 IQR), number of fliers."""
     at = [*keys, group]
-    rows = numeric_frame(df, [y], at).where(F.col(group).isNotNull())
+    rows = numeric_frame(df, [y], at).where(F.col(group).isNotNull()).withColumnRenamed(y, "__y")
+    y = "__y"
     ordered = ordered_counts(rows, y, at)
     box = ordered.groupBy(*at).agg(
         F.max("total").alias("n"), quantile_at(y, 0.25).alias("q1"), quantile_at(y, 0.5).alias("median"), quantile_at(y, 0.75).alias("q3"),
@@ -44,6 +46,7 @@ def box_stats(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -> Da
     )
 
 
+@by_segment
 def trend_line(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Slope and intercept of Y on X with the range the line is drawn over."""
     rows = numeric_frame(df, [x, y], keys).dropna(how="any", subset=[x, y])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autostat.functions.columns import direction
+from autostat.functions.columns import by_segment, direction
 from autostat.functions.tails import f_upper, t_two_sided
 from autostat.operators.gram import gram, matrix
 
@@ -105,6 +105,7 @@ def _per_segment(base: DataFrame, keys: Sequence[str], fields: str, columns: Seq
     return base.select(*keys, "n", "means", "cov").mapInPandas(run, schema)
 
 
+@by_segment
 def regression(
     df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     alpha: float = 0.05, vif_limit: float | None = VIF_LIMIT,
@@ -147,6 +148,7 @@ def fit_summary(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+@by_segment
 def vif_log(
     df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), vif_limit: float = VIF_LIMIT
 ) -> DataFrame:

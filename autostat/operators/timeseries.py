@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autostat.functions.columns import join_on
+from autostat.functions.columns import join_on, own_keys, restore_keys
 from autostat.functions.normal import polynomial, upper_tail_array
 from autostat.operators.gram import gram, matrix
 from autostat.operators.order import attach
@@ -456,6 +456,14 @@ def analyze_series(
     df: DataFrame, time: str, y: str, xs: Sequence[str] = (), keys: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
     """Stationarity log, model, coefficients, forecast and plot data; series below 10 values are left out."""
+    df, names = own_keys(df, keys)
+    tables = _analyze_series(df, time, y, xs, [names.get(k, k) for k in keys])
+    return {name: restore_keys(table, names) for name, table in tables.items()}
+
+
+def _analyze_series(
+    df: DataFrame, time: str, y: str, xs: Sequence[str], keys: Sequence[str]
+) -> dict[str, DataFrame]:
     keys, columns = list(keys), list(dict.fromkeys([y, *xs]))
     placed = place(df, time, columns, keys)
     # Read by every later step: stored once instead of being ordered again.

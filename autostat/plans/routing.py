@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import decision, join_on, numeric_frame
+from autostat.functions.columns import decision, join_on, number, own_keys, restore_keys
 from autostat.operators import compare as cmp
 from autostat.operators.correlate import both_methods, correlation_summary, pearson, spearman
 from autostat.operators.describe import group_moments
@@ -33,10 +34,15 @@ class Comparison:
     """One comparison: the data are ordered and aggregated once into `facts`, every table is read off it."""
 
     def __init__(self, df: DataFrame, spec: AnalysisSpec):
-        self.spec, self.keys = spec, list(spec.keys)
-        extra = [spec.pair_key] if spec.paired else []
-        rows = numeric_frame(df, [spec.y], [*self.keys, spec.group, *extra])
-        self.rows = rows.where(F.col(spec.y).isNotNull() & F.col(spec.group).isNotNull())
+        # Working names, so that the table's own column names cannot meet ours.
+        self.label, self.group_name = spec.y, spec.group
+        df, self.names = own_keys(df, spec.keys)
+        self.keys = [self.names.get(k, k) for k in spec.keys]
+        extra = {"__pair": F.col(spec.pair_key)} if spec.paired else {}
+        frame = df.withColumns({"__y": number(df, spec.y), "__group": F.col(spec.group), **extra})
+        frame = frame.select(*self.keys, "__group", "__y", *extra)
+        self.rows = frame.where(F.col("__y").isNotNull() & F.col("__group").isNotNull())
+        self.spec = replace(spec, y="__y", group="__group", pair_key="__pair" if spec.paired else None, keys=tuple(self.keys))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -58,11 +64,13 @@ class Comparison:
 
     @property
     def summary(self) -> DataFrame:
-        return self.facts.select(*self.keys, self.spec.group, "n", "mean", "median")
+        out = self.facts.select(*self.keys, "__group", "n", "mean", "median")
+        return restore_keys(out, {**self.names, self.group_name: "__group"})
 
     def normality(self) -> DataFrame:
-        columns = [F.col(f"seg_{c}").alias(c) for c in NORMALITY_COLUMNS]
-        return self.facts.where(F.col("seg_n").isNotNull()).select(*self.keys, *columns).distinct()
+        columns = [F.lit(self.label).alias("column"), *[F.col(f"seg_{c}").alias(c) for c in NORMALITY_COLUMNS[1:]]]
+        out = self.facts.where(F.col("seg_n").isNotNull()).select(*self.keys, *columns).distinct()
+        return restore_keys(out, self.names)
 
     def leaf(self, groups: int, normal: bool) -> DataFrame:
         """The test for 2 or more than 2 groups and a normal or other outcome."""
@@ -89,6 +97,10 @@ class Comparison:
     @cached_property
     def result(self) -> DataFrame:
         """One row per segment: status, normality and the test the rules choose."""
+        return restore_keys(self._result, self.names)
+
+    @cached_property
+    def _result(self) -> DataFrame:
         keys, gate = self.keys, self.gate()
         if not keys:
             # A single table: look at the one-row gate and plan only the chosen test.
@@ -112,8 +124,11 @@ class Comparison:
 
     def post_hoc(self) -> DataFrame:
         """Pairwise comparisons of the segments whose test over more than 2 groups is significant."""
+        return restore_keys(self._post_hoc(), self.names)
+
+    def _post_hoc(self) -> DataFrame:
         spec, keys, group = self.spec, self.keys, self.spec.group
-        wanted = self.result.where(F.col("is_significant") & (F.col("n_groups") > 2)).select(*keys, "is_parametric")
+        wanted = self._result.where(F.col("is_significant") & (F.col("n_groups") > 2)).select(*keys, "is_parametric")
         if not keys:
             row = wanted.first()
             if row is None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autostat.functions.columns import restore_keys
 from autostat.operators import cleaning, compare, correlate, mediate, plotdata, profile, regress
 from autostat.operators import series as ordered
 from autostat.operators import timeseries as ts
@@ -246,24 +247,23 @@ def _parts(df, y, group, **more):
 
 def mann_whitney(spark, folder):
     c = _parts(two_status(spark, folder), "o_totalprice", "o_orderstatus")
-    return test_row(compare.mann_whitney(c.facts, c.facts, "o_orderstatus"))
+    return test_row(compare.mann_whitney(c.facts, c.facts, "__group"))
 
 
 def mann_whitney_by_priority(spark, folder):
-    keys = ["o_orderpriority"]
-    c = _parts(two_status(spark, folder), "o_totalprice", "o_orderstatus", keys=keys)
-    return test_row(compare.mann_whitney(c.facts, c.facts, "o_orderstatus", keys), *keys)
+    c = _parts(two_status(spark, folder), "o_totalprice", "o_orderstatus", keys=["o_orderpriority"])
+    return test_row(restore_keys(compare.mann_whitney(c.facts, c.facts, "__group", c.keys), c.names), "o_orderpriority")
 
 
 def kruskal_events(spark, folder):
     c = _parts(table(spark, folder, "events"), "value", "event_type")
-    return test_row(compare.kruskal(c.facts, c.facts, "event_type"))
+    return test_row(compare.kruskal(c.facts, c.facts, "__group"))
 
 
 def kruskal_quantity(spark, folder):
     """Heavy ties: 50 values over all line items."""
     c = _parts(table(spark, folder, "lineitem"), "l_quantity", "l_returnflag")
-    return test_row(compare.kruskal(c.facts, c.facts, "l_returnflag"))
+    return test_row(compare.kruskal(c.facts, c.facts, "__group"))
 
 
 def anova_events(spark, folder):
