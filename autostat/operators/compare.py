@@ -114,7 +114,10 @@ def paired_t(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05) ->
         F.avg("y1").alias("mean1"), F.avg("y2").alias("mean2"), F.min("label1").alias("label1"), F.max("label2").alias("label2"),
     ).where("n >= 2")
     out = agg.select(
-        "*", ratio(F.col("m") * F.sqrt(F.col("n").cast("double")), F.col("s")).alias("statistic"),
+        "*",
+        # Equal differences that are not zero: no spread to explain them, t is infinite.
+        F.when((F.col("s") == 0) & (F.col("m") != 0), F.signum("m") * float("inf"))
+        .otherwise(ratio(F.col("m") * F.sqrt(F.col("n").cast("double")), F.col("s"))).alias("statistic"),
         (F.col("n") - 1).alias("df1"), F.lit(None).cast("double").alias("df2"),
         F.coalesce(ratio(F.col("m"), F.col("s")), F.lit(0.0)).alias("effect_size"),
         _higher("mean1", "mean2").alias("higher_group"), F.lit("t distribution").alias("method"),

@@ -15,7 +15,7 @@ from autostat.operators.order import attach, midrank, ordered_counts, plan_layou
 def _report(df: DataFrame, keys: Sequence[str], method: str, alpha: float) -> DataFrame:
     """Finish rows of (keys, position, variable, n, raw)."""
     dof = (F.col("n") - 2).cast("double")
-    raw = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("raw")))
+    raw = F.when(F.col("raw").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("raw"))))
     t = F.when(F.abs(raw) >= 1, F.lit(1e150)).otherwise(raw * F.sqrt(dof / (1 - raw * raw)))
     usable = raw.isNotNull() & (F.col("n") > 2)
     p = F.when(usable, t_p(F.when(usable, t), F.when(usable, dof))).otherwise(1.0)
