@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autostat.functions.columns import is_numeric, number, require_columns
-from autostat.operators.order import ordered_counts, quantile_at
+from autostat.functions.columns import is_numeric, melt, number, require_columns
+from autostat.operators.order import ordered_counts, plan_layout, quantile_at
 
 # Share of unreadable cells that keeps a column text, share of missing cells
 # below which rows are dropped, and the fence of the outlier rule.
@@ -36,6 +36,9 @@ class Cleaned:
     types: dict[str, str]
     log: list[Row] = field(default_factory=list)
     late: DataFrame | None = None
+    # Rows of the input, an upper bound for everything derived from it.
+    rows: int | None = None
+    missing: list[Row] | None = None
 
     def log_frame(self) -> DataFrame:
         known = self.frame.sparkSession.createDataFrame(self.log, LOG_SCHEMA)
@@ -55,27 +58,39 @@ def convert_types(df: DataFrame, columns: Sequence[str], keep_typed: Sequence[st
     Columns in `keep_typed` (time columns) are left as they are.
     """
     require_columns(df, columns)
-    text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType) and c not in keep_typed]
-    lost: dict[str, bool] = {}
-    if text:
-        bad = [F.count_if(F.col(c).isNotNull() & (F.col(c) != "nan") & number(df, c).isNull()) for c in text]
-        row = df.select(F.count(F.lit(1)), *bad).first()
-        lost = {c: row[i + 1] < TEXT_SHARE * row[0] for i, c in enumerate(text)}
-    types, log, cast = {}, [], {}
-    for c in columns:
+    text = {c for c in columns if isinstance(df.schema[c].dataType, T.StringType) and c not in keep_typed}
+    # One scan: for every column the missing cells if read as a number, and if kept as it is.
+    counts = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        as_is = F.col(c).isNull() | (F.col(c) == "nan") if c in text else F.col(c).isNull()
+        counts += [
+            F.count_if(number(df, c).isNull() if c in text or is_numeric(df, c) else F.lit(False)).alias(f"number{i}"),
+            F.count_if(as_is).alias(f"plain{i}"),
+        ]
+    seen = df.select(*counts).first()
+    n, types, log, cast, missing = seen["n"], {}, [], {}, []
+    for i, c in enumerate(columns):
+        as_number, plain = seen[f"number{i}"], seen[f"plain{i}"]
         if c in keep_typed:
-            types[c] = "time"
+            types[c], gone = "time", plain
         elif is_numeric(df, c):
-            types[c] = "numerical"
+            types[c], gone = "numerical", as_number
             cast[c] = number(df, c)
-        elif lost.get(c):
-            types[c] = "numerical"
+        elif c in text and as_number - plain < TEXT_SHARE * n:
+            types[c], gone = "numerical", as_number
             cast[c] = number(df, c)
             log.append(log_row("types", c, "converted to number", 0))
         else:
-            types[c] = "categorical"
+            types[c], gone = "categorical", plain
             cast[c] = F.nullif(F.col(c).cast("string"), F.lit("nan"))
-    return Cleaned(df.withColumns(cast) if cast else df, types, log)
+        missing.append(missing_row(c, gone, n))
+    return Cleaned(df.withColumns(cast) if cast else df, types, log, None, n, missing)
+
+
+def missing_row(column: str, n_missing: int, n: int) -> Row:
+    share = 100.0 * n_missing / n if n else 0.0
+    rule = "none" if n_missing == 0 else "drop" if share < DROP_PERCENT else "impute"
+    return Row(column=column, n_missing=n_missing, percent=round(share, 2), strategy=rule)
 
 
 def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,8 +116,12 @@ def drop_sparse_missing(df: DataFrame, columns: Sequence[str], report: Sequence[
     return df.dropna(subset=few) if few else df
 
 
-def median_value(df: DataFrame, column: str) -> float | None:
-    return ordered_counts(df.select(F.col(column).alias("__y")), "__y").agg(quantile_at("__y", 0.5)).first()[0]
+def median_values(df: DataFrame, columns: Sequence[str], at_most: int | None = None) -> dict[str, float]:
+    """Medians of several columns in one job; a column without a number has none."""
+    long = melt(df, columns)
+    layout = plan_layout(long, "value", at_most and at_most * len(columns))
+    ordered = ordered_counts(long, "value", ["column"], (), layout)
+    return dict(ordered.groupBy("column").agg(quantile_at("value", 0.5)).collect())
 
 
 def mode_value(df: DataFrame, column: str) -> str | None:
@@ -112,41 +131,44 @@ def mode_value(df: DataFrame, column: str) -> str | None:
     return row[0] if row else None
 
 
-def fill_missing(df: DataFrame, columns: Sequence[str], types: dict[str, str]) -> Cleaned:
+def fill_missing(
+    df: DataFrame, columns: Sequence[str], types: dict[str, str], report: Sequence[Row] | None = None,
+    at_most: int | None = None,
+) -> Cleaned:
     """Rows are dropped first, then columns missing 5 % or more are filled: median or mode."""
-    report = missing_report(df, columns).collect()
+    report = missing_report(df, columns).collect() if report is None else report
     log = []
     kept = drop_sparse_missing(df, columns, report)
-    few = [r for r in report if r["strategy"] == "drop"]
-    many = [r["column"] for r in report if r["strategy"] == "impute"]
-    for r in few:
-        log.append(log_row("missing", r["column"], "drop", r["n_missing"], r["percent"]))
+    for r in report:
+        if r["strategy"] == "drop":
+            log.append(log_row("missing", r["column"], "drop", r["n_missing"], r["percent"]))
+    many = {r["column"]: r["percent"] for r in report if r["strategy"] == "impute"}
     fills: dict[str, object] = {}
     if many:
-        left = kept.select(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()) for c in many]).first()
-        for i, c in enumerate(many):
-            percent = next(r["percent"] for r in report if r["column"] == c)
-            if not left[i + 1]:
-                log.append(log_row("missing", c, "impute", 0, percent))
-                continue
-            if types[c] == "numerical":
-                found = median_value(kept, c)
-                fills[c] = 0.0 if found is None else found
-            elif types[c] == "categorical":
-                found = mode_value(kept, c)
-                fills[c] = "Unknown" if found is None else found
-            else:
+        left = kept.select(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(many)]).first()
+        open_ = [c for i, c in enumerate(many) if left[i]]
+        numeric = [c for c in open_ if types[c] == "numerical"]
+        medians = median_values(kept, numeric, at_most) if numeric else {}
+        source = kept
+        for i, (c, percent) in enumerate(many.items()):
+            if types[c] == "time":
                 kept = kept.dropna(subset=[c])
-                log.append(log_row("missing", c, "drop", left[i + 1], percent))
+                log.append(log_row("missing", c, "drop", left[i], percent))
                 continue
-            log.append(log_row("missing", c, "impute", left[i + 1], percent, imputed_value=str(fills[c])))
+            if c in numeric:
+                fills[c] = medians.get(c, 0.0)
+            elif c in open_:
+                found = mode_value(source, c)
+                fills[c] = "Unknown" if found is None else found
+            log.append(log_row("missing", c, "impute", left[i], percent, imputed_value=str(fills[c]) if c in fills else None))
     return Cleaned(kept.fillna(fills) if fills else kept, types, log)
 
 
-def iqr_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:
+def iqr_bounds(df: DataFrame, column: str, at_most: int | None = None) -> tuple[float, float] | None:
     """Fences of one column, None when fewer than 4 rows."""
+    values = df.select(F.col(column).alias("__y"))
     row = (
-        ordered_counts(df.select(F.col(column).alias("__y")), "__y")
+        ordered_counts(values, "__y", layout=plan_layout(values, "__y", at_most))
         .agg(quantile_at("__y", 0.25).alias("q1"), quantile_at("__y", 0.75).alias("q3"), F.max("total").alias("n"))
         .first()
     )
@@ -156,12 +178,14 @@ def iqr_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:
     return row["q1"] - FENCE * width, row["q3"] + FENCE * width
 
 
-def iqr_filter(df: DataFrame, columns: Sequence[str], simultaneous: bool = False) -> Cleaned:
+def iqr_filter(
+    df: DataFrame, columns: Sequence[str], simultaneous: bool = False, at_most: int | None = None
+) -> Cleaned:
     """Keep rows inside the fences. Columns are taken in order, each on the rows left by the
     earlier ones; `simultaneous` takes every fence from the unfiltered rows instead."""
     kept, bounds = df, {}
     for c in columns:
-        limits = iqr_bounds(df if simultaneous else kept, c)
+        limits = iqr_bounds(df if simultaneous else kept, c, at_most)
         if limits:
             bounds[c] = limits
             inside = F.col(c).between(*[F.lit(v) for v in limits])
@@ -200,10 +224,11 @@ def clean(
     `carry` columns (segment and subject keys) are kept as they are.
     """
     typed = convert_types(df.select(*columns, *carry), columns, keep_typed)
-    filled = fill_missing(typed.frame, columns, typed.types)
+    n = typed.rows
+    filled = fill_missing(typed.frame, columns, typed.types, typed.missing, n)
     numeric = [c for c in columns if typed.types[c] == "numerical" and c not in never_filter]
     log = typed.log + filled.log
     if not (filter_outliers and numeric):
-        return Cleaned(filled.frame, typed.types, log)
-    within = iqr_filter(filled.frame, numeric)
-    return Cleaned(within.frame, typed.types, log, within.late)
+        return Cleaned(filled.frame, typed.types, log, None, n)
+    within = iqr_filter(filled.frame, numeric, at_most=n)
+    return Cleaned(within.frame, typed.types, log, within.late, n)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autostat.functions.columns import by_segment, direction, join_on, numeric_frame, ratio, strength
 from autostat.functions.tails import t_p
-from autostat.operators.order import attach, midrank, ordered_counts, plan_layout
+from autostat.operators.order import Layout, attach, midrank, ordered_counts, plan_layout
 
 
 def _report(df: DataFrame, keys: Sequence[str], method: str, alpha: float) -> DataFrame:
@@ -48,8 +48,15 @@ def pearson(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     return _report(flat, keys, "Pearson Correlation", alpha)
 
 
-def _ranked(pairs: DataFrame, column: str, seg: Sequence[str], out: str) -> DataFrame:
-    """Add the mid-rank of `column` within its segment, by looking its value up among the distinct values."""
+def _ranked(pairs: DataFrame, column: str, seg: Sequence[str], out: str, layout: Layout) -> DataFrame:
+    """Add the mid-rank of `column` within its segment.
+
+    Small data are ranked in place; otherwise each value is looked up among the ranked distinct values.
+    """
+    if layout.single:
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*seg, column))
+        first = F.rank().over(Window.partitionBy(*seg).orderBy(column))
+        return pairs.withColumn(out, first + (ties - 1) / 2)
     layout = plan_layout(pairs, column)
     ranks = ordered_counts(pairs, column, seg, (), layout).select(*seg, column, "cnt", midrank().alias(out))
     return attach(pairs, ranks, [*seg, column], layout, "cnt", [out])
@@ -68,7 +75,8 @@ def spearman(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     )
     seg = [*keys, "position", "variable"]
     pairs = rows.select(*keys, F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = _ranked(_ranked(pairs, "x", seg, "rx"), "y", seg, "ry")
+    size = plan_layout(pairs, "y")
+    ranked = _ranked(_ranked(pairs, "x", seg, "rx", size), "y", seg, "ry", size)
     flat = ranked.groupBy(*seg).agg(
         F.count(F.lit(1)).alias("n"),
         ratio(F.covar_samp("rx", "ry"), F.sqrt(F.var_samp("rx") * F.var_samp("ry"))).alias("raw"),

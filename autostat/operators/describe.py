@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autostat.functions.columns import by_segment, join_on, melt, numeric_frame
-from autostat.operators.order import mode_of, ordered_counts, quantile_at
+from autostat.operators.order import mode_of, ordered_counts, plan_layout, quantile_at
 
 
 @by_segment
-def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def describe(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), at_most: int | None = None
+) -> DataFrame:
     """One row per segment and column: count, mean, median, mode, std, variance, range, min, max.
 
     Unknown columns are skipped, as are columns without a number.
@@ -29,7 +31,8 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    ordered = ordered_counts(long, "value", at)
+    layout = plan_layout(long, "value", at_most and at_most * len(known))
+    ordered = ordered_counts(long, "value", at, (), layout)
     middle = ordered.groupBy(*at).agg(quantile_at("value", 0.5).alias("median"), mode_of("value").alias("mode"))
     both = join_on(moments, middle, at)
     return both.select(*at, "count", "mean", "median", "mode", "std", "variance", "range", "min", "max")

@@ -145,11 +145,11 @@ def normality_of(
 @by_segment
 def normality(
     df: DataFrame, column: str, keys: Sequence[str] = (),
-    small_limit: int = SMALL_LIMIT, alpha: float = NORMALITY_ALPHA,
+    small_limit: int = SMALL_LIMIT, alpha: float = NORMALITY_ALPHA, at_most: int | None = None,
 ) -> DataFrame:
     """One row per segment with at least 5 numbers: test, n, statistic, p-value, is_normal."""
     rows = numeric_frame(df, [column], keys).withColumnRenamed(column, "__y")
-    layout = plan_layout(rows, "__y")
+    layout = plan_layout(rows, "__y", at_most)
     ordered = ordered_counts(rows, "__y", keys, (), layout)
     found = normality_of(ordered, rows, layout, "__y", keys, small_limit, alpha)
     return found.withColumn("column", F.lit(column))

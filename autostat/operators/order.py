@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from autostat.functions.columns import join_on
 
 BUCKET_ROWS_CONF = "spark.autostat.bucketRows"
-DEFAULT_BUCKET_ROWS = 1_000_000
+DEFAULT_BUCKET_ROWS = 4_000_000
 # Bounds of the layout: cut points asked of the quantile sketch, and segments that may be large at once.
 CUT_POINTS = 1024
 LARGE_SEGMENTS = 10_000
@@ -57,9 +57,14 @@ class Layout:
         return coarse.withColumn(out, number).drop("__coarse")
 
 
-def plan_layout(df: DataFrame, value: str) -> Layout:
-    """Count the rows; cut points (literals from a quantile sketch) only when one bucket is too few."""
+def plan_layout(df: DataFrame, value: str, at_most: int | None = None) -> Layout:
+    """Count the rows; cut points (literals from a quantile sketch) only when one bucket is too few.
+
+    A caller that already knows an upper bound on the rows passes it and may save the count.
+    """
     limit = bucket_rows(df)
+    if at_most is not None and at_most <= limit:
+        return Layout(at_most, limit)
     rows = df.select(F.count(value)).first()[0]
     if rows <= limit:
         return Layout(rows, limit)

@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autostat.functions.columns import by_segment, numeric_frame, ratio
-from autostat.operators.order import ordered_counts, quantile_at
+from autostat.operators.order import ordered_counts, plan_layout, quantile_at
 
 FENCE = 1.5
 
 
 @by_segment
-def box_stats(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
+def box_stats(
+    df: DataFrame, y: str, group: str, keys: Sequence[str] = (), at_most: int | None = None
+) -> DataFrame:
     """Per group: n, quartiles, whisker ends (furthest points within 1.5 IQR), number of fliers."""
     at = [*keys, group]
     rows = numeric_frame(df, [y], at).where(F.col(group).isNotNull()).withColumnRenamed(y, "__y")
     y = "__y"
-    ordered = ordered_counts(rows, y, at)
+    ordered = ordered_counts(rows, y, at, (), plan_layout(rows, y, at_most))
     box = ordered.groupBy(*at).agg(
         F.max("total").alias("n"), quantile_at(y, 0.25).alias("q1"), quantile_at(y, 0.5).alias("median"), quantile_at(y, 0.75).alias("q3"),
     )

@@ -25,6 +25,9 @@ from autostat.operators.series import (
 from autostat.sources.checkpoints import cut_lineage
 
 SHORTEST, STEPS, LEVEL = 10, 5, 0.05
+SERIES_TABLES = ("stationarity_log", "model", "coefficients", "forecast", "history")
+# Up to this length all lag products are taken in the first pass: no bandwidth can need more.
+SHORT_SERIES = 200
 
 # Unit-root p-value surface with a constant (MacKinnon 1994), high order first, and its limits.
 UNIT_ROOT_SMALL = (0.038269, 1.4412, 2.1659)
@@ -155,20 +158,23 @@ class Stationarity:
         self.at = [*self.keys, "d"]
         # The longest series bounds every window; the row count is such a bound.
         rows = series.layout.rows
-        if self.keys:
+        if self.keys and rows > SHORT_SERIES:
             rows = series.frame.agg(F.max("pos")).first()[0] or 1
-        self.widest = widest_lags(rows) + 1
+        self.complete = rows <= SHORT_SERIES
+        self.widest = rows if self.complete else widest_lags(rows) + 1
         self.rows = centred(series, column, self.widest + 1)
         longest = F.greatest(most_lags(F.col("n")), F.lit(0))
-        self.longest = longest
-        products = lag_products(self.rows, self.keys, longest + 1, self.widest)
+        most = F.col("n") if self.complete else longest + 1
+        products = lag_products(self.rows, self.keys, most, self.widest)
         ends = end_values(self.rows, self.keys, longest + 2)
         self.stats = join_on(ends, products, self.at).withColumn("longest", longest.cast("int"))
 
     def _long_run(self) -> DataFrame:
         """(keys, d, n, bandwidth, lr): long-run variance with the automatic bandwidth."""
         known = self.stats.withColumn("bandwidth", _auto_bandwidth())
-        top = known.agg(F.max(F.col("bandwidth") - F.size("products") + 1).alias("more"), F.max("bandwidth")).first()
+        top = (0, 0)
+        if not self.complete:
+            top = known.agg(F.max(F.col("bandwidth") - F.size("products") + 1), F.max("bandwidth")).first()
         if (top[0] or 0) > 0:
             # Some series needs lags beyond the first pass: one more pass, wide enough for all.
             wide = int(top[1])

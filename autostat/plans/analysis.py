@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import cache as cached
+from functools import partial
+
 from pyspark.sql import DataFrame
 
 from autostat.operators import cleaning
@@ -13,7 +17,7 @@ from autostat.operators.normality import normality
 from autostat.operators.plotdata import box_stats, trend_line
 from autostat.operators.profile import MIN_ROWS, enough_rows
 from autostat.operators.regress import coefficients, fit_summary, regression, vif_log
-from autostat.operators.timeseries import analyze_series
+from autostat.operators.timeseries import SERIES_TABLES, analyze_series
 from autostat.plans.routing import Comparison, auto_test, correlation
 from autostat.plans.spec import AnalysisSpec
 from autostat.sources.checkpoints import cut_lineage
@@ -34,44 +38,64 @@ def prepare(df: DataFrame, spec: AnalysisSpec) -> cleaning.Cleaned:
     return cleaning.clean(df, columns, timed, never, outliers, [c for c in carry if c not in columns])
 
 
-def analyze(df: DataFrame, spec: AnalysisSpec) -> dict[str, DataFrame]:
-    """Run an analysis; the tables are lazy, except for the one-row decisions the route depends on."""
+class Tables(Mapping):
+    """Named result tables, each planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def analyze(df: DataFrame, spec: AnalysisSpec) -> Mapping[str, DataFrame]:
+    """Run an analysis. Cleaning decisions are taken here; every result table is planned on first use."""
     spec = spec.resolve(df)
     if not enough_rows(df):
         raise ValueError(f"at least {MIN_ROWS} rows are needed")
     cleaned = prepare(df, spec)
-    rows = cleaned.frame
+    rows, n, keys = cleaned.frame, cleaned.rows, list(spec.keys)
     if not enough_rows(rows):
         raise ValueError(f"fewer than {MIN_ROWS} rows are left after cleaning")
-    out = {"cleaning_log": cleaned.log_frame()}
-    keys = list(spec.keys)
+    out: dict[str, Callable[[], DataFrame]] = {"cleaning_log": cleaned.log_frame}
     if spec.time_col:
-        return {**out, **analyze_series(rows, spec.time_col, spec.y, spec.xs, keys)}
+        series = cached(lambda: analyze_series(rows, spec.time_col, spec.y, spec.xs, keys))
+        for name in SERIES_TABLES:
+            out[name] = partial(lambda name: series()[name], name)
+        return Tables(out)
     if spec.source == "questionnaire" and len(spec.xs) >= 2:
-        out["instrument"] = instrument(rows, spec.xs, keys)
-    described = [spec.y, *spec.xs, *([spec.mediator] if spec.mediator else [])]
-    out["describe"] = describe(rows, described, keys)
+        out["instrument"] = lambda: instrument(rows, spec.xs, keys)
+    described = list(dict.fromkeys([spec.y, *spec.xs, *([spec.mediator] if spec.mediator else [])]))
+    out["describe"] = lambda: describe(rows, described, keys, n)
     if spec.goal == "compare":
-        parts = Comparison(rows, spec)
+        parts = Comparison(rows, spec, n)
         out |= {
-            "normality": parts.normality(), "test_result": parts.result, "group_summary": parts.summary,
-            "post_hoc": parts.post_hoc(), "box_stats": box_stats(rows, spec.y, spec.group, keys),
+            "normality": parts.normality, "test_result": lambda: parts.result, "group_summary": lambda: parts.summary,
+            "post_hoc": parts.post_hoc, "box_stats": lambda: box_stats(rows, spec.y, spec.group, keys, n),
         }
-        return out
-    gate = normality(rows, spec.y, keys, spec.small_n, spec.normality_alpha)
+        return Tables(out)
+    gate = cached(lambda: cut_lineage(normality(rows, spec.y, keys, spec.small_n, spec.normality_alpha, n)))
     out["normality"] = gate
     if spec.goal == "influence":
-        table = cut_lineage(regression(rows, spec.y, spec.xs, keys, spec.alpha, spec.vif_limit))
+        table = cached(lambda: cut_lineage(regression(rows, spec.y, spec.xs, keys, spec.alpha, spec.vif_limit)))
         out |= {
-            "coefficients": coefficients(table, keys), "fit": fit_summary(table, keys),
-            "vif_log": vif_log(rows, spec.y, spec.xs, keys, spec.vif_limit),
-            "trend_line": trend_line(rows, spec.y, spec.xs[0], keys),
+            "coefficients": lambda: coefficients(table(), keys), "fit": lambda: fit_summary(table(), keys),
+            "vif_log": lambda: vif_log(rows, spec.y, spec.xs, keys, spec.vif_limit),
+            "trend_line": lambda: trend_line(rows, spec.y, spec.xs[0], keys),
         }
     elif spec.goal == "correlate":
-        out["correlation"] = correlation(rows, spec, gate)
-        out["correlation_matrix"] = correlation_matrix(rows, list(dict.fromkeys([spec.y, *spec.xs])), keys)
+        out["correlation"] = lambda: correlation(rows, spec, gate())
+        out["correlation_matrix"] = lambda: correlation_matrix(rows, list(dict.fromkeys([spec.y, *spec.xs])), keys)
     else:
-        wide = cut_lineage(mediation(rows, spec.y, spec.xs[0], spec.mediator, keys, spec.alpha))
-        out |= {"mediation": wide, "paths": mediation_paths(wide, keys, spec.alpha)}
-    out["test_result"] = auto_test(rows, spec)
-    return out
+        wide = cached(lambda: cut_lineage(mediation(rows, spec.y, spec.xs[0], spec.mediator, keys, spec.alpha)))
+        out |= {"mediation": wide, "paths": lambda: mediation_paths(wide(), keys, spec.alpha)}
+    out["test_result"] = lambda: auto_test(rows, spec, n)
+    return Tables(out)

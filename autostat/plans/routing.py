@@ -33,7 +33,8 @@ NORMALITY_COLUMNS = ["column", "test_name", "n", "statistic", "p_value", "is_nor
 class Comparison:
     """One comparison: the data are ordered and aggregated once into `facts`, every table is read off it."""
 
-    def __init__(self, df: DataFrame, spec: AnalysisSpec):
+    def __init__(self, df: DataFrame, spec: AnalysisSpec, at_most: int | None = None):
+        self.at_most = at_most
         # Working names, so that the table's own column names cannot meet ours.
         self.label, self.group_name = spec.y, spec.group
         df, self.names = own_keys(df, spec.keys)
@@ -52,7 +53,7 @@ class Comparison:
         """
         spec, keys, y, group = self.spec, self.keys, self.spec.y, self.spec.group
         at = [*keys, group]
-        layout = plan_layout(self.rows, y)
+        layout = plan_layout(self.rows, y, self.at_most)
         ordered = ordered_counts(self.rows, y, keys, [group], layout)
         normal = normality_of(
             ordered, self.rows.select(*keys, y), layout, y, keys, spec.small_n, spec.normality_alpha
@@ -152,11 +153,11 @@ def _row(df: DataFrame, keys: Sequence[str], **columns) -> DataFrame:
     return df.select(*keys, *[values[c].cast(types.get(c, "double")).alias(c) for c in TEST_COLUMNS])
 
 
-def auto_test(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
+def auto_test(df: DataFrame, spec: AnalysisSpec, at_most: int | None = None) -> DataFrame:
     """One test row per segment for any goal (time series excepted), chosen by the routing rules."""
     spec, keys = spec.validated(), list(spec.keys)
     if spec.goal == "compare":
-        return Comparison(df, spec).result
+        return Comparison(df, spec, at_most).result
     if spec.goal == "influence":
         fit = fit_summary(regression(df, spec.y, spec.xs, keys, spec.alpha, spec.vif_limit), keys)
         return _row(
