@@ -11,16 +11,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autostat.functions.columns import by_segment, numeric_frame, ratio
+from autostat.functions.columns import by_segment, number, numeric_frame, ratio
 
 
-def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, means, cov): cov is the upper triangle by rows; rows with a missing cell are left out."""
-    rows = numeric_frame(df, columns, keys).dropna(how="any", subset=list(columns))
+def gram(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
+    """(keys, n, means, cov): cov is the upper triangle by rows; rows with a missing cell are left out.
+
+    `extra` aggregates ride along in the same pass over the complete rows.
+    """
+    if extra:
+        rows = df.withColumns({c: number(df, c) for c in columns})
+    else:
+        rows = numeric_frame(df, columns, keys)
+    rows = rows.dropna(how="any", subset=list(columns))
     means = F.array(*[F.avg(c) for c in columns])
     cov = F.array(*[F.covar_samp(a, b) for i, a in enumerate(columns) for b in columns[i:]])
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), means.alias("means"), cov.alias("cov"))
-    return out.where("n >= 2")
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), means.alias("means"), cov.alias("cov"), *extra)
+    return out.withColumnRenamed("__rows", "n").where("n >= 2")
 
 
 def cell(k: int, i: int, j: int) -> Column:

@@ -94,9 +94,9 @@ def seasonal_difference(series: Series, column: str, gap: int) -> DataFrame:
 
 
 def differenced(series: Series, column: str, halo: int) -> DataFrame:
-    """Long form (keys, d, chunk, pos, own, z, n): the series and its first two differences at once.
+    """Long form (keys, d, chunk, pos, own, level, z): the series and its first two differences at once.
 
-    `pos` and `n` count within the differenced series. One shuffle for all degrees.
+    `pos` counts within the differenced series. One shuffle for all degrees.
     """
     order = ordered_by(series.keys)
     rows = chunked(series, halo + MAX_DIFFERENCES).withColumnRenamed(column, "z0")
@@ -106,7 +106,8 @@ def differenced(series: Series, column: str, halo: int) -> DataFrame:
         (F.col("z0") - F.col("l1")).alias("z1"), (F.col("z0") - 2 * F.col("l1") + F.col("l2")).alias("z2"),
     )
     degrees = [F.struct(F.lit(d).alias("d"), F.col(f"z{d}").alias("z")) for d in range(MAX_DIFFERENCES + 1)]
-    long = rows.select(*series.keys, "chunk", "pos", "own", F.inline(F.array(*degrees))).where(F.col("z").isNotNull())
+    level = F.col("z0").alias("level")
+    long = rows.select(*series.keys, "chunk", "pos", "own", level, F.inline(F.array(*degrees))).where(F.col("z").isNotNull())
     return long.withColumn("pos", F.col("pos") - F.col("d"))
 
 

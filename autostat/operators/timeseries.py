@@ -116,25 +116,29 @@ def unit_root(products, head, tail, n: int, longest: int) -> tuple[float, int]:
     return float(beta[1] / math.sqrt(error * inverse[1, 1])), p
 
 
-def _unit_root_rows(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    fields = T.StructType([*[stats.schema[k] for k in [*keys, "d"]], *T.StructType.fromDDL("adf_stat double, adf_lag int, adf_p double").fields])
-    width, names = len(keys) + 1, fields.fieldNames()
+def _with_unit_root(stats: DataFrame) -> DataFrame:
+    """Add adf_stat, adf_lag, adf_p to every row of `Stationarity.stats`."""
+    names = stats.columns
+    fields = T.StructType([*stats.schema.fields, *T.StructType.fromDDL("adf_stat double, adf_lag int, adf_p double").fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            found = []
             for row in batch.itertuples(index=False):
-                found = (None, None, 1.0)
+                result = (np.nan, None, 1.0)
                 try:
-                    stat, lag = unit_root(*(np.asarray(v, float) for v in (row.products, row.head, row.tail)), int(row.n), int(row.longest))
+                    ends = (np.asarray(v, float) for v in (row.products, row.head, row.tail))
+                    stat, lag = unit_root(*ends, int(row.n), int(row.longest))
                     if math.isfinite(stat):
-                        found = (stat, lag, unit_root_p(stat))
+                        result = (stat, lag, unit_root_p(stat))
                 except (np.linalg.LinAlgError, ZeroDivisionError, ValueError):
                     pass  # a constant or too short series has no unit-root statistic: not stationary
-                out.append((*row[:width], *found))
-            yield pd.DataFrame(out, columns=names)
+                found.append(result)
+            more = pd.DataFrame(found, columns=["adf_stat", "adf_lag", "adf_p"], index=batch.index)
+            more["adf_lag"] = more["adf_lag"].astype("Int32")
+            yield pd.concat([batch[names], more], axis=1)
 
-    return stats.select(*keys, "d", "n", "products", "head", "tail", "longest").mapInPandas(run, fields)
+    return stats.mapInPandas(run, fields)
 
 
 def _auto_bandwidth() -> Column:
@@ -166,43 +170,41 @@ class Stationarity:
         longest = F.greatest(most_lags(F.col("n")), F.lit(0))
         most = F.col("n") if self.complete else longest + 1
         products = lag_products(self.rows, self.keys, most, self.widest)
-        ends = end_values(self.rows, self.keys, longest + 2)
-        self.stats = join_on(ends, products, self.at).withColumn("longest", longest.cast("int"))
+        ends = end_values(self.rows, self.keys, longest + 2).withColumn("longest", longest.cast("int"))
+        walks = squared_partial_sums(self.rows, self.keys)
+        # One row per series and degree: all tests and the first autoregression start from here.
+        self.stats = cut_lineage(join_on(join_on(ends, products, self.at), walks, self.at))
 
     def _long_run(self) -> DataFrame:
-        """(keys, d, n, bandwidth, lr): long-run variance with the automatic bandwidth."""
-        known = self.stats.withColumn("bandwidth", _auto_bandwidth())
+        """`stats` with the bandwidth and the long-run variance it gives."""
+        known = self.stats.withColumn("bandwidth", _auto_bandwidth()).withColumn("wide", F.col("products"))
         top = (0, 0)
         if not self.complete:
             top = known.agg(F.max(F.col("bandwidth") - F.size("products") + 1), F.max("bandwidth")).first()
         if (top[0] or 0) > 0:
             # Some series needs lags beyond the first pass: one more pass, wide enough for all.
             wide = int(top[1])
-            again = Series(self.series.frame, self.keys, self.series.values, self.series.layout)
-            rows = centred(again, self.column, wide)
-            need = known.select(*self.at, "n", "bandwidth")
-            rows = attach(rows, need.withColumn("w", F.col("n")), self.at, self.series.layout, "w", ["bandwidth"])
-            products = lag_products(rows, self.keys, F.lit(wide), wide)
-            known = join_on(known.drop("products"), products, self.at)
+            rows = centred(self.series, self.column, wide)
+            need = known.select(*self.at, F.col("n").alias("w"), "bandwidth")
+            rows = attach(rows, need, self.at, self.series.layout, "w", ["bandwidth"])
+            products = lag_products(rows, self.keys, F.col("bandwidth"), wide)
+            known = join_on(known.drop("wide"), products.withColumnRenamed("products", "wide"), self.at)
         w = F.col("bandwidth")
         lags = F.when(w > 0, F.sequence(F.lit(1), F.greatest(w, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        lr = F.aggregate(
-            lags, F.col("products")[0], lambda a, i: a + 2 * F.col("products")[i] * (1 - i / (w + 1.0))
-        ) / F.col("n")
-        return known.select(*self.at, "n", "bandwidth", lr.alias("lr"))
+        lr = F.aggregate(lags, F.col("wide")[0], lambda a, i: a + 2 * F.col("wide")[i] * (1 - i / (w + 1.0))) / F.col("n")
+        return known.withColumn("lr", lr).drop("wide")
 
     def tests(self) -> DataFrame:
         """One row per series and degree 0, 1, 2: both statistics, p-values and the verdict."""
-        kpss = join_on(self._long_run(), squared_partial_sums(self.rows, self.keys), self.at)
         n = F.col("n").cast("double")
-        stat = F.try_divide(F.col("walk") / (n * n), F.col("lr"))
-        kpss = kpss.select(*self.at, "n", "bandwidth", stat.alias("kpss_stat"))
-        both = join_on(kpss, _unit_root_rows(self.stats, self.keys), self.at)
+        both = _with_unit_root(self._long_run())
+        both = both.withColumn("kpss_stat", F.try_divide(F.col("walk") / (n * n), F.col("lr")))
         p = F.when(F.col("kpss_stat").isNull(), 0.0).otherwise(kpss_p(F.col("kpss_stat")))
         both = both.withColumn("kpss_p", p)
         verdict = (F.col("adf_p") < LEVEL) & (F.col("kpss_p") >= LEVEL)
+        adf = F.when(~F.isnan("adf_stat"), F.col("adf_stat")).alias("adf_stat")
         return both.select(
-            *self.at, "n", "adf_stat", "adf_lag", "adf_p", "kpss_stat", F.col("bandwidth").alias("kpss_lag"), "kpss_p",
+            *self.at, "n", adf, "adf_lag", "adf_p", "kpss_stat", F.col("bandwidth").alias("kpss_lag"), "kpss_p",
             verdict.alias("is_stationary"),
         )
 
@@ -234,8 +236,8 @@ def long_order(n: Column) -> Column:
 
 
 def _long_autoregression(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, d, weights): residual weights (1, -phi1, -phi2, ..) of the long autoregression."""
-    fields = T.StructType([*[stats.schema[k] for k in [*keys, "d"]], *T.StructType.fromDDL("weights array<double>, shift double").fields])
+    """(keys, d, weights, shift, size): residual weights (1, -phi1, ..), constant and length of the long autoregression."""
+    fields = T.StructType([*[stats.schema[k] for k in [*keys, "d"]], *T.StructType.fromDDL("weights array<double>, shift double, size long").fields])
     width, names = len(keys) + 1, fields.fieldNames()
 
     def run(batches):
@@ -247,7 +249,7 @@ def _long_autoregression(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
                 # The pseudo-inverse gives zero weights to a constant series.
                 x = [0, *range(2, m + 2)]
                 beta = np.linalg.pinv(levels[np.ix_(x, x)]) @ levels[x, 1]
-                out.append((*row[:width], [1.0, *(-beta[1:])], float(beta[0])))
+                out.append((*row[:width], [1.0, *(-beta[1:])], float(beta[0]), int(row.n)))
             yield pd.DataFrame(out, columns=names)
 
     return stats.select(*keys, "d", "n", "products", "head", "tail", "order").mapInPandas(run, fields)
@@ -263,7 +265,7 @@ def _arma_fit(moments: np.ndarray, p: int, q: int, constant: bool):
     return beta, inverse, rss / n, x
 
 
-def _arma_rows(n: int, means, cov, d: int, mean: float, tail_z, tail_r, levels) -> list[tuple]:
+def _arma_rows(n: int, means, cov, d: int, tail_z, tail_r, levels) -> list[tuple]:
     full = np.empty((6, 6))
     means = np.asarray(means, float)
     full[0, 0], full[0, 1:] = n, n * means
@@ -306,10 +308,7 @@ def arma(stationarity: Stationarity, degrees: DataFrame) -> DataFrame:
     """All nine (p, q) orders of every series at its differencing degree; lowest AIC is `best`."""
     s, keys = stationarity, stationarity.keys
     stats = join_on(s.stats, degrees, keys).where(F.col("d") == F.col("degree")).drop("degree")
-    order = long_order(F.col("n"))
-    solved = _long_autoregression(stats.withColumn("order", order), keys)
-    solved = join_on(solved, stats.select(*s.at, "n"), s.at).withColumn("size", F.col("n"))
-    weights = solved.select(*s.at, "size", "weights", "shift")
+    weights = _long_autoregression(stats.withColumn("order", long_order(F.col("n"))), keys)
     rows = attach(s.rows, weights, s.at, s.series.layout, "size", ["weights", "shift"]).where(F.col("weights").isNotNull())
     back = ordered_by(keys, "d")
     recent = F.reverse(F.collect_list("e").over(back.rowsBetween(-s.widest, 0)))
@@ -323,20 +322,11 @@ def arma(stationarity: Stationarity, degrees: DataFrame) -> DataFrame:
         {"z1": F.lag("z").over(back), "z2": F.lag("z", 2).over(back), "r1": F.lag("r").over(back), "r2": F.lag("r", 2).over(back)}
     ).where("own")
     at = [*s.at]
-    moments = gram(lagged, ["z", "z1", "z2", "r1", "r2"], at)
-    tail = (
-        lagged.where(F.col("pos") > F.col("n") - 2)
-        .groupBy(*at)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "z", "r"))).alias("t"), F.max("m").alias("mean"))
-    )
-    # The last two original levels, to undo the differencing.
-    level_rows = s.rows.where(F.col("own") & (F.col("d") == 0) & (F.col("pos") > F.col("n") - 2))
-    levels = level_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("v"))
-    base = join_on(join_on(moments, tail, at), levels, keys)
-    base = base.select(
-        *at, "n", "means", "cov", "mean", F.transform("t", lambda x: x["z"]).alias("tail_z"),
-        F.transform("t", lambda x: F.coalesce(x["r"], F.lit(0.0))).alias("tail_r"), F.transform("v", lambda x: x["z"]).alias("levels"),
-    )
+    # Moments and the last two values (original level, z, residual) in one pass.
+    last = F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("n") - 2, F.struct("pos", "z", "r", "level"))))
+    base = gram(lagged, ["z", "z1", "z2", "r1", "r2"], at, [last.alias("t")])
+    ends = [F.col(f"t.{c}").alias(f"last_{c}") for c in ("z", "r", "level")]
+    base = base.select(*at, "n", "means", "cov", *ends)
     fields = T.StructType([*[base.schema[k] for k in at], *T.StructType.fromDDL(ARMA_FIELDS).fields])
     width, names, d_at = len(at), fields.fieldNames(), len(keys)
 
@@ -344,7 +334,7 @@ def arma(stationarity: Stationarity, degrees: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                found = _arma_rows(int(row.n), row.means, row.cov, int(row[d_at]), float(row.mean), row.tail_z, row.tail_r, row.levels)
+                found = _arma_rows(int(row.n), row.means, row.cov, int(row[d_at]), row.last_z, row.last_r, row.last_level)
                 out += [(*row[:width], *f) for f in found]
             yield pd.DataFrame(out, columns=names)
 
@@ -416,12 +406,11 @@ def var(series: Series, degrees: DataFrame) -> DataFrame:
     rows = rows.withColumns(lagged).where("own")
     usable = F.least(F.lit(longest), F.floor((F.col("n") - F.col("degree")) / 5)).cast("int")
     named = [*[f"__{c}" for c in columns], *[f"__{c}_{i}" for i in range(1, longest + 1) for c in columns]]
-    moments = gram(rows, named, keys)
-    tail = rows.where(F.col("pos") > F.col("n") - longest).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.array(*[f"__{c}" for c in columns]).alias("v"), F.col(columns[0]).alias("y")))).alias("t"),
-        F.max("degree").alias("d"), F.max(usable).alias("usable"),
-    )
-    base = join_on(moments, tail, keys).where("usable >= 1").select(
+    # Moments and the last rows in one pass.
+    now = F.struct("pos", F.array(*[f"__{c}" for c in columns]).alias("v"), F.col(columns[0]).alias("y"))
+    last = F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("n") - longest, now)))
+    base = gram(rows, named, keys, [last.alias("t"), F.max("degree").alias("d"), F.max(usable).alias("usable")])
+    base = base.where("usable >= 1").select(
         *keys, "n", "means", "cov", "d", "usable", F.transform("t", lambda x: x["v"]).alias("history"),
         F.transform("t", lambda x: x["y"]).alias("last"),
     )
@@ -482,8 +471,7 @@ def _analyze_series(
     elif series.layout.rows < SHORTEST:
         raise ValueError(f"a time series needs at least {SHORTEST} rows")
     work = Stationarity(Series(series.frame.select(*keys, "pos", y), keys, [y], series.layout), y)
-    # One row per series and degree; the model and the log start from it.
-    tests = cut_lineage(work.tests())
+    tests = work.tests()
     degrees = degree_of(tests, keys)
     if xs:
         best = cut_lineage(var(series, degrees))
