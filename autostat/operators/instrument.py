@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,22 @@ def instrument(df: DataFrame, items: Sequence[str], keys: Sequence[str] = ()) ->
     if len(items) < 2:
         raise ValueError("an instrument needs at least 2 items")
     k = len(items)
-    own = [cell(k, i, i) for i in range(k)]
-    with_all = [sum((cell(k, i, j) for j in range(k)), F.lit(0.0)) for i in range(k)]
-    total = sum(with_all, F.lit(0.0))
-    share = ratio(sum(own, F.lit(0.0)), total)
-    alpha = F.when(total == 0, 0.0).otherwise((1 - share) * (k / (k - 1)))
+    # Per item its variance and its covariance with the sum of all items; the total variance is their sum.
+    shared = [reduce(lambda a, b: a + b, [cell(k, i, j) for j in range(k)]) for i in range(k)]
+    base = gram(df, items, keys).where(F.col("n") >= SMALLEST).select(
+        *keys, "n", F.array(*[cell(k, i, i) for i in range(k)]).alias("own"), F.array(*shared).alias("shared")
+    )
+    add = lambda a, x: a + x
+    base = base.withColumns(
+        {"total": F.aggregate("shared", F.lit(0.0), add), "single": F.aggregate("own", F.lit(0.0), add)}
+    )
+    alpha = F.when(F.col("total") == 0, 0.0).otherwise((1 - ratio(F.col("single"), F.col("total"))) * (k / (k - 1)))
     rows = []
     for i, item in enumerate(items):
-        others = total - 2 * with_all[i] + own[i]
-        r = ratio(with_all[i] - own[i], F.sqrt(F.greatest(own[i] * others, F.lit(0.0))))
+        own, with_all = F.col("own")[i], F.col("shared")[i]
+        others = F.col("total") - 2 * with_all + own
+        r = ratio(with_all - own, F.sqrt(F.greatest(own * others, F.lit(0.0))))
         rows.append(F.struct(F.lit(i).alias("position"), F.lit(item).alias("item"), r.alias("raw")))
-    base = gram(df, items, keys).where(F.col("n") >= SMALLEST)
     flat = base.select(*keys, "n", alpha.alias("cronbach_alpha"), F.inline(F.array(*rows)))
     dof = (F.col("n") - 2).cast("double")
     t = F.when(F.abs("raw") >= 1, F.lit(1e150)).otherwise(F.col("raw") * F.sqrt(dof / (1 - F.col("raw") * F.col("raw"))))

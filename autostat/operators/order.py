@@ -19,8 +19,9 @@ from autostat.functions.columns import join_on
 
 BUCKET_ROWS_CONF = "spark.autostat.bucketRows"
 DEFAULT_BUCKET_ROWS = 4_000_000
-# Bounds of the layout: cut points asked of the quantile sketch, and segments that may be large at once.
+# Bounds of the layout: cut points, rows looked at to place them, and segments that may be large at once.
 CUT_POINTS = 1024
+CUT_ROWS = 1_000_000
 LARGE_SEGMENTS = 10_000
 
 
@@ -70,7 +71,11 @@ def plan_layout(df: DataFrame, value: str, at_most: int | None = None) -> Layout
         return Layout(rows, limit)
     wanted = min(CUT_POINTS, -(-rows // limit))
     probs = [i / wanted for i in range(wanted + 1)]
-    cuts = df.select(F.percentile_approx(value, probs, 20 * CUT_POINTS)).first()[0]
+    # As in a range shuffle, a look at some rows is enough to place the cuts (it keeps the sketches of many
+    # tasks small). They only decide which task orders a row; every row is counted, whatever the cuts.
+    share = min(1.0, CUT_ROWS / rows)
+    seen = df.select(value) if share == 1.0 else df.select(value).sample(fraction=share, seed=11)
+    cuts = seen.select(F.percentile_approx(value, probs, 20 * CUT_POINTS)).first()[0] or []
     parts = -(-rows // (limit * CUT_POINTS))
     return Layout(rows, limit, tuple(sorted(set(cuts))), parts)
 
@@ -167,8 +172,8 @@ def attach(
 ) -> DataFrame:
     """Left-join `columns` of `right`, which has one row per key tuple and in `weight` its number of left rows.
 
-    A key tuple holding more than a thousandth of the rows is looked up in a broadcast of at most
-    1000 such tuples; only the others are shuffled, so no hot key can fill one task.
+    A key tuple holding more than a thousandth of the laid-out rows is looked up in a broadcast (such tuples
+    number 1000 per row kind at most); only the others are shuffled, so no hot key can fill one task.
     """
     keys = list(keys)
     if layout.single or not keys:

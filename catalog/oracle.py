@@ -213,16 +213,10 @@ def spearman_rows(source: str, y: str, xs: list[str], keys: str = "") -> str:
     )
 
 
-def mediation_sql(x: str, m: str, y: str, digits: int, z_digits: int) -> str:
+def mediation_cte(x: str, m: str, y: str) -> str:
     s = ", ".join(
         f"covar_samp({p},{q}) AS {n}" for n, p, q in (("xx", x, x), ("mm", m, m), ("yy", y, y), ("xm", x, m), ("xy", x, y), ("my", m, y))
     )
-    rows = []
-    for path, coef, se, dof in (("a", "a", "sa", "n-2"), ("b", "b", "sb", "n-3"), ("c_prime", "cp", "sp", "n-3"), ("c", "c", "sc", "n-2")):
-        rows.append(
-            f"SELECT n, kind, '{path}' AS path, {coef} AS k, {se} AS s, {coef}/{se} AS z, {t_p(f'({coef}/{se})', dof)} AS p FROM w"
-        )
-    rows.append("SELECT n, kind, 'indirect', a*b, NULL, sz, sp2 FROM w")
     return f"""WITH {CHARGED}, q AS (SELECT count(*) AS n, {s} FROM charged),
 r AS (SELECT *, xm/xx AS a, xy/xx AS c, (my*xx - xm*xy)/(xx*mm - xm*xm) AS b, (xy*mm - my*xm)/(xx*mm - xm*xm) AS cp FROM q),
 u AS (SELECT *, (yy - b*my - cp*xy)*(n-1)/(n-3) AS s2 FROM r),
@@ -230,7 +224,17 @@ v AS (SELECT *, sqrt((mm - a*xm)*(n-1)/(n-2)/(xx*(n-1))) AS sa, sqrt((yy - c*xy)
   sqrt(s2/((mm - xm*xm/xx)*(n-1))) AS sb, sqrt(s2/((xx - xm*xm/mm)*(n-1))) AS sp FROM u),
 v2 AS (SELECT *, a*b/sqrt(b*b*sa*sa + a*a*sb*sb) AS sz FROM v),
 v3 AS (SELECT *, {two_sided_normal("sz")} AS sp2, {t_p("(cp/sp)", "n-3")} AS pcp FROM v2),
-w AS (SELECT *, CASE WHEN sp2 >= 0.05 THEN 'none' WHEN pcp < 0.05 THEN 'partial' ELSE 'full' END AS kind FROM v3),
+w AS (SELECT *, CASE WHEN sp2 >= 0.05 THEN 'none' WHEN pcp < 0.05 THEN 'partial' ELSE 'full' END AS kind FROM v3)"""
+
+
+def mediation_sql(x: str, m: str, y: str, digits: int, z_digits: int) -> str:
+    rows = []
+    for path, coef, se, dof in (("a", "a", "sa", "n-2"), ("b", "b", "sb", "n-3"), ("c_prime", "cp", "sp", "n-3"), ("c", "c", "sc", "n-2")):
+        rows.append(
+            f"SELECT n, kind, '{path}' AS path, {coef} AS k, {se} AS s, {coef}/{se} AS z, {t_p(f'({coef}/{se})', dof)} AS p FROM w"
+        )
+    rows.append("SELECT n, kind, 'indirect', a*b, NULL, sz, sp2 FROM w")
+    return f"""{mediation_cte(x, m, y)},
 o AS ({" UNION ALL ".join(rows)})
 SELECT n, kind AS mediation_type, path, round(k,{digits}) AS coefficient, round(s,{digits}) AS std_err, round(z,{z_digits}) AS statistic,
   round(p,{digits}) AS p_value, p < 0.05 AS is_significant FROM o"""
@@ -447,6 +451,19 @@ SELECT round::BIGINT AS round, variable, round(vif,3) AS vif, gone AS eliminated
     ),
     "mediation_full": mediation_sql("price", "discounted", "charge", 5, 2),
     "mediation_none": mediation_sql("l_discount", "l_quantity", "price", 4, 4),
+    "auto_mediate": f"""{mediation_cte("price", "discounted", "charge")}, p AS (SELECT *, sp2 AS p FROM w)
+SELECT 'Path Analysis (Simple Mediation)' AS test, round(sz,2) AS statistic, NULL::DOUBLE AS df1, NULL::DOUBLE AS df2, round(p,6) AS p_value,
+ p < 0.05 AS is_significant, 'indirect effect' AS effect_name, round(a*b,6) AS effect_size, NULL::VARCHAR AS higher_group, NULL::VARCHAR AS method, {DECISION} AS decision FROM p""",
+    "moderation": f"""WITH {CHARGED}, x AS (SELECT price AS y, l_quantity AS x1, l_discount AS x2, l_quantity*l_discount AS x3 FROM charged),
+a AS (SELECT *, x2 - avg(x2) OVER () - regr_slope(x2,x1) OVER () * (x1 - avg(x1) OVER ()) AS e2 FROM x),
+c AS (SELECT *, x3 - avg(x3) OVER () - regr_slope(x3,x1) OVER () * (x1 - avg(x1) OVER ()) - regr_slope(x3,e2) OVER () * e2 AS e3 FROM a),
+s AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, regr_slope(y,x1) AS d1, regr_slope(y,e2) AS d2, regr_slope(y,e3) AS d3,
+ regr_slope(x2,x1) AS g21, regr_slope(x3,x1) AS g31, regr_slope(x3,e2) AS g32, regr_sxx(y,x1) AS s1, regr_sxx(y,e2) AS s2q, regr_sxx(y,e3) AS s3, regr_syy(y,x1) AS syy FROM c),
+b AS (SELECT *, d2 - d3*g32 AS b2, d1 - d2*g21 - d3*g31 + d3*g32*g21 AS b1, (syy - d1*d1*s1 - d2*d2*s2q - d3*d3*s3)/(n-4) AS s2, m2-g21*m1 AS k2, m3-g31*m1-g32*(m2-g21*m1) AS k3 FROM s),
+fit AS (SELECT *, my - b1*m1 - b2*m2 - d3*m3 AS b0 FROM b),
+o AS ({ols_term("const", 0, "b0", "sqrt(s2*(1.0/n + m1*m1/s1 + k2*k2/s2q + k3*k3/s3))", "n-4", True)}
+ UNION ALL {ols_term("l_quantity", 1, "b1", "sqrt(s2*(1/s1 + g21*g21/s2q + pow(g32*g21-g31,2)/s3))", "n-4")}
+ UNION ALL {ols_term("l_discount", 2, "b2", "sqrt(s2*(1/s2q + g32*g32/s3))", "n-4")} UNION ALL {ols_term("l_quantity*l_discount", 3, "d3", "sqrt(s2/s3)", "n-4")}) SELECT * FROM o""",
     "auto_compare": kruskal_sql("orders", "o_totalprice", "o_orderstatus", 1),
     "auto_compare_by_segment": kruskal_sql("orders", "o_totalprice", "o_orderstatus", 1, "o_orderpriority"),
     "analyze_orders": kruskal_sql("orders", "o_totalprice", "o_orderstatus", 1),
