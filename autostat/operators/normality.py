@@ -105,12 +105,12 @@ def moments(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
 
 
 def normality_of(
-    ordered: DataFrame, rows: DataFrame, layout: Layout, column: str, keys: Sequence[str],
+    ordered: DataFrame, stats: DataFrame, layout: Layout, column: str, keys: Sequence[str],
     small_limit: int = SMALL_LIMIT, alpha: float = NORMALITY_ALPHA,
 ) -> DataFrame:
-    """`normality` on an existing `ordered_counts` frame (shared with the rank tests)."""
-    at = attach(ordered, moments(rows, column, keys), keys, layout, "__n", ["__n", "__m", "__s", "__ss"])
-    weights = F.broadcast(_weight_table(rows.sparkSession, small_limit))
+    """`normality` on an existing `ordered_counts` frame (shared with the rank tests) and `moments`."""
+    at = attach(ordered, stats, keys, layout, "__n", ["__n", "__m", "__s", "__ss"])
+    weights = F.broadcast(_weight_table(ordered.sparkSession, small_limit))
     low, high = weights.select("wn", "wi", F.col("running").alias("w0")), weights.select(
         F.col("wn").alias("vn"), F.col("wi").alias("vi"), F.col("running").alias("w1")
     )
@@ -151,5 +151,5 @@ def normality(
     rows = numeric_frame(df, [column], keys).withColumnRenamed(column, "__y")
     layout = plan_layout(rows, "__y", at_most)
     ordered = ordered_counts(rows, "__y", keys, (), layout)
-    found = normality_of(ordered, rows, layout, "__y", keys, small_limit, alpha)
+    found = normality_of(ordered, moments(rows, "__y", keys), layout, "__y", keys, small_limit, alpha)
     return found.withColumn("column", F.lit(column))

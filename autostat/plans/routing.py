@@ -55,12 +55,17 @@ class Comparison:
         at = [*keys, group]
         layout = plan_layout(self.rows, y, self.at_most)
         ordered = ordered_counts(self.rows, y, keys, [group], layout)
-        normal = normality_of(
-            ordered, self.rows.select(*keys, y), layout, y, keys, spec.small_n, spec.normality_alpha
-        ).select(*keys, *[F.col(c).alias(f"seg_{c}") for c in NORMALITY_COLUMNS])
+        by_group = group_moments(self.rows, y, group, keys)
+        # The segment's moments follow from its groups' moments: no scan of their own.
+        n, spread = F.col("total"), F.col("within") + F.col("between")
+        stats = cmp.sums_of_squares(by_group, keys).select(
+            *keys, n.alias("__n"), F.col("grand").alias("__m"), spread.alias("__ss"),
+            F.sqrt(F.try_divide(spread, n - 1)).alias("__s"),
+        )
+        normal = normality_of(ordered, stats, layout, y, keys, spec.small_n, spec.normality_alpha).select(*keys, *[F.col(c).alias(f"seg_{c}") for c in NORMALITY_COLUMNS])
         ranks = cmp.rank_sums(ordered, group, keys).drop("n")
         middle = ordered_counts(self.rows, y, at, (), layout).groupBy(*at).agg(quantile_at(y, 0.5).alias("median"))
-        facts = join_on(join_on(group_moments(self.rows, y, group, keys), ranks, at), middle, at)
+        facts = join_on(join_on(by_group, ranks, at), middle, at)
         return cut_lineage(join_on(facts, normal, keys, "left"))
 
     @property
