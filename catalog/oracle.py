@@ -23,13 +23,16 @@ def two_sided_normal(z: str) -> str:
 
 
 def t_p(t: str, dof: str) -> str:
-    """Two-sided t tail: Simpson's rule over the density from 0 to |t|."""
+    """Two-sided t tail by Simpson's rule: over the angle atan(|t|/sqrt(dof)) for few degrees of freedom,
+    over the density up to |t| = 14 (beyond it nothing is left) for many."""
+    weight = "(CASE WHEN i=0 OR i=2000 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)"
+    scale = f"exp(lgamma(({dof}+1)/2.0)-lgamma(({dof})/2.0))"
     top = f"least(abs({t}), 14.0)"
-    weight = "CASE WHEN i=0 OR i=2000 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END"
     density = f"exp(-({dof}+1)/2.0*ln(1 + pow(i/2000.0*{top},2)/({dof})))"
-    area = f"list_sum(list_transform(range(0, 2001), lambda i: ({weight})*{density}))*{top}/6000.0"
-    scale = f"exp(lgamma(({dof}+1)/2.0)-lgamma(({dof})/2.0))/sqrt(({dof})*pi())"
-    return f"greatest(0.0, 1 - 2*{scale}*{area})"
+    many = f"1 - 2*{scale}/sqrt(({dof})*pi())*list_sum(list_transform(range(0, 2001), lambda i: {weight}*{density}))*{top}/6000.0"
+    angle = f"atan(abs({t})/sqrt({dof}))"
+    few = f"1 - 2*{scale}/sqrt(pi())*list_sum(list_transform(range(0, 2001), lambda i: {weight}*pow(cos(i/2000.0*{angle}),({dof})-1)))*{angle}/6000.0"
+    return f"(CASE WHEN {dof} < 30 THEN greatest(0.0, {few}) ELSE greatest(0.0, {many}) END)"
 
 
 def chi2_p_even(x: str, half: int) -> str:
@@ -188,7 +191,7 @@ def correlation_table(rows: str, method: str, keys: str = "") -> str:
     """Finish (keys, position, variable, n, r)."""
     k = f"{keys}, " if keys else ""
     p = t_p("t", "n-2")
-    return f"""t AS (SELECT *, r*sqrt((n-2)/(1-r*r)) AS t FROM ({rows})), p AS (SELECT *, {p} AS p FROM t)
+    return f"""t AS (SELECT *, CASE WHEN 1-r*r < 1e-14 THEN 1e9 ELSE r*sqrt((n-2)/(1-r*r)) END AS t FROM ({rows})), p AS (SELECT *, {p} AS p FROM t)
 SELECT {k}CAST(position AS BIGINT) AS position, variable, '{method}' AS method, n, round(r,6) AS r, round(p,6) AS p_value,
   p < 0.05 AS is_significant,
   CASE WHEN abs(r)<0.2 THEN 'very weak' WHEN abs(r)<0.4 THEN 'weak' WHEN abs(r)<0.6 THEN 'moderate' WHEN abs(r)<0.8 THEN 'strong' ELSE 'very strong' END AS strength,
