@@ -95,8 +95,9 @@ def by_segment(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def strength(r: Column) -> Column:
-    # Cut points of the strength labels.
-    size = F.abs(r)
+    # Cut points of the strength labels. Rounding makes the label of a value on a cut point
+    # independent of the order in which partial sums were added.
+    size = F.round(F.abs(r), 12)
     return (
         F.when(size < 0.2, "very weak").when(size < 0.4, "weak").when(size < 0.6, "moderate")
         .when(size < 0.8, "strong").otherwise("very strong")

@@ -191,10 +191,10 @@ def correlation_table(rows: str, method: str, keys: str = "") -> str:
     """Finish (keys, position, variable, n, r)."""
     k = f"{keys}, " if keys else ""
     p = t_p("t", "n-2")
-    return f"""t AS (SELECT *, CASE WHEN 1-r*r < 1e-14 THEN 1e9 ELSE r*sqrt((n-2)/(1-r*r)) END AS t FROM ({rows})), p AS (SELECT *, {p} AS p FROM t)
+    return f"""t AS (SELECT *, CASE WHEN 1-r*r < 1e-14 THEN 1e9 ELSE r*sqrt((n-2)/(1-r*r)) END AS t FROM ({rows})), p AS (SELECT *, {p} AS p, round(abs(r),12) AS s FROM t)
 SELECT {k}CAST(position AS BIGINT) AS position, variable, '{method}' AS method, n, round(r,6) AS r, round(p,6) AS p_value,
   p < 0.05 AS is_significant,
-  CASE WHEN abs(r)<0.2 THEN 'very weak' WHEN abs(r)<0.4 THEN 'weak' WHEN abs(r)<0.6 THEN 'moderate' WHEN abs(r)<0.8 THEN 'strong' ELSE 'very strong' END AS strength,
+  CASE WHEN s<0.2 THEN 'very weak' WHEN s<0.4 THEN 'weak' WHEN s<0.6 THEN 'moderate' WHEN s<0.8 THEN 'strong' ELSE 'very strong' END AS strength,
   CASE WHEN r>0 THEN 'positive' ELSE 'negative' END AS direction FROM p"""
 
 
