@@ -8,8 +8,9 @@ totals give the offsets. No task ever orders more than one bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,19 @@ class Layout:
     def single(self) -> bool:
         return self.rows <= self.limit
 
+    @property
+    def buckets(self) -> int:
+        return max(1, len(self.cuts)) * self.parts
+
+    def isolating(self, points: Sequence[float]) -> Layout:
+        """The same layout with each of `points` alone in its bucket."""
+        inner = set(self.cuts[1:-1])
+        for x in points:
+            inner |= {x, math.nextafter(x, math.inf)}
+        cuts = sorted(inner)
+        low, high = min(cuts[0], *self.cuts[:1], *points) - 1, max(cuts[-1], *self.cuts[-1:], *points) + 1
+        return replace(self, cuts=(low, *cuts, high))
+
     def assign(self, df: DataFrame, value: str, out: str) -> DataFrame:
         """Add the bucket number: quantile bucket first, then `parts` equal widths inside it."""
         if len(self.cuts) < 3:
@@ -80,7 +94,24 @@ def plan_layout(df: DataFrame, value: str, at_most: int | None = None) -> Layout
     return Layout(rows, limit, tuple(sorted(set(cuts))), parts)
 
 
-def spread(df: DataFrame, value: str, keys: Sequence[str], layout: Layout, weight: str) -> DataFrame:
+@dataclass(frozen=True)
+class Ties:
+    """Single values of the ordered column that fill more than a bucket; their rows are cut by a second column."""
+
+    points: tuple[float, ...]
+    column: str
+    layout: Layout
+
+    def assign(self, df: DataFrame, value: str, out: str) -> DataFrame:
+        inner = self.layout.assign(df, self.column, "__inner")
+        tied = F.col(value).isin(list(self.points))
+        number = F.col(out) * self.layout.buckets + F.when(tied, F.col("__inner")).otherwise(0)
+        return inner.withColumn(out, number).drop("__inner")
+
+
+def spread(
+    df: DataFrame, value: str, keys: Sequence[str], layout: Layout, weight: str, ties: Ties | None = None
+) -> DataFrame:
     """Add `__bucket` and `__before`, `__all`: weight in earlier buckets, and in the whole segment.
 
     Segments that fit in one bucket stay whole (bucket -1, NULL totals: the caller's
@@ -95,6 +126,8 @@ def spread(df: DataFrame, value: str, keys: Sequence[str], layout: Layout, weigh
     else:
         df = df.withColumn("__large", F.lit(True))
     df = layout.assign(df, value, "__bucket")
+    if ties:
+        df = ties.assign(df, value, "__bucket")
     if keys:
         df = df.withColumn("__bucket", F.when(F.col("__large"), F.col("__bucket")).otherwise(-1))
     # Filter on the broadcast flag, not on the bucket: a bucket filter would be pushed below the

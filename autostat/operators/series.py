@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from autostat.functions.columns import number, require_columns
-from autostat.operators.order import Layout, attach, bucket_rows, plan_layout, spread
+from autostat.operators.order import Layout, Ties, attach, bucket_rows, plan_layout, spread
 
 MAX_DIFFERENCES = 2
+TIED_TIMES = 1000
 
 
 @dataclass
@@ -44,6 +45,16 @@ def time_axis(df: DataFrame, time: str) -> Column:
     return F.unix_micros(F.try_to_timestamp(F.col(time).cast("string"))).cast("double")
 
 
+def _tied_times(rows: DataFrame, value: str, layout: Layout) -> Ties | None:
+    """Times that more rows share than one task should order (at most TIED_TIMES of them), cut by `value`."""
+    limit = max(layout.limit, layout.rows // TIED_TIMES)
+    found = rows.groupBy("__t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select("__t").collect()
+    points = tuple(sorted(r[0] for r in found))
+    if not points:
+        return None
+    return Ties(points, value, plan_layout(rows.where(F.col("__t").isin(list(points))), value))
+
+
 def place(df: DataFrame, time: str, values: Sequence[str], keys: Sequence[str] = ()) -> Series:
     """Number the rows of each series by time (equal times by value); incomplete rows are left out."""
     keys, values = list(keys), list(values)
@@ -55,7 +66,9 @@ def place(df: DataFrame, time: str, values: Sequence[str], keys: Sequence[str] =
         order = Window.partitionBy(*keys).orderBy("__t", *values)
         placed = rows.withColumn("pos", F.row_number().over(order).cast("long"))
     else:
-        cut = spread(rows.withColumn("__one", F.lit(1)), "__t", keys, layout, "__one")
+        ties = _tied_times(rows, values[0], layout)
+        by_time = layout.isolating(ties.points) if ties else layout
+        cut = spread(rows.withColumn("__one", F.lit(1)), "__t", keys, by_time, "__one", ties)
         order = Window.partitionBy(*keys, "__bucket").orderBy("__t", *values)
         placed = cut.withColumn("pos", F.coalesce(F.col("__before"), F.lit(0)) + F.row_number().over(order))
     return Series(placed.select(*keys, "pos", *values), keys, values, layout)

@@ -210,3 +210,27 @@ def test_many_series_equal_each_alone(spark):
 def test_constant_series_is_not_stationary(spark):
     tests = ts.Stationarity(sr.place(frame(spark, {"y": np.full(40, 5.0)}), "day", ["y"]), "y").tests()
     assert tests.where("is_stationary").count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_shared_timestamps_are_cut_too(spark, keys):
+    """A third of all rows at one time: positions follow (time, value), and no bucket holds them all."""
+    rng = np.random.default_rng(1)
+    n = 1500
+    t = np.where(rng.random(n) < 0.34, 700, rng.integers(0, 1500, n))
+    pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.6, "a", "b"), "t": t, "y": np.round(rng.normal(size=n), 4)})
+    spark.conf.set("spark.autostat.bucketRows", "60")
+    try:
+        s = sr.place(spark.createDataFrame(pdf), "t", ["y"], keys)
+        got = s.frame.toPandas()
+        rows = spark.createDataFrame(pdf).selectExpr("k", "double(t) as __t", "y", "1 as __one")
+        ties = sr._tied_times(rows, "y", s.layout)
+        assert 700.0 in ties.points
+        cut = sr.spread(rows, "__t", keys, s.layout.isolating(ties.points), "__one", ties).groupBy(*keys, "__bucket").count()
+        assert cut.agg({"count": "max"}).first()[0] < 200
+    finally:
+        spark.conf.unset("spark.autostat.bucketRows")
+    want = pdf.sort_values([*keys, "t", "y"])
+    want["pos"] = (want.groupby(keys).cumcount() if keys else np.arange(n)) + 1
+    assert np.allclose(got.sort_values([*keys, "pos"]).y, want.sort_values([*keys, "pos"]).y)
+    assert list(got.sort_values([*keys, "pos"]).pos) == list(want.sort_values([*keys, "pos"]).pos)
