@@ -19,6 +19,8 @@ from autostat.operators.order import Layout, Ties, attach, bucket_rows, plan_lay
 
 MAX_DIFFERENCES = 2
 TIED_TIMES = 1000
+# Lagged cells one task may look at.
+LAG_CELLS = 50_000_000
 
 
 @dataclass
@@ -76,9 +78,10 @@ def place(df: DataFrame, time: str, values: Sequence[str], keys: Sequence[str] =
 
 def chunked(series: Series, halo: int) -> DataFrame:
     """Add `chunk` and `own`: rows near the end of a chunk are repeated, not own, in the next one."""
-    size = max(bucket_rows(series.frame), halo)
+    # Long halos mean many lags per row: shorter chunks keep the work of one task bounded.
+    size = max(halo, min(bucket_rows(series.frame), LAG_CELLS // (halo + 1)))
     frame = series.frame
-    if series.layout.single:
+    if series.layout.rows <= size:
         return frame.withColumns({"chunk": F.lit(0).cast("long"), "own": F.lit(True)})
     number_ = F.floor((F.col("pos") - 1) / size)
     near_end = (F.col("pos") - 1) % size >= size - halo

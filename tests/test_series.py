@@ -87,6 +87,16 @@ def test_stationarity_matches_direct(spark, make, buckets):
         assert got.loc[d, "kpss_stat"] == pytest.approx(stat, rel=1e-8)
 
 
+def test_many_lags_make_shorter_chunks(spark, monkeypatch):
+    y = ar1(200)
+    placed = sr.place(frame(spark, {"y": y}), "day", ["y"])
+    monkeypatch.setattr(sr, "LAG_CELLS", 600)
+    assert sr.chunked(placed, 12).select("chunk").distinct().count() > 3
+    got = ts.Stationarity(placed, "y").tests().where("d = 0").first()
+    assert got.adf_stat == pytest.approx(direct_adf(y)[0], rel=1e-6)
+    assert got.kpss_stat == pytest.approx(direct_kpss(y)[0], rel=1e-8)
+
+
 def test_degree_of_walk_and_stationary(spark):
     for y, want in ((walk(), 1), (ar1(), 0)):
         tests = ts.Stationarity(sr.place(frame(spark, {"y": y}), "day", ["y"]), "y").tests()
