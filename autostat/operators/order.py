@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from autostat.functions.columns import join_on
 
 BUCKET_ROWS_CONF = "spark.autostat.bucketRows"
-DEFAULT_BUCKET_ROWS = 4_000_000
+DEFAULT_BUCKET_ROWS = 2_000_000
 # Bounds of the layout: cut points, rows looked at to place them, and segments that may be large at once.
 CUT_POINTS = 1024
 CUT_ROWS = 1_000_000
@@ -83,7 +83,8 @@ def plan_layout(df: DataFrame, value: str, at_most: int | None = None) -> Layout
     rows = df.select(F.count(value)).first()[0]
     if rows <= limit:
         return Layout(rows, limit)
-    wanted = min(CUT_POINTS, -(-rows // limit))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(CUT_POINTS, max(-(-rows // limit), cores))
     probs = [i / wanted for i in range(wanted + 1)]
     # As in a range shuffle, a look at some rows is enough to place the cuts (it keeps the sketches of many
     # tasks small). They only decide which task orders a row; every row is counted, whatever the cuts.
