@@ -39,9 +39,9 @@ from autostat.llm.text import whole
 
 LARGEST_FILE = 64 << 20
 #: Encodings of words of at most CACHED_BYTES bytes are kept, at most CACHED_WORDS at once in a Python worker.
-CACHED_BYTES, CACHED_WORDS = 48, 3 << 17
+CACHED_BYTES, CACHED_WORDS = 48, 1 << 18
 #: Kept at once: last tokens of prefixes of so many bytes, and decided pairs of tokens.
-PREFIX_BYTES, PREFIXES, PAIRS = 14, 1 << 19, 1 << 20
+PREFIX_BYTES, PREFIXES, PAIRS = 12, 1 << 18, 1 << 18
 #: Bytes of a word read, and tokens decoded, at a time.
 STEP, PIECE = 1 << 9, 1 << 14
 #: How byte-level tokenizers cut a text into words; letters and numbers are put in below.
@@ -57,19 +57,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Merges:
-    """Vocabulary and merge list of a tokenizer file."""
+class Vocabulary:
+    """The tokens of a tokenizer file, as bytes."""
 
     def __init__(self, data: bytes) -> None:
         spec = json.loads(data)
         letters = byte_letters()
-        vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
             raise ValueError("added tokens that take their surroundings are not supported")
-        self.bytes = {i: bytes(letters[c] for c in s) for s, i in vocab.items() if s not in self.special}
-        ids = {b: i for i, b in self.bytes.items()}
+        vocab = {s: i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        self.bytes = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
+        self.read(spec, vocab)
+
+    def read(self, spec: dict, vocab: dict[str, int]) -> None:
+        """What else is needed of the file."""
+
+
+class Merges(Vocabulary):
+    """A vocabulary with its merge list."""
+
+    def read(self, spec: dict, vocab: dict[str, int]) -> None:
+        ids = {self.bytes[i]: i for i in vocab.values()}
         self.rank_of_pair: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -254,8 +264,8 @@ class Words(dict):
 class Encoder:
     """Texts to token ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, merges: Merges, other: dict[int, str]) -> None:
-        self.merges = merges
+    def __init__(self, data: bytes, other: dict[int, str]) -> None:
+        self.merges = merges = Merges(data)
         self.patterns = word_patterns(other)
         self.words = Words(merges)
         contents = sorted(merges.special, key=len, reverse=True)
@@ -283,26 +293,23 @@ class Encoder:
         return b"".join([*out, *self.ordinary(text[at:])])
 
 
-def decode(merges: Merges, ids: bytes) -> str:
+def decode(vocabulary: Vocabulary, ids: bytes) -> str:
     machine = codecs.getincrementaldecoder("utf-8")("replace")
     out = []
     for at in range(0, len(ids), 4 * PIECE):
         piece = ids[at : at + 4 * PIECE]
-        out.append(machine.decode(b"".join(map(merges.bytes.__getitem__, struct.unpack(f"<{len(piece) // 4}I", piece)))))
+        out.append(machine.decode(b"".join(map(vocabulary.bytes.__getitem__, struct.unpack(f"<{len(piece) // 4}I", piece)))))
     return "".join([*out, machine.decode(b"", final=True)])
 
 
-_loaded: dict[int, tuple[Merges, Encoder]] = {}
+_loaded: dict[type, tuple[bytes, object]] = {}
 
 
-def loaded(data: bytes, other: dict[int, str]) -> tuple[Merges, Encoder]:
-    """Of this Python worker, made once."""
-    key = hash(data)
-    if key not in _loaded:
-        merges = Merges(data)
-        _loaded.clear()
-        _loaded[key] = merges, Encoder(merges, other)
-    return _loaded[key]
+def loaded(kind: type, data: bytes, *more):
+    """An object made from a file, once in this Python worker."""
+    if kind not in _loaded or _loaded[kind][0] != data:
+        _loaded[kind] = data, kind(data, *more)
+    return _loaded[kind][1]
 
 
 def shared_file(df: DataFrame, path: str):
@@ -318,7 +325,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     data, other = shared_file(docs, path), disputed()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = loaded(data.value, other)[1]
+        encoder = loaded(Encoder, data.value, other)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [encoder.encode(t) for t in batch["text"]]})
 
@@ -331,10 +338,9 @@ def decoded(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
     data = shared_file(tokens, path)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merges = loaded(data.value, disputed_none)[0]
+        vocabulary = loaded(Vocabulary, data.value)
         for batch in batches:
-            yield batch.assign(text=[decode(merges, bytes(x)) for x in batch["ids"]])
+            yield batch.assign(text=[decode(vocabulary, bytes(x)) for x in batch["ids"]])
 
-    disputed_none: dict[int, str] = disputed()
     work = tokens.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
     return work.mapInPandas(rows, f"doc_id {work.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
