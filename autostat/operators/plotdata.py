@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autostat.functions.columns import by_segment, numeric_frame, ratio
@@ -59,8 +59,16 @@ def trend_line(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataF
     )
 
 
-def scatter_points(df: DataFrame, y: str, x: str, at_most: int = 5000, seed: int = 7) -> DataFrame:
-    """A point set for a scatter chart: all complete rows, or a sample of about `at_most`."""
+def scatter_grid(df: DataFrame, y: str, x: str, bins: int = 100) -> DataFrame:
+    """Every complete row of a scatter chart, counted in a grid of `bins` by `bins` cells between the extremes."""
     rows = numeric_frame(df, [x, y]).dropna(how="any")
-    n = rows.count()
-    return rows if n <= at_most else rows.sample(fraction=at_most / n, seed=seed)
+    ends = rows.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+
+    def cell(c: str, low: float | None, high: float | None) -> Column:
+        if low is None or low == high:
+            return F.lit(0).cast("long")
+        at = F.floor((F.col(c) - F.lit(low)) / (F.lit(high) - F.lit(low)) * bins)
+        return F.least(at, F.lit(bins - 1)).cast("long")
+
+    cells = rows.select(cell(x, *ends[:2]).alias("x_bin"), cell(y, *ends[2:]).alias("y_bin"))
+    return cells.groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))

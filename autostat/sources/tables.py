@@ -60,16 +60,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Reader by file extension; a name without a path separator or extension is a catalog table."""
+    """Reader by file extension; a name without a path separator or extension is a catalog table.
+
+    Missing-value words are a convention of CSV files; typed sources are read as they are, so that filters reach
+    the scan. NaN is set aside where a number is used."""
     ext = os.path.splitext(path.rstrip("/").lower())[1]
     if not ext and "/" not in path:
-        return missing_to_null(spark.table(path))
+        return spark.table(path)
     if ext not in READERS:
         raise ValueError(f"unsupported format '{ext}'; use one of {', '.join(sorted(READERS))}")
     if READERS[ext] == "csv":
         return read_csv(spark, path, schema, "\t" if ext == ".tsv" else ",")
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return missing_to_null(reader.format(READERS[ext]).load(path))
+    return reader.format(READERS[ext]).load(path)
 
 
 def snapshot(df: DataFrame, base: str, run_id: str) -> DataFrame:

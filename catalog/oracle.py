@@ -480,6 +480,9 @@ SELECT {test_columns("Multiple Linear Regression", "f", "2", "n-3", "R-squared",
     "auto_correlate": f"""WITH {CHARGED}, r AS ({spearman_rows("charged", "price", ["l_quantity", "l_discount"])}),
 t AS (SELECT *, r*sqrt((n-2)/(1-r*r)) AS t FROM r), q AS (SELECT *, {t_p("t", "(n-2)")} AS p FROM t), p AS (SELECT * FROM q ORDER BY p, position LIMIT 1)
 SELECT {test_columns("Spearman Rank Correlation", "r", "", "", "r", "r", "NULL::VARCHAR", "NULL::VARCHAR")} FROM p""",
+    "scatter_grid": """WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem)
+SELECT CAST(least(floor((l_quantity - a) / (b - a) * 40), 39) AS BIGINT) AS x_bin, CAST(least(floor((l_extendedprice - c) / (d - c) * 40), 39) AS BIGINT) AS y_bin, count(*) AS n
+FROM lineitem, e GROUP BY 1, 2""",
     "box_stats": """WITH q AS (SELECT event_type, count(*) AS n, quantile_cont(value,0.25) AS q1, median(value) AS md, quantile_cont(value,0.75) AS q3 FROM events GROUP BY 1)
 SELECT event_type, max(n) AS n, round(max(q1),4) AS q1, round(max(md),4) AS median, round(max(q3),4) AS q3,
  round(min(CASE WHEN value BETWEEN q1-1.5*(q3-q1) AND q3+1.5*(q3-q1) THEN value END),4) AS whisker_low,

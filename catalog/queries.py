@@ -371,6 +371,10 @@ def analyze_orders(spark, folder):
     return test_row(analyze(table(spark, folder, "orders"), spec)["test_result"])
 
 
+def scatter_grid(spark, folder):
+    return plotdata.scatter_grid(table(spark, folder, "lineitem"), "l_extendedprice", "l_quantity", 40)
+
+
 def box_stats(spark, folder):
     return tidy(plotdata.box_stats(table(spark, folder, "events"), "value", "event_type"), 4)
 
@@ -435,7 +439,7 @@ QUERIES: dict[str, Query] = {
         tukey_events, pairwise_mann_whitney, ols_simple, ols_multi, ols_fit_by_flag, vif_eliminate, pearson_table,
         spearman_table, spearman_by_brand, corr_matrix, mediation_full, mediation_none, moderation, auto_compare,
         auto_compare_by_segment, auto_compare_small_segments, auto_influence, auto_correlate, auto_mediate,
-        analyze_orders, box_stats, trend_line, difference_series, seasonal_difference, adf_t, kpss_eta,
+        analyze_orders, box_stats, scatter_grid, trend_line, difference_series, seasonal_difference, adf_t, kpss_eta,
         stationarity_log, arima_fit, forecast5, var_fit, var_forecast,
     )
 }
