@@ -6,6 +6,7 @@ They run on result rows (one per test), never on input rows.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -100,6 +101,8 @@ def studentized_range_upper(q: float, k: int, dof: float) -> float:
     """P(Q > q) for k means: quadrature over the range of k normals and over the scale."""
     if not q > 0:
         return 1.0
+    if math.isinf(q):
+        return 0.0
     nodes, weights = np.polynomial.legendre.leggauss(96)
     z, wz = 8.0 * nodes, 8.0 * weights
     below = 1.0 - upper_tail_array(z)
@@ -117,19 +120,43 @@ def studentized_range_upper(q: float, k: int, dof: float) -> float:
     return min(1.0, max(0.0, 1.0 - total))
 
 
+@lru_cache(maxsize=None)
+def _period_numerator(parts: int) -> tuple[int, list[int]]:
+    """(L, A) with 1/((1-q)(1-q)(1-q^2)...(1-q^parts)) = A(q)/(1-q^L)^(parts+1), L the common multiple of 1..parts."""
+    period = math.lcm(*range(1, parts + 1))
+    numerator = [1]
+    for step in (1, *range(1, parts + 1)):
+        # Times 1 + q^step + ... + q^(L-step): a running sum with stride `step` and window L.
+        out = numerator + [0] * (period - step)
+        for i in range(step, len(out)):
+            out[i] += out[i - step]
+        numerator = [v - (out[i - period] if i >= period else 0) for i, v in enumerate(out)]
+    return period, numerator
+
+
+def _partitions_up_to(total: int, parts: int) -> int:
+    """Number of partitions of 0, 1, ..., total into parts no larger than `parts`."""
+    if total < 0:
+        return 0
+    period, numerator = _period_numerator(parts)
+    terms = range(total % period, min(total, len(numerator) - 1) + 1, period)
+    return sum(numerator[r] * math.comb((total - r) // period + parts, parts) for r in terms)
+
+
 def exact_rank_sum_two_sided(u: float, n1: int, n2: int) -> float:
-    """Exact two-sided Mann-Whitney p (no ties) from the Gaussian binomial coefficients."""
+    """Exact two-sided Mann-Whitney p (no ties), in integers; the work depends on the smaller group only.
+
+    The number of samples with U <= c is a coefficient sum of the Gaussian binomial: each of the 2^small
+    terms of its numerator shifts a partition count, which is a short sum of binomials.
+    """
     small, large = min(n1, n2), max(n1, n2)
-    ways = np.zeros(n1 * n2 + 1)
-    ways[0] = 1.0
-    for i in range(1, small + 1):
-        shift = large + i
-        if shift < ways.size:
-            ways[shift:] -= ways[:-shift].copy()
-        for start in range(i):
-            ways[start::i] = np.cumsum(ways[start::i])
-    top = max(u, n1 * n2 - u)
-    return float(min(1.0, 2.0 * ways[math.ceil(top) :].sum() / ways.sum()))
+    least = math.floor(min(u, n1 * n2 - u))
+    shifts = {0: 1}
+    for i in range(large + 1, large + small + 1):
+        for at, sign in list(shifts.items()):
+            shifts[at + i] = shifts.get(at + i, 0) - sign
+    ways = sum(sign * _partitions_up_to(least - at, small) for at, sign in shifts.items())
+    return min(1.0, 2 * ways / math.comb(n1 + n2, small))
 
 
 def exact_signed_rank_two_sided(t: float, n: int) -> float:

@@ -20,8 +20,6 @@ from autostat.operators.order import midrank, ordered_counts, quantile_at
 SMALLEST_GROUP = 5
 # Where the exact distributions replace the normal approximation.
 EXACT_SMALLER_GROUP, EXACT_PAIRS = 8, 50
-# Beyond this n1*n2 the exact table would not fit in a task; the approximation is used and said so.
-EXACT_CELLS = 1_000_000
 SMALLEST_P = 1e-15
 
 
@@ -55,7 +53,8 @@ def with_rank_effect(df: DataFrame, n: Column) -> DataFrame:
 
 
 def _finish(df: DataFrame, keys: Sequence[str], test: str, parametric: bool, effect: str, alpha: float) -> DataFrame:
-    significant = F.col("p_value") < alpha
+    # No p-value (nothing differs and nothing varies): not significant.
+    significant = F.coalesce(F.col("p_value") < alpha, F.lit(False))
     return df.select(
         *keys, F.lit(test).alias("test"), F.lit(parametric).alias("is_parametric"),
         F.col("statistic").cast("double").alias("statistic"),
@@ -76,10 +75,17 @@ def _higher(a: str, b: str) -> Column:
     return F.when(F.col(a) > F.col(b), F.col("label1")).otherwise(F.col("label2"))
 
 
+def against_spread(size: Column, spread: Column) -> Column:
+    """size / spread; infinite when something differs and nothing varies, NULL when neither does."""
+    return F.when((spread == 0) & (size != 0), F.signum(size) * float("inf")).otherwise(ratio(size, spread))
+
 
 @by_segment
 def welch_t(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Unequal-variance t-test of two independent groups, from `group_moments`."""
+    """Unequal-variance t-test of two independent groups, from `group_moments`.
+
+    Two constant groups have one degree of freedom and an infinite statistic (none when they are equal).
+    """
     two = summary.withColumn("label", F.col(group)).groupBy(*keys).agg(
         *_two("label", group), *_two("n", group), *_two("mean", group), *_two("variance", group),
         F.count(F.lit(1)).alias("k"),
@@ -87,7 +93,8 @@ def welch_t(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: flo
     e1, e2 = F.col("variance1") / F.col("n1"), F.col("variance2") / F.col("n2")
     dof = ratio((e1 + e2) * (e1 + e2), e1 * e1 / F.greatest(F.col("n1") - 1, F.lit(1)) + e2 * e2 / F.greatest(F.col("n2") - 1, F.lit(1)))
     out = two.select(
-        "*", ratio(F.col("mean1") - F.col("mean2"), F.sqrt(e1 + e2)).alias("statistic"), dof.alias("df1"),
+        "*", against_spread(F.col("mean1") - F.col("mean2"), F.sqrt(e1 + e2)).alias("statistic"),
+        F.coalesce(dof, F.lit(1.0)).alias("df1"),
         F.lit(None).cast("double").alias("df2"), _higher("mean1", "mean2").alias("higher_group"),
         F.lit("t distribution").alias("method"),
         pooled_effect(*[F.col(c) for c in ("n1", "n2", "mean1", "mean2", "variance1", "variance2")]).alias("effect_size"),
@@ -115,9 +122,7 @@ def paired_t(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05) ->
     ).where("n >= 2")
     out = agg.select(
         "*",
-        # Equal differences that are not zero: no spread to explain them, t is infinite.
-        F.when((F.col("s") == 0) & (F.col("m") != 0), F.signum("m") * float("inf"))
-        .otherwise(ratio(F.col("m") * F.sqrt(F.col("n").cast("double")), F.col("s"))).alias("statistic"),
+        against_spread(F.col("m") * F.sqrt(F.col("n").cast("double")), F.col("s")).alias("statistic"),
         (F.col("n") - 1).alias("df1"), F.lit(None).cast("double").alias("df2"),
         F.coalesce(ratio(F.col("m"), F.col("s")), F.lit(0.0)).alias("effect_size"),
         _higher("mean1", "mean2").alias("higher_group"), F.lit("t distribution").alias("method"),
@@ -175,7 +180,7 @@ def _with_u(df: DataFrame) -> DataFrame:
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - ratio(F.col("ties"), n * (n - 1))))
     df = df.withColumn("statistic", F.col("r1") - n1 * (n1 + 1) / 2)
     df = df.withColumn("z", ratio(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd))
-    exact = (F.least(n1, n2) <= EXACT_SMALLER_GROUP) & (F.col("ties") == 0) & (n1 * n2 <= EXACT_CELLS)
+    exact = (F.least(n1, n2) <= EXACT_SMALLER_GROUP) & (F.col("ties") == 0)
     table = rank_sum_exact_p(F.when(exact, u), F.when(exact, F.col("n1")), F.when(exact, F.col("n2")))
     return df.withColumns(
         {
@@ -208,7 +213,9 @@ def sums_of_squares(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     off = F.col("mean") - F.col("__grand")
     return summary.withColumn("__grand", grand).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.sum(n).alias("total"), F.max("__grand").alias("grand"),
-        F.sum((n - 1) * F.col("variance")).alias("within"), F.sum(n * off * off).alias("between"),
+        F.sum((n - 1) * F.col("variance")).alias("within"),
+        # Equal means differ from their rounded grand mean in the last digit.
+        F.when(F.min("mean") == F.max("mean"), 0.0).otherwise(F.sum(n * off * off)).alias("between"),
     )
 
 
@@ -220,7 +227,7 @@ def anova(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float
     df1, df2 = F.col("k") - 1, F.col("total") - F.col("k")
     out = join_on(squares.where("k >= 2"), top, keys).select(
         "*", df1.cast("double").alias("df1"), df2.cast("double").alias("df2"),
-        ratio(ratio(F.col("between"), df1), ratio(F.col("within"), df2)).alias("statistic"),
+        against_spread(ratio(F.col("between"), df1), ratio(F.col("within"), df2)).alias("statistic"),
         F.coalesce(ratio(F.col("between"), F.col("between") + F.col("within")), F.lit(0.0)).alias("effect_size"),
         F.lit("F distribution").alias("method"),
     ).withColumn("p_value", f_p("statistic", "df1", "df2"))
@@ -261,7 +268,7 @@ def tukey_hsd(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: f
     squares = sums_of_squares(summary, keys)
     pairs = join_on(group_pairs(summary, group, ["n", "mean"], keys), squares, keys)
     error = ratio(F.col("within"), F.col("total") - F.col("k"))
-    q = ratio(
+    q = against_spread(
         F.abs(F.col("mean1") - F.col("mean2")), F.sqrt(error / 2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
     )
     scored = pairs.withColumn("q", q).withColumn(
@@ -270,7 +277,7 @@ def tukey_hsd(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: f
     return scored.select(
         *keys, F.col("group1").cast("string").alias("group1"), F.col("group2").cast("string").alias("group2"),
         (F.col("mean1") - F.col("mean2")).alias("mean_diff"), F.col("q").alias("statistic"), "p_corrected",
-        (F.col("p_corrected") < alpha).alias("is_significant"),
+        F.coalesce(F.col("p_corrected") < alpha, F.lit(False)).alias("is_significant"),
     )
 
 

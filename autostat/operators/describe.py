@@ -40,11 +40,14 @@ def describe(
 
 @by_segment
 def group_moments(df: DataFrame, y: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, mean and sample variance per segment and group: all the t and F tests need."""
+    """n, mean and sample variance per segment and group: all the t and F tests need.
+
+    The mean of equal values is that value, free of the rounding of a sum."""
     at = [*keys, group]
     rows = numeric_frame(df, [y], at).where(F.col(y).isNotNull() & F.col(group).isNotNull())
+    mean = F.when(F.min(y) == F.max(y), F.min(y)).otherwise(F.avg(y))
     return rows.groupBy(*at).agg(
-        F.count(y).alias("n"), F.avg(y).alias("mean"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("variance")
+        F.count(y).alias("n"), mean.alias("mean"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("variance")
     )
 
 

@@ -20,10 +20,12 @@ from autostat.functions.columns import join_on
 
 BUCKET_ROWS_CONF = "spark.autostat.bucketRows"
 DEFAULT_BUCKET_ROWS = 4_000_000
-# Bounds of the layout: cut points, rows looked at to place them, and segments that may be large at once.
+# Bounds of the layout: cut points, rows looked at to place them, and large segments that may be broadcast.
 CUT_POINTS = 1024
 CUT_ROWS = 1_000_000
 LARGE_SEGMENTS = 10_000
+# Parts of a segment in the lookup of more large segments than that.
+LOOKUP_SALTS = 64
 
 
 def bucket_rows(df: DataFrame) -> int:
@@ -120,10 +122,15 @@ def spread(
     """
     keys = list(keys)
     if keys:
-        limit = max(layout.limit, layout.rows // LARGE_SEGMENTS)
-        large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
-        # At most LARGE_SEGMENTS rows by construction of `limit`.
-        df = join_on(df, F.broadcast(large.select(*keys, F.lit(True).alias("__large"))), keys, "left")
+        large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > layout.limit)
+        large = large.select(*keys, F.lit(True).alias("__large"))
+        if layout.rows // layout.limit <= LARGE_SEGMENTS:
+            df = join_on(df, F.broadcast(large), keys, "left")
+        else:
+            # Too many may be large for a broadcast: look them up by segment and part of its values.
+            salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOOKUP_SALTS - 1).cast("long")))
+            salted = df.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(LOOKUP_SALTS)).cast("long"))
+            df = join_on(salted, large.withColumn("__salt", salts), [*keys, "__salt"], "left").drop("__salt")
     else:
         df = df.withColumn("__large", F.lit(True))
     df = layout.assign(df, value, "__bucket")

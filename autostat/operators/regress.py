@@ -62,29 +62,49 @@ def eliminate(cov: np.ndarray, limit: float) -> tuple[list[int], list[tuple[int,
     return active, log
 
 
+def _inverse(sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse of a covariance matrix, generalised where predictors depend on each other, and the dependencies (columns)."""
+    sd = np.sqrt(np.diag(sub))
+    values, vectors = np.linalg.eigh(sub / np.outer(sd, sd))
+    kept = values > _SINGULAR
+    if kept.all():
+        return np.linalg.inv(sub), np.empty((len(sub), 0))
+    scaled = vectors[:, kept] / sd[:, None]
+    return (scaled / values[kept]) @ scaled.T, vectors[:, ~kept] / sd[:, None]
+
+
 def _fit_rows(n: int, means: np.ndarray, cov: np.ndarray, active: list[int], names: Sequence[str]) -> list[tuple]:
-    inverse = np.linalg.inv(cov[np.ix_(active, active)])
+    """Least squares; of the many solutions with dependent predictors the one with the smallest coefficients."""
+    inverse, dependent = _inverse(cov[np.ix_(active, active)])
     slope = inverse @ cov[active, 0]
+    rank = len(active) - dependent.shape[1]
     total = cov[0, 0] * (n - 1)
     explained = float(slope @ cov[active, 0]) * (n - 1)
-    dof = n - len(active) - 1
+    dof = n - rank - 1
     residual = max(total - explained, 0.0)
     error = residual / dof if dof > 0 else np.nan
     center = means[active]
-    constant = means[0] - slope @ center
-    se = np.sqrt(np.append(error * (1.0 / n + center @ inverse @ center / (n - 1)), error * np.diag(inverse) / (n - 1)))
-    coefficient = np.append(constant, slope)
+    coefficient = np.append(means[0] - slope @ center, slope)
+    scatter = inverse / (n - 1)
+    toward = scatter @ center
+    spread = np.block([[np.array([[1.0 / n + center @ toward]]), -toward[None, :]], [-toward[:, None], scatter]])
+    if dependent.size:
+        # Directions (constant first) that change no fitted value are projected out.
+        free, _ = np.linalg.qr(np.vstack([-center @ dependent, dependent]))
+        onto = np.eye(len(coefficient)) - free @ free.T
+        coefficient, spread = onto @ coefficient, onto @ spread @ onto
     with np.errstate(divide="ignore", invalid="ignore"):
+        se = np.sqrt(error * np.diag(spread))
         t = coefficient / se
-        f = (explained / len(active)) / error
+        f = (explained / rank) / error
     finite = np.isfinite(t) & (dof > 0)
     p = np.where(finite, t_two_sided(np.where(finite, t, 0.0), max(dof, 1)), np.nan)
-    f_p = float(f_upper(f, len(active), dof)[0]) if dof > 0 and np.isfinite(f) else 0.0
+    f_p = float(f_upper(f, rank, dof)[0]) if dof > 0 and np.isfinite(f) else 0.0
     r2 = 1 - residual / total if total > 0 else np.nan
     adjusted = 1 - (1 - r2) * (n - 1) / dof if dof > 0 else np.nan
     terms = ["const", *[names[i] for i in active]]
     return [
-        (terms[i], i, coefficient[i], se[i], t[i], p[i], n, r2, adjusted, f, f_p, len(active)) for i in range(len(terms))
+        (terms[i], i, coefficient[i], se[i], t[i], p[i], n, r2, adjusted, f, f_p, rank) for i in range(len(terms))
     ]
 
 

@@ -6,7 +6,7 @@ p-values from series or numerical integration; none of it uses the package's own
 
 from __future__ import annotations
 
-from autostat.operators.normality import shapiro_weights
+from statistics import NormalDist
 
 # --- distribution tails as SQL expressions ---
 
@@ -145,6 +145,25 @@ p AS (SELECT *, least(1.0, 2*(1-{phi("z")})) AS p FROM z)
 SELECT {k}{cols} FROM p"""
 
 
+def exact_rank_sum_sql() -> str:
+    """The eight dearest orders against the rest. The exact tail of U is a discrete Fourier sum: the transform of the
+    counts is a product of sine ratios; with a number of points free of factors up to 8 no ratio is 0/0."""
+    wave = " * ".join(f"(sin((n2+{i})*h)*{i}/(sin({i}*h)*(n2+{i})))" for i in range(1, 9))
+    free = " AND ".join(f"x % {f} <> 0" for f in (2, 3, 5, 7))
+    cols = test_columns(
+        "Mann-Whitney U Test", "u", "", "", "r (Z/sqrt(N))", "NULL::DOUBLE",
+        "CASE WHEN med1 > med2 THEN l1 ELSE l2 END", "'exact'",
+    )
+    return f"""WITH src AS (SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= 8 THEN 'dearest' ELSE 'rest' END AS side FROM orders),
+{group_test("src", "o_orderkey", "side")}, {two_groups()},
+s AS (SELECT *, r1 - n1*(n1+1)/2.0 AS u, n1*n2 AS nn FROM two),
+w AS (SELECT *, nn - 2*least(u, nn-u) - 1 AS inside, (SELECT min(x) FROM range(1, 40) r(k), LATERAL (SELECT s.nn + k AS x) WHERE {free}) AS points FROM s),
+f AS (SELECT CAST(j AS DOUBLE)*pi()/points AS h, n2, inside, points FROM w, LATERAL (SELECT unnest(range(1, CAST(points AS BIGINT))) AS j)),
+e AS (SELECT (max(inside) + sum({wave} * sin(inside*h)/sin(h)))/max(points) AS within FROM f),
+p AS (SELECT w.*, CASE WHEN inside <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - within)) END AS p FROM w, e)
+SELECT {cols.replace("round(NULL::DOUBLE,6) AS effect_size, ", "")} FROM p"""
+
+
 def kruskal_sql(source: str, y: str, g: str, half: int, keys: str = "", extra: str = "") -> str:
     k = f"{keys}, " if keys else ""
     by = f"GROUP BY {keys}" if keys else ""
@@ -259,8 +278,26 @@ e AS (SELECT *, d*pow(n/100.0,0.49) AS dd, 100.0 AS nn FROM d), p AS (SELECT *,
 SELECT {k}'o_totalprice' AS "column", 'Kolmogorov-Smirnov (Lilliefors)' AS test_name, n, round(d,7) AS statistic, round(p,6) AS p_value, p >= 0.05 AS is_normal FROM p"""
 
 
+def ordered_weights(n: int) -> list[float]:
+    """Shapiro-Wilk weights: the outermost one or two from the published polynomials, the rest scaled to unit length."""
+    # Corrections of the largest and second largest weight (Royston 1995), powers 1 to 5 of 1/sqrt(n).
+    corrections = (
+        (0.221157, -0.147981, -2.07119, 4.434685, -2.706056),
+        (0.042981, -0.293762, -1.752461, 5.682633, -3.582633),
+    )
+    m = [NormalDist().inv_cdf((8 * i - 3) / (8 * n + 2)) for i in range(1, n + 1)]
+    length = sum(v * v for v in m) ** 0.5
+    outer = [
+        m[n - 1 - j] / length + sum(c * n ** (-power / 2) for power, c in enumerate(corrections[j], start=1))
+        for j in range(1 if n <= 5 else 2)
+    ]
+    middle = m[len(outer) : n - len(outer)]
+    share = ((1 - 2 * sum(w * w for w in outer)) / sum(v * v for v in middle)) ** 0.5
+    return [*(-w for w in outer), *(v * share for v in middle), *reversed(outer)]
+
+
 def weight_rows() -> str:
-    return ", ".join(f"({n},{i},{w!r})" for n in range(5, 30) for i, w in enumerate(shapiro_weights(n), start=1))
+    return ", ".join(f"({n},{i},{w!r})" for n in range(5, 30) for i, w in enumerate(ordered_weights(n), start=1))
 
 
 SHAPIRO_P = f"""CASE WHEN n <= 11 AND lw >= -2.273+0.459*n THEN 1e-99 ELSE 1 - {
@@ -494,6 +531,17 @@ SELECT event_type, max(n) AS n, round(max(q1),4) AS q1, round(max(md),4) AS medi
 SELECT event_type, pos, round(y,2) AS y FROM p WHERE y IS NOT NULL""",
     "seasonal_difference": f"""WITH {DAILY}, p AS (SELECT row_number() OVER w AS pos, y - lag(y,7) OVER w AS y FROM daily WINDOW w AS (ORDER BY day))
 SELECT pos, round(y,2) AS y FROM p WHERE y IS NOT NULL""",
+    "welch_constant_groups": f"""SELECT {test_columns("Independent Samples T-Test", "'-inf'::DOUBLE", "1", "", "Cohen''s d", "0.0::DOUBLE", "'O'", "'t distribution'")}
+FROM (SELECT 0.0::DOUBLE AS p FROM orders WHERE o_orderstatus IN ('F','O') GROUP BY ALL HAVING count(DISTINCT o_orderstatus) = 2)""",
+    "anova_constant_groups": f"""SELECT {test_columns("One-Way ANOVA", "'inf'::DOUBLE", "k-1", "n-k", "Eta-squared", "1.0::DOUBLE", "top", "'F distribution'")}
+FROM (SELECT count(DISTINCT event_type) AS k, count(*) AS n, arg_max(event_type, length(event_type) * 1000 + ascii(event_type)) AS top, 0.0::DOUBLE AS p FROM events)""",
+    "tukey_constant_groups": """WITH g AS (SELECT event_type AS l, length(event_type) * 1000 + ascii(event_type) AS m FROM events GROUP BY 1)
+SELECT a.l AS group1, b.l AS group2, CAST(a.m - b.m AS DOUBLE) AS mean_diff, CASE WHEN a.m <> b.m THEN 'inf'::DOUBLE END AS statistic,
+ CASE WHEN a.m <> b.m THEN 0.0::DOUBLE END AS p_corrected, a.m <> b.m AS is_significant FROM g a JOIN g b ON a.l < b.l""",
+    "moderation_collinear": f"""WITH {CHARGED}, sq AS (SELECT price, l_quantity AS q, l_quantity * l_quantity AS qq FROM charged), {ols_two_sql("price", "q", "qq", "sq")},
+o AS ({ols_term("const", 0, "b0", CONST_SE, "n-3", True)} UNION ALL {ols_term("l_quantity", 1, "ba/5", "sqrt(s2*sbb/det)/5", "n-3")}
+ UNION ALL {ols_term("twice", 2, "2*ba/5", "2*sqrt(s2*sbb/det)/5", "n-3")} UNION ALL {ols_term("l_quantity*twice", 3, "bb/2", "sqrt(s2*saa/det)/2", "n-3")}) SELECT * FROM o""",
+    "mann_whitney_exact": exact_rank_sum_sql(),
     "kpss_eta": kpss_sql("src AS (SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value),2) AS y FROM events GROUP BY 1, 2)", "event_type"),
 }
 

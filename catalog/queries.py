@@ -255,6 +255,34 @@ def mann_whitney_by_priority(spark, folder):
     return test_row(restore_keys(compare.mann_whitney(c.facts, c.facts, "__group", c.keys), c.names), "o_orderpriority")
 
 
+def mann_whitney_exact(spark, folder):
+    """Did the eight dearest orders come later than the rest? Eight rows against all others, exact at any size."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    dearest = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(8).select("o_orderkey", F.lit("dearest").alias("side"))
+    sides = o.join(F.broadcast(dearest), "o_orderkey", "left").select("o_orderkey", F.coalesce("side", F.lit("rest")).alias("side"))
+    c = _parts(sides, "o_orderkey", "side")
+    return test_row(compare.mann_whitney(c.facts, c.facts, "__group")).drop("effect_size")
+
+
+def welch_constant_groups(spark, folder):
+    flat = two_status(spark, folder).select("o_orderstatus", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(2.0).alias("y"))
+    return test_row(compare.welch_t(group_moments(flat, "y", "o_orderstatus"), "o_orderstatus"))
+
+
+def constant_by_type(spark, folder):
+    """A number that the event type alone decides."""
+    value = F.length("event_type") * 1000 + F.ascii("event_type")
+    return group_moments(table(spark, folder, "events").select("event_type", value.alias("y")), "y", "event_type")
+
+
+def anova_constant_groups(spark, folder):
+    return test_row(compare.anova(constant_by_type(spark, folder), "event_type"))
+
+
+def tukey_constant_groups(spark, folder):
+    return tidy(compare.tukey_hsd(constant_by_type(spark, folder), "event_type"), 5)
+
+
 def kruskal_events(spark, folder):
     c = _parts(table(spark, folder, "events"), "value", "event_type")
     return test_row(compare.kruskal(c.facts, c.facts, "__group"))
@@ -335,6 +363,12 @@ def moderation(spark, folder):
     return tidy(regress.coefficients(t), 4, p_value=5)
 
 
+def moderation_collinear(spark, folder):
+    """The moderator is twice the predictor: the smallest of the equally good coefficients are reported."""
+    li = charged(spark, folder).withColumn("twice", F.col("l_quantity") * 2)
+    return tidy(regress.coefficients(mediate.moderation(li, "price", "l_quantity", "twice")), 4, p_value=5)
+
+
 def auto_compare(spark, folder):
     return test_row(auto_test(table(spark, folder, "orders"), AnalysisSpec("o_totalprice", "compare", group="o_orderstatus")))
 
@@ -435,7 +469,8 @@ QUERIES: dict[str, Query] = {
         impute_mode, iqr_filter_one, iqr_filter_sequential, iqr_filter_simultaneous, clean_orders, cleaning_log,
         describe_lineitem, describe_by_nation, describe_by_supplier, group_summary_orders, group_guard_suppliers,
         instrument_items, normality_orders, normality_by_priority, shapiro_by_customer, welch_t, paired_t, wilcoxon,
-        mann_whitney, mann_whitney_by_priority, kruskal_events, kruskal_quantity, anova_events, anova_by_segment,
+        mann_whitney, mann_whitney_by_priority, mann_whitney_exact, welch_constant_groups, anova_constant_groups,
+        tukey_constant_groups, moderation_collinear, kruskal_events, kruskal_quantity, anova_events, anova_by_segment,
         tukey_events, pairwise_mann_whitney, ols_simple, ols_multi, ols_fit_by_flag, vif_eliminate, pearson_table,
         spearman_table, spearman_by_brand, corr_matrix, mediation_full, mediation_none, moderation, auto_compare,
         auto_compare_by_segment, auto_compare_small_segments, auto_influence, auto_correlate, auto_mediate,

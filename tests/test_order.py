@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from autostat.operators import compare
+from autostat.operators import compare, order
 from autostat.operators.correlate import spearman
 from autostat.operators.describe import describe, group_moments
 from autostat.operators.normality import normality
@@ -22,6 +22,14 @@ def skewed(spark, n=3000):
     return df, spark.createDataFrame(df).withColumn("k", F.when(F.col("k") != "NaN", F.col("k")))
 
 
+def test_lookup_of_many_large_segments(spark, small_buckets, monkeypatch):
+    _, df = skewed(spark)
+    few = sorted(map(tuple, ordered_counts(df, "v", ["k"], ["w"]).collect()), key=str)
+    monkeypatch.setattr(order, "LARGE_SEGMENTS", 0)
+    many = ordered_counts(df, "v", ["k"], ["w"])
+    assert sorted(map(tuple, many.collect()), key=str) == few
+
+
 @pytest.mark.parametrize("buckets", [None, 40, 700])
 @pytest.mark.parametrize("parts", [1, 16])
 def test_midranks_match_pandas(spark, buckets, parts):

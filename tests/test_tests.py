@@ -1,5 +1,8 @@
 """Hypothesis tests, regressions and routing: direct computations, invariants and guards."""
 
+from itertools import combinations
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -54,6 +57,39 @@ def test_exact_mann_whitney_on_small_groups(spark):
     assert row.higher_group == "b"
 
 
+@pytest.mark.parametrize(("n1", "n2"), [(1, 1), (2, 5), (5, 6), (8, 8), (6, 3), (3, 9)])
+def test_exact_tail_counts_every_sample(n1, n2):
+    us = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+    for u in range(n1 * n2 + 1):
+        want = 2 * sum(v >= max(u, n1 * n2 - u) for v in us) / len(us)
+        assert tails.exact_rank_sum_two_sided(u, n1, n2) == pytest.approx(min(1.0, want), abs=1e-13)
+
+
+def test_exact_tail_of_a_long_group_nears_the_normal():
+    for n2 in (10**5, 10**9):
+        sd = (8 * n2 * (n2 + 9) / 12) ** 0.5
+        for z in (0.5, 1.0, 2.0):
+            exact = tails.exact_rank_sum_two_sided(float(round(4 * n2 - z * sd)), 8, n2)
+            assert exact == pytest.approx(2 * (1 - NormalDist().cdf(z)), abs=0.01)
+
+
+def test_groups_without_variance(spark):
+    def rows(test, **samples):
+        return test(group_moments(groups(spark, **samples), "y", "g"), "g").collect()
+
+    apart, same = {"a": [0.1] * 5, "b": [0.2] * 7}, {"a": [0.1] * 5, "b": [0.1] * 7, "c": [0.1] * 6}
+    t = rows(compare.welch_t, **apart)[0]
+    assert t.statistic == float("-inf") and t.p_value == 0 and t.is_significant and t.decision == "H1 accepted"
+    t = rows(compare.welch_t, a=same["a"], b=same["b"])[0]
+    assert t.p_value is None and not t.is_significant and t.decision == "H0 retained"
+    f = rows(compare.anova, **apart, c=[0.3] * 5)[0]
+    assert f.statistic == float("inf") and f.p_value == 0 and f.effect_size == 1 and f.is_significant
+    f = rows(compare.anova, **same)[0]
+    assert f.p_value is None and f.effect_size == 0 and f.decision == "H0 retained"
+    assert [r.is_significant for r in rows(compare.tukey_hsd, **apart, c=[0.3] * 5)] == [True] * 3
+    assert [r.is_significant for r in rows(compare.tukey_hsd, **same)] == [False] * 3
+
+
 def test_u_statistics_add_up(spark):
     a, b = RNG.normal(size=60).round(1), RNG.normal(0.4, 1, size=45).round(1)
     u = compare.pairwise_mann_whitney(groups(spark, a=a, b=b), "y", "g").first().statistic
@@ -146,6 +182,19 @@ def test_regression_matches_least_squares(spark):
     assert got[0].r_squared == pytest.approx(1 - float(res @ res) / ((pdf.y - pdf.y.mean()) ** 2).sum())
 
 
+def test_dependent_predictors_take_the_smallest_solution(spark):
+    pdf = regression_frame().assign(twice=lambda d: d.x2 * 2 + 1, k="a")
+    rows = pd.concat([pdf, pdf.assign(k="b", twice=lambda d: d.x1**2)])
+    got = regress.regression(spark.createDataFrame(rows), "y", ["x1", "x2", "twice"], ["k"], vif_limit=None).orderBy("k", "position").collect()
+    design = np.column_stack([np.ones(len(pdf)), pdf.x1, pdf.x2, pdf.twice])
+    inverse = np.linalg.pinv(design, rcond=1e-10)
+    beta = inverse @ pdf.y.to_numpy()
+    res = pdf.y - design @ beta
+    se = np.sqrt(float(res @ res) / (len(pdf) - 3) * np.diag(inverse @ inverse.T))
+    assert np.allclose([r.coefficient for r in got[:4]], beta) and np.allclose([r.std_err for r in got[:4]], se)
+    assert [r.n_predictors for r in got] == [2] * 4 + [3] * 4
+
+
 def test_collinear_predictor_is_dropped(spark):
     pdf = regression_frame().assign(flat=1.0, twice=lambda d: d.x2 * 2)
     df = spark.createDataFrame(pdf)
