@@ -321,7 +321,7 @@ dif AS (SELECT {k}t, y, y - lag(y) OVER ({part} ORDER BY t) AS d1, y - 2*lag(y)
 zz AS (SELECT {k}0 AS d, t, y AS z FROM dif UNION ALL SELECT {k}1, t-1, d1 FROM dif WHERE d1 IS NOT NULL UNION ALL SELECT {k}2, t-2, d2 FROM dif WHERE d2 IS NOT NULL)"""
 
 
-def kpss_sql(inner: str, key: str) -> str:
+def kpss_sql(inner: str, key: str, digits: int = 5) -> str:
     """Level-stationarity statistic with the automatic bandwidth; autocovariances by an offset self-join."""
     return f"""WITH {stationarity_frame(inner, key)},
 e AS (SELECT {key}, d, t, count(*) OVER (PARTITION BY {key}, d) AS n, z - avg(z) OVER (PARTITION BY {key}, d) AS e FROM zz),
@@ -333,8 +333,8 @@ lr AS (SELECT w.{key}, w.d, max(w.n) AS n, max(bw) AS bw, sum(CASE WHEN h=0 THEN
   FROM w JOIN c ON w.{key}=c.{key} AND w.d=c.d GROUP BY 1,2),
 u AS (SELECT {key}, d, sum(pow(c,2)) AS u FROM (SELECT {key}, d, sum(e) OVER (PARTITION BY {key}, d ORDER BY t) AS c FROM e) GROUP BY 1,2),
 k AS (SELECT lr.*, u/(CAST(n AS DOUBLE)*n)/lr AS k FROM lr JOIN u ON lr.{key}=u.{key} AND lr.d=u.d)
-SELECT {key}, CAST(d AS BIGINT) AS d, n, round(k,5) AS kpss_stat, bw AS kpss_lag, round(CASE WHEN k<=0.347 THEN 0.10 WHEN k<=0.463 THEN 0.10+(k-0.347)/(0.463-0.347)*(0.05-0.10)
-  WHEN k<=0.574 THEN 0.05+(k-0.463)/(0.574-0.463)*(0.025-0.05) WHEN k<=0.739 THEN 0.025+(k-0.574)/(0.739-0.574)*(0.01-0.025) ELSE 0.01 END,5) AS kpss_p FROM k"""
+SELECT {key}, CAST(d AS BIGINT) AS d, n, round(k,{digits}) AS kpss_stat, bw AS kpss_lag, round(CASE WHEN k<=0.347 THEN 0.10 WHEN k<=0.463 THEN 0.10+(k-0.347)/(0.463-0.347)*(0.05-0.10)
+  WHEN k<=0.574 THEN 0.05+(k-0.463)/(0.574-0.463)*(0.025-0.05) WHEN k<=0.739 THEN 0.025+(k-0.574)/(0.739-0.574)*(0.01-0.025) ELSE 0.01 END,{digits}) AS kpss_p FROM k"""
 
 
 def ols_term(term: str, position: int, b: str, se: str, dof: str, is_const: bool = False, digits: int = 4) -> str:
