@@ -31,11 +31,13 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autostat.llm.text import whole
+from autostat.llm.tokens import pieces
 
 LARGEST_FILE = 64 << 20
 #: Encodings of words of at most CACHED_BYTES bytes are kept, at most CACHED_WORDS at once in a Python worker.
@@ -333,6 +335,22 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     return work.mapInPandas(rows, f"doc_id {work.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, text): `encoded` followed by `decoded`, in one Python worker a task with one vocabulary, a few
+    million bytes of text at a time."""
+    data, other = shared_file(docs, path), disputed()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = loaded(Encoder, data.value, other)
+        for piece in pieces(batches, "text"):
+            ids = [encoder.encode(t.as_py()) for t in piece.column("text")]
+            texts = pa.array([decode(encoder.merges, x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.binary()), texts], ["doc_id", "ids", "text"])
+
+    work = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    return work.mapInArrow(rows, f"doc_id {work.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+
+
 def decoded(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, ids, text) of packed token ids."""
     data = shared_file(tokens, path)

@@ -72,8 +72,7 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = bpe.encoded(table(spark, folder, "documents"), TOKENIZER)
-    return bpe.decoded(tokens, TOKENIZER).select(
+    return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         sha256(F.col("text")).alias("decoded_sha256"),
     )

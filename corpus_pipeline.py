@@ -32,8 +32,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, packed token ids, and the text decoded from them, of every row."""
-    tokens = bpe.decoded(bpe.encoded(docs, TOKENIZER), TOKENIZER)
-    return tokens.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text")
+    return bpe.round_trip(docs, TOKENIZER).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

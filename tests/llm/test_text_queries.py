@@ -199,6 +199,10 @@ def test_bpe_streams_in_constant_memory(odd_docs):
     assert ids == Tokenizer.from_file(TOKENIZER).encode(data.decode()).ids
     back = {r["doc_id"]: r["text"] for r in bpe.decoded(bpe.encoded(odd_docs, TOKENIZER), TOKENIZER).collect()}
     assert all(back[r["doc_id"]] == (r["text"] or "") for r in odd_docs.collect())
+    steps = bpe.decoded(bpe.encoded(odd_docs, TOKENIZER), TOKENIZER)
+    once = bpe.round_trip(odd_docs, TOKENIZER)
+    assert once.columns == steps.columns and sorted(map(repr, once.collect())) == sorted(map(repr, steps.collect()))
+    assert not bpe.round_trip(odd_docs.limit(0), TOKENIZER).collect()
 
 
 def paragraphs(text):
