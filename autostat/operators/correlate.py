@@ -98,7 +98,11 @@ def both_methods(
     df: DataFrame, y: str, xs: Sequence[str], normal: DataFrame, keys: Sequence[str], alpha: float
 ) -> DataFrame:
     """Pearson where the segment's outcome is normal, Spearman elsewhere."""
-    flag = normal.select(*keys, "is_normal")
-    a = join_on(pearson(df, y, xs, keys, alpha), flag, keys).where("is_normal")
-    b = join_on(spearman(df, y, xs, keys, alpha), flag, keys).where(~F.col("is_normal"))
-    return a.unionByName(b).drop("is_normal")
+    # Rows are parted before any is ranked.
+    known = [x for x in dict.fromkeys(xs) if x in df.columns]
+    rows = numeric_frame(df, list(dict.fromkeys([y, *known])), keys)
+    flag = normal.select(*keys, F.col("n").alias("__size"), F.col("is_normal").alias("__normal"))
+    rows = attach(rows, flag, keys, plan_layout(rows, y), "__size", ["__normal"])
+    a = pearson(rows.where("__normal").drop("__normal"), y, known, keys, alpha)
+    b = spearman(rows.where(~F.col("__normal")).drop("__normal"), y, known, keys, alpha)
+    return a.unionByName(b)

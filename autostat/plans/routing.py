@@ -15,7 +15,7 @@ from autostat.operators.correlate import both_methods, correlation_summary, pear
 from autostat.operators.describe import group_moments
 from autostat.operators.mediate import mediation
 from autostat.operators.normality import normality, normality_of
-from autostat.operators.order import ordered_counts, plan_layout, quantile_at
+from autostat.operators.order import Layout, attach, ordered_counts, plan_layout, quantile_at
 from autostat.operators.regress import fit_summary, regression
 from autostat.plans.spec import AnalysisSpec
 from autostat.sources.checkpoints import cut_lineage
@@ -45,6 +45,10 @@ class Comparison:
         self.rows = frame.where(F.col("__y").isNotNull() & F.col("__group").isNotNull())
         self.spec = replace(spec, y="__y", group="__group", pair_key="__pair" if spec.paired else None, keys=tuple(self.keys))
 
+    @cached_property
+    def layout(self) -> Layout:
+        return plan_layout(self.rows, self.spec.y, self.at_most)
+
     @cached_property
     def facts(self) -> DataFrame:
         """(keys, group): n, mean, variance, median, rank_sum, ties, and the segment's normality (`seg_*`).
@@ -53,7 +57,7 @@ class Comparison:
         """
         spec, keys, y, group = self.spec, self.keys, self.spec.y, self.spec.group
         at = [*keys, group]
-        layout = plan_layout(self.rows, y, self.at_most)
+        layout = self.layout
         ordered = ordered_counts(self.rows, y, keys, [group], layout)
         by_group = group_moments(self.rows, y, group, keys)
         # The segment's moments follow from its groups' moments: no scan of their own.
@@ -143,9 +147,13 @@ class Comparison:
                 return cmp.tukey_hsd(self.facts, group, (), spec.alpha).drop("statistic")
             return cmp.pairwise_mann_whitney(self.rows, spec.y, group, (), spec.alpha, self.facts).drop("statistic", "z")
         tukey = join_on(cmp.tukey_hsd(self.facts, group, keys, spec.alpha), wanted.where("is_parametric"), keys)
-        ranks = cmp.pairwise_mann_whitney(self.rows, spec.y, group, keys, spec.alpha, self.facts)
-        ranks = join_on(ranks, wanted.where(~F.col("is_parametric")), keys)
-        return tukey.drop("statistic", "is_parametric").unionByName(ranks.drop("statistic", "z", "is_parametric"))
+        # Rows of other segments are left out before any is copied to its pairs.
+        by_rank = wanted.where(~F.col("is_parametric")).select(*keys, F.lit(True).alias("__wanted"))
+        facts = join_on(self.facts, by_rank, keys)
+        sizes = facts.groupBy(*keys).agg(F.sum("n").alias("__size"), F.bool_or("__wanted").alias("__wanted"))
+        rows = attach(self.rows, sizes, keys, self.layout, "__size", ["__wanted"]).where("__wanted").drop("__wanted")
+        ranks = cmp.pairwise_mann_whitney(rows, spec.y, group, keys, spec.alpha, facts.drop("__wanted"))
+        return tukey.drop("statistic", "is_parametric").unionByName(ranks.drop("statistic", "z"))
 
 
 def _row(df: DataFrame, keys: Sequence[str], **columns) -> DataFrame:

@@ -131,6 +131,18 @@ def test_post_hoc_follows_the_significant_test(spark, small_buckets):
     assert {k: v.p_corrected for k, v in hoc.items()} == pytest.approx({k: v.p_corrected for k, v in hoc2.items()})
 
 
+def test_correlation_takes_the_route_of_each_segment(spark):
+    """A normal and a skewed segment side by side give what each gives alone."""
+    values = {"n": RNG.normal(0, 1, 60), "s": RNG.exponential(1, 60) ** 2}
+    rows = [(k, float(v), float(v * v + i)) for k, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, y double, x double")
+    got = {r.k: r for r in auto_test(df, AnalysisSpec("y", "correlate", xs=("x",), keys=("k",))).collect()}
+    assert set(got) == {"n", "s"} and not got["s"].is_parametric
+    for k, r in got.items():
+        method = correlate.pearson if r.is_parametric else correlate.spearman
+        assert r.statistic == pytest.approx(method(df.where(F.col("k") == k), "y", ["x"]).first().r)
+
+
 def test_leaf_choice(spark):
     n = 80
     base = RNG.normal(size=n)
