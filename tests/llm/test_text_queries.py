@@ -169,6 +169,23 @@ def test_rare_words_are_joined(spark, texts, odd_docs, no_docs):
     assert lm.scored(lm.train(no_docs), odd_docs).count() == 15
 
 
+def test_scores_hold_every_pair(spark, texts, odd_docs):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    tokens = {i: [*words(t), b""] for i, t in texts.items()}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip(t, t[1:]))
+    n = sum(c.values())
+    own = lambda w: (c[w] + 0.5) / (n + 0.5 * (len(c) + 1))
+    level = lambda k: math.ceil(1.3 ** math.floor(math.log(k) / math.log(1.3))) if k else 0
+    after = lambda u, w: (level(pairs[u, w]) + 20 * own(w)) / (c[u] + 20)
+    scores = {i: sum(map(math.log10, [own(t[0]), *map(after, t, t[1:])])) for i, t in tokens.items()}
+    for capacity in (50, 1000, 1 << 20):
+        r = lm.scored(lm.train(docs.where(~lm.held_out("doc_id")), capacity=capacity), docs).toPandas().set_index("doc_id")
+        assert all(r.score[i] == pytest.approx(scores[i], rel=0.02) for i in scores)
+    assert lm.scored(lm.train(odd_docs, capacity=50), odd_docs).count() == 15
+
+
 def test_mixing(odd_docs, no_docs):
     row = lambda t: sorted((str(r["doc_id"]), r["copy"], r["shuffle_key"]) for r in t.collect())
     many = mixing.mixed(odd_docs, size=400)
