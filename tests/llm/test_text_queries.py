@@ -186,6 +186,17 @@ def test_scores_hold_every_pair(spark, texts, odd_docs):
     assert lm.scored(lm.train(odd_docs, capacity=50), odd_docs).count() == 15
 
 
+def test_rare_words_count_in_score(spark):
+    docs = spark.createDataFrame([(i, "common " * 50 + f"rare{i % 40}") for i in range(120)], "doc_id long, text string")
+    model = lm.train(docs, capacity=50)
+    alone = spark.createDataFrame([(7, "rare7"), (8, "never")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.scored(model, alone).collect()}
+    total = 120 * 52 + 0.5 * 43
+    own, end = (3 + 0.5) / total, (120 + 0.5) / total
+    assert score[7] == pytest.approx(math.log10(own) + math.log10((3 + 20 * end) / (3 + 20)), abs=1e-9)
+    assert score[8] == pytest.approx(math.log10(0.5 / total) + math.log10(end), abs=1e-9)
+
+
 def test_mixing(odd_docs, no_docs):
     row = lambda t: sorted((str(r["doc_id"]), r["copy"], r["shuffle_key"]) for r in t.collect())
     many = mixing.mixed(odd_docs, size=400)
