@@ -70,7 +70,7 @@ SOURCES = (
     Source("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", True),
     Source("email", rf"(?<!{LOCAL}){LOCAL}++ ?(?:\[at\]|\(at\)) ?{HOST}++(?: ?(?:\.|\[dot\]|\(dot\)) ?{HOST}++)++", "at"),
     Source("card", r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])", ""),
-    Source("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "-"),
+    Source("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", ""),
     Source("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+", ""),
     Source("person", rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?+", ""),
 )

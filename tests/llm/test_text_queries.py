@@ -79,6 +79,14 @@ def test_redaction(spark):
     assert rows[5]["text"] is None and rows[0]["candidates"] == 5
 
 
+def test_phones_without_hyphen(spark):
+    numbers = ["(415) 555 0132", "415.555.0132", "415 555 0132", "(415) 555.0132", "415-555-0132"]
+    docs = spark.createDataFrame([(i, f"call {n} now") for i, n in enumerate(numbers)], "doc_id long, text string")
+    for r in pii.candidates(docs).collect():
+        phones = [(c["start"], c["end"]) for c in r["candidates"] if c["kind"] == "phone"]
+        assert phones == [(5, 5 + len(numbers[r["doc_id"]]))]
+
+
 def components(sets):
     root = {i: i for i in sets}
 
