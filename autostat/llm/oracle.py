@@ -117,9 +117,88 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM o
 """
 
+# The lookup table of crc32, from its polynomial.
+CRC = """table_of_crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS tab
+)"""
+
+RESAMPLING = rf"""
+WITH {CRC}, base AS (
+  SELECT 0 AS kind, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+), split AS (
+  SELECT kind, r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM base
+), runs AS (
+  SELECT kind, r, unnest(list_concat(list_concat(ws,
+    list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])),
+    list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS f FROM split
+), counts AS (
+  SELECT kind, r, f, count(*) AS n FROM runs GROUP BY ALL
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counts)
+), hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT),
+    lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295)) % 10000 AS bucket
+  FROM hexed, table_of_crc
+), placed AS (
+  SELECT kind, r, bucket, sum(n) AS n FROM counts JOIN hashed USING (f) GROUP BY ALL
+), buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM placed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM buckets) + 10000)
+    / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM buckets) + 10000))))::BIGINT AS gain FROM buckets
+), weights AS (
+  SELECT r, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(ws) AS n_words, (greatest(len(ws), 0) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (r) WHERE kind = 0
+), placed_by_score AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_words >= 20) OVER () AS large FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * large // 100 THEN place END AS rank
+FROM placed_by_score
+"""
+
+# Prefixes as lists of turns; sums over subtrees by unnesting the prefixes of every node.
+TRIE = rf"""
+WITH {CRC}, logged AS (
+  SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), wanted AS (
+  SELECT c, turns, xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1]), 4294967295)) % 4 AS h
+  FROM logged, table_of_crc
+), rebuilt AS (
+  SELECT w.c, list_concat(coalesce(f.turns[1:h], []), w.turns[h + 1:]) AS turns FROM wanted w LEFT JOIN logged f ON f.c = w.c - w.c % 20
+), paths AS (
+  SELECT c, len(turns) AS n, turns[1:d] AS path, d FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM paths GROUP BY path, d
+), children AS (
+  SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), valued AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN d > 0 THEN (n - 1) * len(list_filter(regexp_split_to_array(path[d].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN children USING (path, d)
+), above AS (
+  SELECT path[1:a] AS path, a AS d, saved, n_children FROM (SELECT path, saved, n_children, unnest(range(d + 1)) AS a FROM valued)
+), sums AS (
+  SELECT path, d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY path, d
+)
+SELECT v.c AS conv_id, v.d AS depth, u.c AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  sha256(v.ends) AS ends_sha256
+FROM valued v JOIN sums USING (path, d) LEFT JOIN nodes u ON u.d = v.d - 1 AND u.path = v.path[1:v.d - 1]
+"""
+
 ORACLE = {
     "op3_quality_rules": QUALITY,
     "op4_chat_snapshots": CONVERSATIONS,
     "op7_source_mixing": MIXING,
     "op10_warc": WARC,
+    "op11_resampling": RESAMPLING,
+    "op13_prefix_trie": TRIE,
 }

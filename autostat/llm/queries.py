@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autostat.llm import bpe, conversations, fingerprints, jaccard, lm, mixing, pii, quality, repeats, warc
+from autostat.llm import bpe, conversations, fingerprints, jaccard, language, lm, mixing, pii, quality, repeats, resample, trie, warc
 from autostat.llm.oracle import ORACLE  # noqa: F401  registered beside the queries
 from autostat.sources.checkpoints import delete_at_exit, new_path
 
@@ -96,10 +96,27 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = lm.held_out("doc_id", folds=4, fold=2)
+    found = language.predicted(language.train(docs.where(~held_out)), docs)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_ngram_jaccard, op3_quality_rules, op4_chat_snapshots, op5_suffix_dedup, op6_lm_scoring,
-        op7_source_mixing, op8_bpe, op9_fingerprints, op10_warc,
+        op7_source_mixing, op8_bpe, op9_fingerprints, op10_warc, op11_resampling,
+        op12_language_id, op13_prefix_trie,
     )
 }

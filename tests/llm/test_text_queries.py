@@ -37,7 +37,7 @@ def result(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SMALL).toPandas(), con.execute(ORACLE[name]).df()
     plain = lambda t: sorted(repr([None if pd.isna(v) else v for v in r]) for r in t[sorted(t.columns)].astype(object).values.tolist())
