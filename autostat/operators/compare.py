@@ -15,7 +15,8 @@ from autostat.functions import normal
 from autostat.functions.columns import by_segment, decision, join_on, numeric_frame, own_keys, ratio
 from autostat.functions.tails import chi2_p, f_p, rank_sum_exact_p, signed_rank_exact_p, studentized_range_p, t_p
 from autostat.operators.describe import group_moments
-from autostat.operators.order import midrank, ordered_counts, quantile_at
+from autostat.operators.order import midrank, ordered_counts, plan_layout, quantile_at
+from autostat.operators.pairs import group_pairs, pair_counts
 
 SMALLEST_GROUP = 5
 # Where the exact distributions replace the normal approximation.
@@ -253,15 +254,6 @@ def kruskal(sums: DataFrame, medians: DataFrame, group: str, keys: Sequence[str]
     return _finish(out, keys, "Kruskal-Wallis Test", False, "Epsilon-squared", alpha)
 
 
-def group_pairs(summary: DataFrame, group: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """All pairs of one segment's group rows (the table a post-hoc test reports), label 1 < label 2."""
-    rows = summary.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(group, *columns))).alias("g"))
-    first = rows.select(*keys, "g", F.posexplode("g").alias("i", "a"))
-    pairs = first.select(*keys, "a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
-    sides = [F.col(f"{s}.{c}").alias(f"{c}{n}") for s, n in (("a", 1), ("b", 2)) for c in columns]
-    return pairs.select(*keys, F.col(f"a.{group}").alias("group1"), F.col(f"b.{group}").alias("group2"), *sides)
-
-
 @by_segment
 def tukey_hsd(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Tukey-Kramer comparison of all group pairs from group moments; mean_diff is group 1 minus group 2."""
@@ -285,23 +277,26 @@ def tukey_hsd(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: f
 def pairwise_mann_whitney(
     df: DataFrame, y: str, group: str, keys: Sequence[str] = (), alpha: float = 0.05, summary: DataFrame | None = None
 ) -> DataFrame:
-    """Mann-Whitney of every group pair with Bonferroni correction, all pairs in one job.
+    """Mann-Whitney of every group pair with Bonferroni correction, all pairs from one ordering of the values.
 
-    Equal values collapse first; then each (group, value, count) row goes to the pairs its group
-    belongs to. With k groups that is k-1 copies of the collapsed rows, as the k(k-1)/2 reported
-    tests read them, and each pair is ordered in buckets like any other segment.
+    Equal values collapse first; the collapsed rows are walked once, whatever the number of groups (see `pairs`).
     """
     at = [*keys, group]
     rows = numeric_frame(df, [y], at).where(F.col(y).isNotNull() & F.col(group).isNotNull())
     summary = group_moments(df, y, group, keys) if summary is None else _same_keys(summary, keys)
-    pairs = group_pairs(summary, group, ["n", "mean"], keys)
-    member = pairs.select(*keys, "group1", "group2", F.explode(F.array("group1", "group2")).alias(group))
-    collapsed = rows.groupBy(*at, y).agg(F.count(F.lit(1)).alias("rows"))
-    seg = [*keys, "group1", "group2"]
-    sums = rank_sums(ordered_counts(join_on(collapsed, member, at), y, seg, [group], weight="rows"), group, seg)
-    one = sums.groupBy(*seg).agg(F.min_by("rank_sum", group).alias("r1"), F.sum("ties").alias("ties"))
+    collapsed = rows.groupBy(*at, y).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = pair_counts(collapsed, y, group, keys, plan_layout(rows, y))
+    cubes = F.sum(F.col("cnt") * (F.col("cnt").cast("double") * F.col("cnt") - 1)).alias("cubes")
+    own = collapsed.groupBy(*at).agg(cubes)
+    pairs = group_pairs(join_on(summary, own, at), group, ["n", "mean", "cubes"], keys)
+    found = join_on(pairs, counts, [*keys, "group1", "group2"], "left")
+    n1 = F.col("n1").cast("double")
+    found = found.withColumns({
+        "r1": F.coalesce("u", F.lit(0.0)) + n1 * (n1 + 1) / 2,
+        "ties": F.col("cubes1") + F.col("cubes2") + 3 * F.coalesce("cross", F.lit(0.0)),
+    })
     m = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    scored = _with_u(join_on(join_on(pairs, one, seg), m, keys))
+    scored = _with_u(join_on(found, m, keys))
     corrected = F.least(F.col("p_value") * F.col("m"), F.lit(1.0))
     return scored.select(
         *keys, F.col("group1").cast("string").alias("group1"), F.col("group2").cast("string").alias("group2"),

@@ -112,15 +112,15 @@ class Ties:
         return inner.withColumn(out, number).drop("__inner")
 
 
-def spread(
-    df: DataFrame, value: str, keys: Sequence[str], layout: Layout, weight: str, ties: Ties | None = None
+def bucketed(
+    df: DataFrame, value: str, keys: Sequence[str], layout: Layout, ties: Ties | None = None, flag: bool = False
 ) -> DataFrame:
-    """Add `__bucket` and `__before`, `__all`: weight in earlier buckets, and in the whole segment.
-
-    Segments that fit in one bucket stay whole (bucket -1, NULL totals: the caller's
-    window sees all of them), so many small segments pay no extra shuffle.
-    """
+    """Add `__bucket`, the value bucket of a row in a large segment; segments that fit in one bucket stay whole
+    (bucket -1). With `flag`, also `__large`: whether the segment is cut (NULL if not)."""
     keys = list(keys)
+    if layout.single:
+        out = df.withColumn("__bucket", F.lit(-1).cast("long"))
+        return out.withColumn("__large", F.lit(None).cast("boolean")) if flag else out
     if keys:
         large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > layout.limit)
         large = large.select(*keys, F.lit(True).alias("__large"))
@@ -138,6 +138,19 @@ def spread(
         df = ties.assign(df, value, "__bucket")
     if keys:
         df = df.withColumn("__bucket", F.when(F.col("__large"), F.col("__bucket")).otherwise(-1))
+    return df if flag else df.drop("__large")
+
+
+def spread(
+    df: DataFrame, value: str, keys: Sequence[str], layout: Layout, weight: str, ties: Ties | None = None
+) -> DataFrame:
+    """Add `__bucket` and `__before`, `__all`: weight in earlier buckets, and in the whole segment.
+
+    Segments that fit in one bucket stay whole (bucket -1, NULL totals: the caller's
+    window sees all of them), so many small segments pay no extra shuffle.
+    """
+    keys = list(keys)
+    df = bucketed(df, value, keys, layout, ties, flag=True)
     # Filter on the broadcast flag, not on the bucket: a bucket filter would be pushed below the
     # shuffle of `df` and stop Spark from reusing it for both branches.
     split = df.where("__large") if keys else df
