@@ -2,7 +2,8 @@
 
 A series longer than one bucket is cut into chunks of consecutive positions. Each chunk also
 receives the few rows before it (its halo), so lag windows run per chunk and no task ever holds
-a whole long series. Sums over a series are partial aggregates.
+a whole long series. Lag products are inner products of a chunk with itself, shifted; the sums of
+all chunks are added. Other sums over a series are partial aggregates.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,8 @@ MAX_DIFFERENCES = 2
 TIED_TIMES = 1000
 # Lagged cells one task may look at.
 LAG_CELLS = 50_000_000
+# More lags than this are taken by fast Fourier transforms of blocks of so many rows.
+DIRECT_LAGS, BLOCK = 256, 1 << 18
 
 
 @dataclass
@@ -110,18 +115,20 @@ def seasonal_difference(series: Series, column: str, gap: int) -> DataFrame:
 
 
 def differenced(series: Series, column: str, halo: int) -> DataFrame:
-    """Long form (keys, d, chunk, pos, own, level, z): the series and its first two differences at once.
+    """Long form (keys, d, chunk, pos, own, level, z): the series and its differences at once, up to one more than the
+    tests look at, which gives the moments of the last one's steps.
 
     `pos` counts within the differenced series. One shuffle for all degrees.
     """
     order = ordered_by(series.keys)
-    rows = chunked(series, halo + MAX_DIFFERENCES).withColumnRenamed(column, "z0")
-    rows = rows.withColumns({"l1": F.lag("z0").over(order), "l2": F.lag("z0", 2).over(order)})
+    rows = chunked(series, halo + MAX_DIFFERENCES + 1).withColumnRenamed(column, "z0")
+    rows = rows.withColumns({f"l{i}": F.lag("z0", i).over(order) for i in range(1, MAX_DIFFERENCES + 2)})
+    l0, l1, l2, l3 = F.col("z0"), F.col("l1"), F.col("l2"), F.col("l3")
     rows = rows.select(
         *series.keys, "chunk", "pos", "own", "z0",
-        (F.col("z0") - F.col("l1")).alias("z1"), (F.col("z0") - 2 * F.col("l1") + F.col("l2")).alias("z2"),
+        (l0 - l1).alias("z1"), (l0 - 2 * l1 + l2).alias("z2"), (l0 - 3 * l1 + 3 * l2 - l3).alias("z3"),
     )
-    degrees = [F.struct(F.lit(d).alias("d"), F.col(f"z{d}").alias("z")) for d in range(MAX_DIFFERENCES + 1)]
+    degrees = [F.struct(F.lit(d).alias("d"), F.col(f"z{d}").alias("z")) for d in range(MAX_DIFFERENCES + 2)]
     level = F.col("z0").alias("level")
     long = rows.select(*series.keys, "chunk", "pos", "own", level, F.inline(F.array(*degrees))).where(F.col("z").isNotNull())
     return long.withColumn("pos", F.col("pos") - F.col("d"))
@@ -135,13 +142,36 @@ def centred(series: Series, column: str, halo: int) -> DataFrame:
     return attach(long, means, at, series.layout, "n", ["n", "m"]).withColumn("e", F.col("z") - F.col("m"))
 
 
+def shifted_products(own: np.ndarray, e: np.ndarray, most: int) -> np.ndarray:
+    """Sums over t of own(t) e(t-h) for h = 0..most, as far as there are values."""
+    most = min(most, len(e) - 1)
+    if most <= DIRECT_LAGS:
+        return np.array([own[h:] @ e[: len(e) - h] for h in range(most + 1)])
+    out = np.zeros(most + 1)
+    for a in range(0, len(e), BLOCK):
+        lead = min(a, most)
+        past, now = e[a - lead : a + BLOCK], own[a : a + BLOCK]
+        size = 1 << (len(past) + len(now) - 1).bit_length()
+        both = np.fft.irfft(np.fft.rfft(now, size) * np.conj(np.fft.rfft(past, size)), size)
+        h = np.arange(min(most + 1, lead + len(now)))
+        out[h] += both[(h - lead) % size]
+    return out
+
+
 def lag_products(rows: DataFrame, keys: Sequence[str], most: Column, widest: int) -> DataFrame:
     """(keys, d, products): products[h] = sum of e(t) e(t-h) for h = 0..most (per series, at most `widest`)."""
     at = [*keys, "d"]
-    back = ordered_by(keys, "d").rowsBetween(-widest, 0)
-    recent = rows.withColumn("recent", F.reverse(F.collect_list("e").over(back))).where("own")
-    terms = recent.select(*at, "e", "n", F.posexplode("recent").alias("h", "past")).where(F.col("h") <= most)
-    sums = terms.groupBy(*at, "h").agg(F.sum(F.col("e") * F.col("past")).alias("s"))
+    fields = T.StructType([*[rows.schema[c] for c in at], *T.StructType.fromDDL("h int, s double").fields])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("pos")
+        e = part["e"].to_numpy()
+        sums = shifted_products(np.where(part["own"].to_numpy(), e, 0.0), e, min(part["most"][0].as_py(), widest))
+        keyed = [pa.array([part[c][0].as_py()] * len(sums), part.schema.field(c).type) for c in at]
+        return pa.Table.from_arrays([*keyed, pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], fields.fieldNames())
+
+    chunks = rows.select(*at, "chunk", "pos", "own", "e", most.cast("long").alias("most")).groupBy(*at, "chunk")
+    sums = chunks.applyInArrow(run, fields).groupBy(*at, "h").agg(F.sum("s").alias("s"))
     # At most widest + 1 sums per series.
     ordered = F.array_sort(F.collect_list(F.struct("h", "s")))
     return sums.groupBy(*at).agg(F.transform(ordered, lambda x: x["s"]).alias("products"))

@@ -83,24 +83,43 @@ def lagged_levels(products: np.ndarray, head: np.ndarray, tail: np.ndarray, n: i
 
 def _solve(moments: np.ndarray, x: Sequence[int], y: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Least squares from a moment matrix: coefficients, inverse, residual sum of squares."""
-    inverse = np.linalg.inv(moments[np.ix_(x, x)])
+    part = moments[np.ix_(x, x)]
+    size = np.sqrt(np.diag(part))
+    size[size == 0] = 1.0
+    inverse = np.linalg.inv(part / np.outer(size, size)) / np.outer(size, size)
     beta = inverse @ moments[x, y]
     return beta, inverse, max(float(moments[y, y] - beta @ moments[x, y]), 0.0)
 
 
-def _unit_root_moments(levels: np.ndarray, p: int) -> np.ndarray:
-    """From levels to (1, e(t-1), de(t-1), .., de(t-p), de(t))."""
-    step = np.zeros((levels.shape[0], p + 3))
-    step[0, 0] = step[2, 1] = 1.0
-    for i in range(1, p + 1):
-        step[i + 1, i + 1], step[i + 2, i + 1] = 1.0, -1.0
-    step[1, p + 2], step[2, p + 2] = 1.0, -1.0
-    return step.T @ levels @ step
+def unit_root_moments(level: tuple, step: tuple, n: int, p: int) -> np.ndarray:
+    """Moment matrix of (1, e(t-1), f(t-1), .., f(t-p), f(t)) over t = p+2..n; f is the difference of e less its mean.
+
+    `level` is (products, head, tail) of e, `step` the same of f and its mean. Sums of differences come from the lag
+    products of the differenced series, never from differences of the levels' large sums; sums of level times
+    difference from e(s) de(s) = (e(s)^2 - e(s-1)^2 + de(s)^2) / 2, which telescopes to end values.
+    """
+    (products, head, tail), (*steps, mean) = level, step
+    f = lagged_levels(*steps, n - 1, p)
+    rows, sums = f[0, 0], f[0, 1:]
+    raw = f[1:, 1:] + mean * (sums[:, None] + sums) + rows * mean * mean
+    out = np.empty((p + 3, p + 3))
+    order = [*range(1, p + 1), 0]  # f(t-1), .., f(t-p), f(t)
+    out[2:, 2:] = f[1:, 1:][np.ix_(order, order)]
+    out[0, 2:] = out[2:, 0] = sums[order]
+    out[0, 0] = rows
+    out[0, 1] = out[1, 0] = -head[:p].sum() - tail[-1]
+    out[1, 1] = products[0] - head[:p] @ head[:p] - tail[-1] ** 2
+    for at, j in enumerate(order, 2):
+        last, first = tail[-1 - j], head[p - j]
+        ends = (last - first) * (last + first)
+        crossed = (ends - raw[0, 0]) / 2 if j == 0 else (ends + raw[j, j]) / 2 + raw[1:j, j].sum()
+        out[1, at] = out[at, 1] = crossed - mean * out[0, 1]
+    return out
 
 
-def unit_root(products, head, tail, n: int, longest: int) -> tuple[float, int]:
+def unit_root(level: tuple, step: tuple, n: int, longest: int) -> tuple[float, int]:
     """t-ratio of the augmented Dickey-Fuller regression with a constant; lag by AIC on the common sample."""
-    full = _unit_root_moments(lagged_levels(products, head, tail, n, longest + 1), longest)
+    full = unit_root_moments(level, step, n, longest)
     rows, best = n - longest - 1, (math.inf, 0)
     for p in range(longest + 1):
         rss = _solve(full, list(range(p + 2)), longest + 2)[2]
@@ -110,8 +129,7 @@ def unit_root(products, head, tail, n: int, longest: int) -> tuple[float, int]:
         if score < best[0]:
             best = (score, p)
     p = best[1]
-    final = _unit_root_moments(lagged_levels(products, head, tail, n, p + 1), p)
-    beta, inverse, rss = _solve(final, list(range(p + 2)), p + 2)
+    beta, inverse, rss = _solve(unit_root_moments(level, step, n, p), list(range(p + 2)), p + 2)
     error = rss / (n - p - 1 - (p + 2))
     return float(beta[1] / math.sqrt(error * inverse[1, 1])), p
 
@@ -127,11 +145,12 @@ def _with_unit_root(stats: DataFrame) -> DataFrame:
             for row in batch.itertuples(index=False):
                 result = (np.nan, None, 1.0)
                 try:
-                    ends = (np.asarray(v, float) for v in (row.products, row.head, row.tail))
-                    stat, lag = unit_root(*ends, int(row.n), int(row.longest))
+                    level = tuple(np.asarray(v, float) for v in (row.products, row.head, row.tail))
+                    step = tuple(np.asarray(v, float) for v in (row.step_products, row.step_head, row.step_tail, row.step_mean))
+                    stat, lag = unit_root(level, step, int(row.n), int(row.longest))
                     if math.isfinite(stat):
                         result = (stat, lag, unit_root_p(stat))
-                except (np.linalg.LinAlgError, ZeroDivisionError, ValueError):
+                except (np.linalg.LinAlgError, ZeroDivisionError, ValueError, IndexError, TypeError):
                     pass  # a constant or too short series has no unit-root statistic: not stationary
                 found.append(result)
             more = pd.DataFrame(found, columns=["adf_stat", "adf_lag", "adf_p"], index=batch.index)
@@ -171,9 +190,12 @@ class Stationarity:
         most = F.col("n") if self.complete else longest + 1
         products = lag_products(self.rows, self.keys, most, self.widest)
         ends = end_values(self.rows, self.keys, longest + 2).withColumn("longest", longest.cast("int"))
-        walks = squared_partial_sums(self.rows, self.keys)
+        walks = squared_partial_sums(self.rows.where(F.col("d") <= MAX_DIFFERENCES), self.keys)
         # One row per series and degree: all tests and the first autoregression start from here.
-        self.stats = cut_lineage(join_on(join_on(ends, products, self.at), walks, self.at))
+        every = cut_lineage(join_on(join_on(ends, products, self.at), walks, self.at, "left"))
+        step = every.select(*self.keys, (F.col("d") - 1).alias("d"), F.col("m").alias("step_mean"),
+                            *[F.col(c).alias(f"step_{c}") for c in ("products", "head", "tail")])
+        self.stats = join_on(every.where(F.col("d") <= MAX_DIFFERENCES), step, self.at, "left")
 
     def _long_run(self) -> DataFrame:
         """`stats` with the bandwidth and the long-run variance it gives."""
@@ -186,7 +208,7 @@ class Stationarity:
             wide = int(top[1])
             rows = centred(self.series, self.column, wide)
             need = known.select(*self.at, F.col("n").alias("w"), "bandwidth")
-            rows = attach(rows, need, self.at, self.series.layout, "w", ["bandwidth"])
+            rows = attach(rows, need, self.at, self.series.layout, "w", ["bandwidth"]).where(F.col("bandwidth").isNotNull())
             products = lag_products(rows, self.keys, F.col("bandwidth"), wide)
             known = join_on(known.drop("wide"), products.withColumnRenamed("products", "wide"), self.at)
         w = F.col("bandwidth")

@@ -436,6 +436,14 @@ def adf_t(spark, folder):
     return tidy(t.select("d", "n", "adf_stat", "adf_lag"), 3)
 
 
+def adf_trend(spark, folder):
+    """Unit-root tests of a steep trend, whose levels are far larger than its steps."""
+    c = table(spark, folder, "customer")
+    y = (F.col("c_custkey") * 100 + F.round(F.col("c_acctbal") / 1000, 3)).cast("double")
+    t = _stationarity(c.select(F.col("c_custkey").alias("day"), y.alias("y")))
+    return tidy(t.select("d", "n", "adf_stat", "adf_lag"), 3)
+
+
 def kpss_eta(spark, folder):
     t = _stationarity(daily_by_type(spark, folder), ["event_type"])
     return tidy(t.select("event_type", "d", "n", "kpss_stat", "kpss_lag", "kpss_p"), 5)
@@ -474,7 +482,7 @@ QUERIES: dict[str, Query] = {
         tukey_events, pairwise_mann_whitney, ols_simple, ols_multi, ols_fit_by_flag, vif_eliminate, pearson_table,
         spearman_table, spearman_by_brand, corr_matrix, mediation_full, mediation_none, moderation, auto_compare,
         auto_compare_by_segment, auto_compare_small_segments, auto_influence, auto_correlate, auto_mediate,
-        analyze_orders, box_stats, scatter_grid, trend_line, difference_series, seasonal_difference, adf_t, kpss_eta,
+        analyze_orders, box_stats, scatter_grid, trend_line, difference_series, seasonal_difference, adf_t, adf_trend, kpss_eta,
         stationarity_log, arima_fit, forecast5, var_fit, var_forecast,
     )
 }

@@ -14,6 +14,8 @@ ORDERS = "src AS (SELECT 1 AS g, CAST(o_orderdate AS DATE) AS day, round(sum(o_t
 RUNNING = """src AS (SELECT 1 AS g, CAST(o_orderdate AS DATE) AS day,
   CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))*100 + round(avg(o_totalprice)/1000,3) AS DOUBLE) AS y FROM orders GROUP BY CAST(o_orderdate AS DATE))"""
 
+TREND = "src AS (SELECT 1 AS g, c_custkey AS day, CAST(c_custkey*100 + round(c_acctbal/1000,3) AS DOUBLE) AS y FROM customer)"
+
 
 def eliminated(name: str, rows: str, left: int) -> str:
     """From `rows` (g, d, m, x: m values per observation) to the states (g, d, m, k, mat) of the elimination; the last
@@ -144,6 +146,8 @@ UNION ALL SELECT CAST((SELECT max(t) FROM pos) + step AS BIGINT), value, 'foreca
 
 SERIES_ORACLE: dict[str, str] = {
     "adf_t": f"""WITH RECURSIVE {adf_cte(ORDERS)}
+SELECT CAST(d AS BIGINT) AS d, n, round(t,3) AS adf_stat, CAST(lag AS BIGINT) AS adf_lag FROM adf""",
+    "adf_trend": f"""WITH RECURSIVE {adf_cte(TREND)}
 SELECT CAST(d AS BIGINT) AS d, n, round(t,3) AS adf_stat, CAST(lag AS BIGINT) AS adf_lag FROM adf""",
     "stationarity_log": f"""WITH RECURSIVE {tests_cte(RUNNING)}
 SELECT CAST(d AS BIGINT) AS d, n, round(t,4) AS adf_stat, CAST(lag AS BIGINT) AS adf_lag, round(adf_p,4) AS adf_p, round(kpss_stat,4) AS kpss_stat,

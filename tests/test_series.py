@@ -66,6 +66,49 @@ def direct_kpss(x):
     return (np.cumsum(e) @ np.cumsum(e)) / n**2 / lr, width
 
 
+def trend_adf(x, longest):
+    """The same regression by QR of a centred design: nested fits from one factor."""
+    dx, e = np.diff(x), x - x.mean()
+    f = dx - dx.mean()
+
+    def design(p):
+        t = np.arange(p + 1, len(x))
+        return np.column_stack([np.ones(len(t)), e[t - 1] / np.abs(e).max(), *[f[t - 1 - i] for i in range(1, p + 1)], f[t - 1]])
+
+    r = np.linalg.qr(design(longest), mode="r")[:, -1]
+    n = len(x) - longest - 1
+    p = min((n * math.log((r[q + 2 :] @ r[q + 2 :]) / n) + 2 * (q + 2), q) for q in range(longest + 1))[1]
+    m = design(p)
+    beta, *_ = np.linalg.lstsq(m[:, :-1], m[:, -1], rcond=None)
+    res = m[:, -1] - m[:, :-1] @ beta
+    return beta[1] / math.sqrt(res @ res / (len(m) - p - 2) * np.linalg.inv(m[:, :-1].T @ m[:, :-1])[1, 1]), p
+
+
+@pytest.mark.parametrize("buckets", [None, "30000"])
+def test_steep_trend_keeps_its_digits(spark, buckets):
+    n = 200_000
+    y = 100.0 * np.arange(n) + np.random.default_rng(8).normal(size=n)
+    table = spark.createDataFrame(pd.DataFrame({"t": np.arange(n), "y": y})).repartition(8)
+    if buckets:
+        spark.conf.set("spark.autostat.bucketRows", buckets)
+    try:
+        row = ts.Stationarity(sr.place(table, "t", ["y"]), "y").tests().where("d = 0").first()
+    finally:
+        spark.conf.unset("spark.autostat.bucketRows")
+    stat, lag = trend_adf(y, ts.widest_lags(n))
+    assert row["adf_lag"] == lag and row["adf_stat"] == pytest.approx(stat, rel=1e-6)
+
+
+@pytest.mark.parametrize("block", [16, 1 << 18])
+def test_lag_products_by_transform(monkeypatch, block):
+    monkeypatch.setattr(sr, "BLOCK", block)
+    e = np.random.default_rng(9).normal(size=700)
+    own = np.where(np.arange(700) >= 90, e, 0)
+    for most in (0, 5, 256, 300, 2000):
+        want = [own[h:] @ e[: 700 - h] for h in range(min(most, 699) + 1)]
+        assert sr.shifted_products(own, e, most) == pytest.approx(want, abs=1e-9)
+
+
 @pytest.mark.parametrize("buckets", [None, "30"])
 @pytest.mark.parametrize("make", [walk, ar1])
 def test_stationarity_matches_direct(spark, make, buckets):
