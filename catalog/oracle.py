@@ -220,6 +220,25 @@ SELECT {k}CAST(position AS BIGINT) AS position, variable, '{method}' AS method,
 XS = ["l_quantity", "l_discount", "l_tax"]
 
 
+def kendall_sql(source: str, y: str, xs: list[str], keys: str = "") -> str:
+    """tau-b from the contingency table of discrete columns, every pair of cells compared."""
+    k, using = (f"{keys}, ", f"USING ({keys}, position)") if keys else ("", "USING (position)")
+    rows = " UNION ALL ".join(f"SELECT {k}{i} AS position, '{x}' AS variable, {x} AS a, {y} AS b FROM {source}" for i, x in enumerate(xs))
+    tied = lambda of, out: f"""{out} AS (SELECT {k}position, sum(t*(t-1)) AS {out}2, sum(t*(t-1)*(t-2)) AS {out}3, sum(t*(t-1)*(2*t+5)) AS {out}v
+FROM (SELECT {k}position, sum(c)::DOUBLE AS t FROM cell GROUP BY {k}position, {of}) GROUP BY {k}position)"""
+    return f"""WITH cell AS (SELECT {k}position, variable, a, b, count(*)::DOUBLE AS c FROM ({rows}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+s AS (SELECT {k}position, sum(p.c*q.c*sign(p.a-q.a)*sign(p.b-q.b))/2 AS s FROM cell p JOIN cell q {using} GROUP BY {k}position),
+n AS (SELECT {k}position, variable, sum(c) AS n FROM cell GROUP BY {k}position, variable), {tied("a", "x")}, {tied("b", "y")},
+m AS (SELECT *, s/(sqrt((n*(n-1)-x2)*(n*(n-1)-y2))/2) AS r,
+  s/sqrt((n*(n-1)*(2*n+5)-xv-yv)/18 + x2*y2/(2*n*(n-1)) + x3*y3/(9*n*(n-1)*(n-2))) AS z
+  FROM n JOIN s {using} JOIN x {using} JOIN y {using}),
+p AS (SELECT *, 2*(1 - {phi("abs(z)")}) AS p, round(abs(r),12) AS s_ FROM m)
+SELECT {k}CAST(position AS BIGINT) AS position, variable, 'Kendall Rank Correlation' AS method, n::BIGINT AS n, round(r,6) AS r, round(p,6) AS p_value,
+  p < 0.05 AS is_significant,
+  CASE WHEN s_<0.2 THEN 'very weak' WHEN s_<0.4 THEN 'weak' WHEN s_<0.6 THEN 'moderate' WHEN s_<0.8 THEN 'strong' ELSE 'very strong' END AS strength,
+  CASE WHEN r>0 THEN 'positive' ELSE 'negative' END AS direction FROM p"""
+
+
 def spearman_rows(source: str, y: str, xs: list[str], keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
@@ -484,6 +503,8 @@ SELECT round::BIGINT AS round, variable, round(vif,3) AS vif, gone AS eliminated
     ),
     "spearman_table": "WITH " + correlation_table(spearman_rows("lineitem", "l_extendedprice", XS), "Spearman Rank Correlation"),
     "spearman_by_brand": "WITH " + correlation_table(spearman_rows("part", "p_retailprice", ["p_size"], "p_brand"), "Spearman Rank Correlation", "p_brand"),
+    "kendall_table": kendall_sql("lineitem", "l_quantity", ["l_discount", "l_tax", "l_linenumber"]),
+    "kendall_by_brand": kendall_sql("(SELECT p_brand, p_size, round(p_retailprice/50) AS price FROM part)", "price", ["p_size"], "p_brand"),
     "corr_matrix": f"WITH {CHARGED} "
     + " UNION ALL ".join(
         f"""SELECT '{a}' AS "row", '{b}' AS "col", round(corr({a},{b}),6) AS r FROM charged"""

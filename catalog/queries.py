@@ -15,6 +15,7 @@ from autostat.operators import timeseries as ts
 from autostat.operators.describe import describe, group_moments, group_summary
 from autostat.operators.gram import correlation_matrix
 from autostat.operators.instrument import instrument
+from autostat.operators.kendall import kendall
 from autostat.operators.normality import normality
 from autostat.plans.analysis import analyze
 from autostat.plans.routing import Comparison, auto_test
@@ -344,6 +345,15 @@ def spearman_by_brand(spark, folder):
     return tidy(correlate.spearman(table(spark, folder, "part"), "p_retailprice", ["p_size"], ["p_brand"]), 6)
 
 
+def kendall_table(spark, folder):
+    return tidy(kendall(table(spark, folder, "lineitem"), "l_quantity", ["l_discount", "l_tax", "l_linenumber"]), 6)
+
+
+def kendall_by_brand(spark, folder):
+    parts = table(spark, folder, "part").select("p_brand", "p_size", F.round(F.col("p_retailprice") / 50).alias("price"))
+    return tidy(kendall(parts, "price", ["p_size"], ["p_brand"]), 6)
+
+
 def corr_matrix(spark, folder):
     return tidy(correlation_matrix(charged(spark, folder), ["charge", "price", "l_quantity"]), 6)
 
@@ -480,7 +490,7 @@ QUERIES: dict[str, Query] = {
         mann_whitney, mann_whitney_by_priority, mann_whitney_exact, welch_constant_groups, anova_constant_groups,
         tukey_constant_groups, moderation_collinear, kruskal_events, kruskal_quantity, anova_events, anova_by_segment,
         tukey_events, pairwise_mann_whitney, ols_simple, ols_multi, ols_fit_by_flag, vif_eliminate, pearson_table,
-        spearman_table, spearman_by_brand, corr_matrix, mediation_full, mediation_none, moderation, auto_compare,
+        spearman_table, spearman_by_brand, kendall_table, kendall_by_brand, corr_matrix, mediation_full, mediation_none, moderation, auto_compare,
         auto_compare_by_segment, auto_compare_small_segments, auto_influence, auto_correlate, auto_mediate,
         analyze_orders, box_stats, scatter_grid, trend_line, difference_series, seasonal_difference, adf_t, adf_trend, kpss_eta,
         stationarity_log, arima_fit, forecast5, var_fit, var_forecast,
