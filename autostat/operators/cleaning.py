@@ -124,6 +124,12 @@ def median_values(df: DataFrame, columns: Sequence[str], at_most: int | None = N
     return dict(ordered.groupBy("column").agg(quantile_at("value", 0.5)).collect())
 
 
+def mean_values(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Means of several columns in one job; a column without a number has none."""
+    row = df.select(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[i] for i, c in enumerate(columns) if row[i] is not None}
+
+
 def mode_value(df: DataFrame, column: str) -> str | None:
     """Smallest most-frequent label: counts are combined per task, then one best row is kept."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
@@ -133,9 +139,11 @@ def mode_value(df: DataFrame, column: str) -> str | None:
 
 def fill_missing(
     df: DataFrame, columns: Sequence[str], types: dict[str, str], report: Sequence[Row] | None = None,
-    at_most: int | None = None,
+    at_most: int | None = None, centre: str = "median",
 ) -> Cleaned:
-    """Rows are dropped first, then columns missing 5 % or more are filled: median or mode."""
+    """Rows are dropped first, then columns missing 5 % or more are filled: `centre` (median or mean) or mode."""
+    if centre not in ("median", "mean"):
+        raise ValueError(f"unknown centre '{centre}'; use median or mean")
     report = missing_report(df, columns).collect() if report is None else report
     log = []
     kept = drop_sparse_missing(df, columns, report)
@@ -148,7 +156,9 @@ def fill_missing(
         left = kept.select(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(many)]).first()
         open_ = [c for i, c in enumerate(many) if left[i]]
         numeric = [c for c in open_ if types[c] == "numerical"]
-        medians = median_values(kept, numeric, at_most) if numeric else {}
+        centres = {}
+        if numeric:
+            centres = median_values(kept, numeric, at_most) if centre == "median" else mean_values(kept, numeric)
         source = kept
         for i, (c, percent) in enumerate(many.items()):
             if types[c] == "time":
@@ -156,7 +166,7 @@ def fill_missing(
                 log.append(log_row("missing", c, "drop", left[i], percent))
                 continue
             if c in numeric:
-                fills[c] = medians.get(c, 0.0)
+                fills[c] = centres.get(c, 0.0)
             elif c in open_:
                 found = mode_value(source, c)
                 fills[c] = "Unknown" if found is None else found
@@ -164,6 +174,32 @@ def fill_missing(
     return Cleaned(kept.fillna(fills) if fills else kept, types, log)
 
 
+def drop_duplicates(df: DataFrame, columns: Sequence[str] = (), keep_by: Sequence[str] = ()) -> Cleaned:
+    """One row of each that agree in `columns` (in all columns if none are given; missing cells are equal).
+
+    The row with the smallest `keep_by` stays, then the smallest in the other columns, so the result does not depend on
+    the order of the input. Repeated rows are combined before they are shuffled."""
+    require_columns(df, [*columns, *keep_by])
+    if not columns:
+        kept = df.distinct()
+    else:
+        rest = [c for c in df.columns if c not in columns]
+        order = [*keep_by, *[c for c in rest if c not in keep_by]]
+        best = F.min(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(order)])) if rest else F.count(F.lit(1))
+        one = df.groupBy(*columns).agg(best.alias("__best"))
+        picked = {c: F.col(f"__best.v{order.index(c)}").alias(c) for c in rest}
+        kept = one.select(*[picked.get(c, F.col(c)) for c in df.columns])
+    both = df.agg(F.count(F.lit(1)).alias("n")).join(kept.agg(F.count(F.lit(1)).alias("k")))
+    none = F.lit(None).cast("double")
+    late = both.select(
+        F.lit("duplicates").alias("step"), F.lit(", ".join(columns) or "all columns").alias("column"),
+        F.when(F.col("n") > F.col("k"), "drop").otherwise("none").alias("action"), (F.col("n") - F.col("k")).alias("n_rows"),
+        F.round(F.try_divide(100.0 * (F.col("n") - F.col("k")), F.col("n")), 2).alias("percent"), none.alias("lower"),
+        none.alias("upper"), F.lit(None).cast("string").alias("imputed_value"),
+    )
+    return Cleaned(kept, {}, [], late)
+
+
 def iqr_bounds(df: DataFrame, column: str, at_most: int | None = None) -> tuple[float, float] | None:
     """Fences of one column, None when fewer than 4 rows."""
     values = df.select(F.col(column).alias("__y"))

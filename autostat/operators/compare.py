@@ -76,6 +76,23 @@ def _higher(a: str, b: str) -> Column:
     return F.when(F.col(a) > F.col(b), F.col("label1")).otherwise(F.col("label2"))
 
 
+# Where an effect counts as small, medium and large (Cohen 1988), by the name results give it.
+EFFECT_SIZES = {
+    "Cohen's d": (0.2, 0.5, 0.8), "r (Z/sqrt(N))": (0.1, 0.3, 0.5), "Eta-squared": (0.01, 0.06, 0.14),
+    "Omega-squared": (0.01, 0.06, 0.14), "Epsilon-squared": (0.01, 0.06, 0.14),
+}
+
+
+def with_effect_label(results: DataFrame) -> DataFrame:
+    """Add `effect_label` (negligible, small, medium, large) to test results; NULL for effects without such limits."""
+    label = F.lit(None).cast("string")
+    for name, (small, medium, large) in EFFECT_SIZES.items():
+        size = F.round(F.abs("effect_size"), 12)
+        of_name = F.when(size >= large, "large").when(size >= medium, "medium").when(size >= small, "small").otherwise("negligible")
+        label = F.when((F.col("effect_name") == name) & F.col("effect_size").isNotNull(), of_name).otherwise(label)
+    return results.withColumn("effect_label", label)
+
+
 def against_spread(size: Column, spread: Column) -> Column:
     """size / spread; infinite when something differs and nothing varies, NULL when neither does."""
     return F.when((spread == 0) & (size != 0), F.signum(size) * float("inf")).otherwise(ratio(size, spread))
@@ -221,18 +238,26 @@ def sums_of_squares(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 @by_segment
-def anova(summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """One-way ANOVA with eta-squared."""
+def anova(
+    summary: DataFrame, group: str, keys: Sequence[str] = (), alpha: float = 0.05, effect: str = "Eta-squared"
+) -> DataFrame:
+    """One-way ANOVA with eta-squared, or with omega-squared, which allows for chance (and is 0 where chance explains more)."""
+    if effect not in ("Eta-squared", "Omega-squared"):
+        raise ValueError(f"unknown effect '{effect}'; use Eta-squared or Omega-squared")
     squares = sums_of_squares(summary, keys)
     top = summary.groupBy(*keys).agg(F.max_by(F.col(group), F.col("mean")).alias("higher_group"))
     df1, df2 = F.col("k") - 1, F.col("total") - F.col("k")
+    everything, error = F.col("between") + F.col("within"), ratio(F.col("within"), df2)
+    size = ratio(F.col("between"), everything)
+    if effect == "Omega-squared":
+        size = F.greatest(ratio(F.col("between") - df1 * error, everything + error), F.lit(0.0))
     out = join_on(squares.where("k >= 2"), top, keys).select(
         "*", df1.cast("double").alias("df1"), df2.cast("double").alias("df2"),
         against_spread(ratio(F.col("between"), df1), ratio(F.col("within"), df2)).alias("statistic"),
-        F.coalesce(ratio(F.col("between"), F.col("between") + F.col("within")), F.lit(0.0)).alias("effect_size"),
+        F.coalesce(size, F.lit(0.0)).alias("effect_size"),
         F.lit("F distribution").alias("method"),
     ).withColumn("p_value", f_p("statistic", "df1", "df2"))
-    return _finish(out, keys, "One-Way ANOVA", True, "Eta-squared", alpha)
+    return _finish(out, keys, "One-Way ANOVA", True, effect, alpha)
 
 
 @by_segment

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from collections.abc import Sequence
 
@@ -82,8 +83,25 @@ def snapshot(df: DataFrame, base: str, run_id: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_results(results: dict[str, DataFrame], base: str, run_id: str, partition_by: Sequence[str] = ()) -> None:
-    """Append every tidy result table under `base/<name>`, partitioned by run (and by the given columns)."""
+def run_parameters(spark: SparkSession, request: object) -> DataFrame:
+    """(parameter, value): every field of an analysis request, as text; what is not set is NULL."""
+    rows = []
+    for f in dataclasses.fields(request):
+        value = getattr(request, f.name)
+        if isinstance(value, (list, tuple)):
+            value = ", ".join(map(str, value))
+        rows.append((f.name, None if value is None else str(value)))
+    return spark.createDataFrame(rows, "parameter string, value string")
+
+
+def write_results(
+    results: dict[str, DataFrame], base: str, run_id: str, partition_by: Sequence[str] = (), request: object | None = None
+) -> None:
+    """Append every tidy result table under `base/<name>`, partitioned by run (and by the given columns); with the
+    `request`, its parameters as table `run_parameters`."""
+    if request is not None:
+        spark = next(iter(results.values())).sparkSession
+        results = {**results, "run_parameters": run_parameters(spark, request)}
     for name, table in results.items():
         extra = [c for c in partition_by if c in table.columns]
         stamped = table.withColumn("run_id", F.lit(run_id))
