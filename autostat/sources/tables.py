@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from autostat.functions.columns import NA_TOKENS
+from autostat.sources.csv_records import records
 
 READERS = {".csv": "csv", ".tsv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
 
@@ -26,16 +27,31 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", quoted_newlines: bool = True
+) -> DataFrame:
     """Header row; types from `schema`, or inferred after missing-value words are set aside.
 
-    Without a schema all cells are read as text and one aggregate finds the columns whose every
-    remaining cell is a number; pass a schema for large files to save that pass.
+    Cells in quotes may hold line breaks, and a file is still read by many tasks (see `csv_records`); where it is known
+    that none do, `quoted_newlines=False` saves the pass that looks for them. Without a schema all cells are read as text
+    and one aggregate finds the columns whose every remaining cell is a number; pass a schema for large files to save
+    that pass.
     """
-    options = {"header": True, "sep": sep, "multiLine": True, "quote": '"', "escape": '"'}
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"'}
+    # The first record names the columns; a file is opened by the driver for no more than that.
+    names = spark.read.options(**options, multiLine=True).csv(path).columns if quoted_newlines else []
+    if not quoted_newlines:
+        reader = spark.read.options(**options)
+        text = missing_to_null((reader if schema is None else reader.schema(schema)).csv(path))
+    elif not names:
+        return spark.read.options(**options, multiLine=True).csv(path)
+    else:
+        fields = T.StructType([T.StructField(c, T.StringType()) for c in names]) if schema is None else schema
+        fields = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
+        parsed = F.from_csv("record", fields.toDDL(), {k: str(v) for k, v in options.items() if k != "header"})
+        text = missing_to_null(records(spark, path, sep).select(parsed.alias("c")).select("c.*"))
     if schema is not None:
-        return missing_to_null(spark.read.options(**options).schema(schema).csv(path))
-    text = missing_to_null(spark.read.options(**options).csv(path))
+        return text
     tests = []
     for c in text.columns:
         whole = F.col(c).try_cast("long").isNotNull() & F.col(c).rlike(r"^\s*[+-]?\d+\s*$")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from autostat.operators import cleaning, compare, outliers, smoothing
 from autostat.operators import series as ordered
+from autostat.functions.columns import NA_TOKENS
 from autostat.operators.describe import group_moments
+from autostat.sources.checkpoints import delete_at_exit, new_path
+from autostat.sources.tables import read_csv
 from catalog.oracle import DIRTY, anova_sql, f_p_4
 from catalog.queries import daily_by_type, dirty_orders, table, tidy
 from catalog.series_oracle import BY_TYPE
@@ -156,3 +159,21 @@ def smoothing_forecast(spark, folder):
     fits = smoothing.smoothing_fits(_daily(spark, folder), "y")
     later = smoothing.smoothing_forecast(fits, ["event_type"]).join(fits.where("best").select("event_type", "alpha", "n", "sse"), "event_type")
     return tidy(later.select("event_type", "alpha", "n", "sse", "step", "value"), 4, sse=2)
+
+
+# --- files ---
+
+TOKENS = ", ".join("'" + t + "'" for t in NA_TOKENS)
+
+
+@query(f"""SELECT doc_id, CASE WHEN lang NOT IN ({TOKENS}) THEN lang END AS lang, n_chars, md5(text) AS text FROM
+(SELECT doc_id, lang, n_chars, CASE WHEN text NOT IN ({TOKENS}) THEN text END AS text FROM documents)""")
+def csv_round_trip(spark, folder):
+    """Texts with line breaks and quotes, written as CSV and read back by ranges of the files."""
+    path = f"{new_path(spark, 'csv')}.csv"
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text")
+    keep = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(header=True, **keep).csv(path)
+    delete_at_exit(spark, path)
+    back = read_csv(spark, path, docs.schema)
+    return back.select("doc_id", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("text"))
