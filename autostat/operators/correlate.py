@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from autostat.functions.columns import by_segment, direction, join_on, numeric_frame, ratio, strength
 from autostat.functions.tails import t_p
-from autostat.operators.order import Layout, attach, midrank, ordered_counts, plan_layout
+from autostat.operators.order import attach, midrank, ordered_counts, plan_layout
+from autostat.sources.checkpoints import cut_lineage
 
 
 def _report(df: DataFrame, keys: Sequence[str], method: str, alpha: float) -> DataFrame:
@@ -48,23 +49,19 @@ def pearson(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     return _report(flat, keys, "Pearson Correlation", alpha)
 
 
-def _ranked(pairs: DataFrame, column: str, seg: Sequence[str], out: str, layout: Layout) -> DataFrame:
-    """Add the mid-rank of `column` within its segment.
-
-    Small data are ranked in place; otherwise each value is looked up among the ranked distinct values.
-    """
-    if layout.single:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*seg, column))
-        first = F.rank().over(Window.partitionBy(*seg).orderBy(column))
-        return pairs.withColumn(out, first + (ties - 1) / 2)
-    layout = plan_layout(pairs, column)
-    ranks = ordered_counts(pairs, column, seg, (), layout).select(*seg, column, "cnt", midrank().alias(out))
-    return attach(pairs, ranks, [*seg, column], layout, "cnt", [out])
+def _ranks(counts: DataFrame, column: str, seg: Sequence[str], out: str) -> DataFrame:
+    """(seg, column, out, cnt): the mid-rank of every distinct value, less the mean rank."""
+    centred = midrank() - (F.col("total") + 1) / 2
+    ordered = ordered_counts(counts, column, seg, (), plan_layout(counts, column), "cnt")
+    return ordered.select(*seg, column, centred.alias(out), F.col("cnt").alias(f"__n_{out}"))
 
 
 @by_segment
 def spearman(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Rank correlation of all predictors in one job: long form (variable, x, y), complete pairs."""
+    """Rank correlation of all predictors in one job: long form (variable, x, y), complete pairs.
+
+    Equal pairs collapse first, distinct values are ranked, and each collapsed pair looks its two ranks up. A value in
+    very many pairs is looked up in a broadcast (see `attach`)."""
     known = [x for x in dict.fromkeys(xs) if x in df.columns]
     rows = numeric_frame(df, list(dict.fromkeys([y, *known])), keys)
     cells = F.array(
@@ -76,11 +73,26 @@ def spearman(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     seg = [*keys, "position", "variable"]
     pairs = rows.select(*keys, F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     size = plan_layout(pairs, "y")
-    ranked = _ranked(_ranked(pairs, "x", seg, "rx", size), "y", seg, "ry", size)
-    flat = ranked.groupBy(*seg).agg(
-        F.count(F.lit(1)).alias("n"),
-        ratio(F.covar_samp("rx", "ry"), F.sqrt(F.var_samp("rx") * F.var_samp("ry"))).alias("raw"),
-    )
+    if size.single:
+        ranked = pairs.withColumn("cnt", F.lit(1))
+        for column, out in (("x", "rx"), ("y", "ry")):
+            ties = F.count(F.lit(1)).over(Window.partitionBy(*seg, column))
+            first = F.rank().over(Window.partitionBy(*seg).orderBy(column))
+            ranked = ranked.withColumn(out, first + (ties - 1) / 2)
+        flat = ranked.groupBy(*seg).agg(
+            F.count(F.lit(1)).alias("n"),
+            ratio(F.covar_samp("rx", "ry"), F.sqrt(F.var_samp("rx") * F.var_samp("ry"))).alias("raw"),
+        )
+    else:
+        counts = cut_lineage(pairs.groupBy(*seg, "x", "y").agg(F.count(F.lit(1)).alias("cnt")))
+        ranked, layout = counts, plan_layout(counts, "y")
+        for column, out in (("x", "rx"), ("y", "ry")):
+            of_value = counts.groupBy(*seg, column).agg(F.count(F.lit(1)).alias("__rows"))
+            ranks = join_on(_ranks(counts, column, seg, out), of_value, [*seg, column])
+            ranked = attach(ranked, ranks, [*seg, column], layout, "__rows", [out])
+        weighed = lambda a, b: F.sum(F.col("cnt") * F.col(a) * F.col(b))
+        raw = ratio(weighed("rx", "ry"), F.sqrt(weighed("rx", "rx") * weighed("ry", "ry")))
+        flat = ranked.groupBy(*seg).agg(F.sum("cnt").alias("n"), raw.alias("raw"))
     return _report(flat, keys, "Spearman Rank Correlation", alpha)
 
 

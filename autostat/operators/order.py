@@ -20,9 +20,11 @@ from autostat.functions.columns import join_on
 
 BUCKET_ROWS_CONF = "spark.autostat.bucketRows"
 DEFAULT_BUCKET_ROWS = 4_000_000
-# Bounds of the layout: cut points, rows looked at to place them, and large segments that may be broadcast.
+# Bounds of the layout: cut points of a pass, rows looked at to place them, and large segments that may be broadcast.
 CUT_POINTS = 1024
 CUT_ROWS = 1_000_000
+# Rows of a bucket looked at to cut it again.
+CUT_ROWS_INSIDE = 1000
 LARGE_SEGMENTS = 10_000
 # Parts of a segment in the lookup of more large segments than that.
 LOOKUP_SALTS = 64
@@ -40,7 +42,6 @@ class Layout:
     rows: int
     limit: int
     cuts: tuple[float, ...] = ()
-    parts: int = 1
 
     @property
     def single(self) -> bool:
@@ -48,7 +49,7 @@ class Layout:
 
     @property
     def buckets(self) -> int:
-        return max(1, len(self.cuts)) * self.parts
+        return max(1, len(self.cuts))
 
     def isolating(self, points: Sequence[float]) -> Layout:
         """The same layout with each of `points` alone in its bucket."""
@@ -60,18 +61,12 @@ class Layout:
         return replace(self, cuts=(low, *cuts, high))
 
     def assign(self, df: DataFrame, value: str, out: str) -> DataFrame:
-        """Add the bucket number: quantile bucket first, then `parts` equal widths inside it."""
+        """Add the bucket number."""
         if len(self.cuts) < 3:
             return df.withColumn(out, F.lit(0).cast("long"))
         edges = [float("-inf"), *self.cuts[1:-1], float("inf")]
-        coarse = Bucketizer(splits=edges, inputCol=value, outputCol="__coarse").transform(df)
-        at = F.col("__coarse").cast("int") + 1
-        low = F.element_at(F.lit(list(self.cuts[:-1])), at)
-        high = F.element_at(F.lit(list(self.cuts[1:])), at)
-        inner = F.floor((F.col(value) - low) / (high - low) * self.parts)
-        inner = F.greatest(F.lit(0), F.least(F.lit(self.parts - 1), inner))
-        number = F.col("__coarse").cast("long") * self.parts + (inner if self.parts > 1 else F.lit(0))
-        return coarse.withColumn(out, number).drop("__coarse")
+        cut = Bucketizer(splits=edges, inputCol=value, outputCol="__coarse").transform(df)
+        return cut.withColumn(out, F.col("__coarse").cast("long")).drop("__coarse")
 
 
 def plan_layout(df: DataFrame, value: str, at_most: int | None = None) -> Layout:
@@ -93,8 +88,20 @@ def plan_layout(df: DataFrame, value: str, at_most: int | None = None) -> Layout
     share = min(1.0, CUT_ROWS / rows)
     seen = df.select(value) if share == 1.0 else df.select(value).sample(fraction=share, seed=11)
     cuts = seen.select(F.percentile_approx(value, probs, 20 * CUT_POINTS)).first()[0] or []
+    layout = Layout(rows, limit, tuple(sorted(set(cuts))))
     parts = -(-rows // (limit * CUT_POINTS))
-    return Layout(rows, limit, tuple(sorted(set(cuts))), parts)
+    return layout if parts == 1 else _finer(df, value, layout, parts)
+
+
+def _finer(df: DataFrame, value: str, layout: Layout, parts: int) -> Layout:
+    """A second pass cuts every bucket at quantiles of its own, so that also a long tail is spread: rows / limit cuts."""
+    share = min(1.0, CUT_ROWS_INSIDE / layout.limit)
+    seen = df.select(value) if share == 1.0 else df.select(value).sample(fraction=share, seed=12)
+    probs = [i / parts for i in range(1, parts)]
+    inner = layout.assign(seen.where(F.col(value).isNotNull()), value, "__bucket").groupBy("__bucket")
+    found = inner.agg(F.percentile_approx(value, probs, 20 * parts).alias("cuts")).collect()
+    more = {x for r in found for x in r["cuts"]}
+    return replace(layout, cuts=tuple(sorted({*layout.cuts, *more})))
 
 
 @dataclass(frozen=True)
@@ -233,12 +240,7 @@ def attach(
     if layout.single or not keys:
         return join_on(left, right.select(*keys, *columns), keys, "left")
     plain = right.select(*keys, *columns, (F.col(weight) * 1000 > layout.rows).alias("__hot"))
-    hot = plain.where("__hot").drop("__hot")
-    hot = hot.select(*keys, *[F.col(c).alias(f"__h_{c}") for c in columns], F.lit(True).alias("__hit"))
-    cold = plain.where(~F.col("__hot")).drop("__hot").withColumn("__salt", F.lit(0))
-    seen = join_on(left, F.broadcast(hot), keys, "left")
-    # Rows already served get a spread-out salt that matches nothing on the other side.
-    scatter = F.when(F.col("__hit"), 1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int")).otherwise(0)
-    found = join_on(seen.withColumn("__salt", scatter), cold, [*keys, "__salt"], "left")
-    picked = [F.coalesce(F.col(f"__h_{c}"), F.col(c)).alias(c) for c in columns]
-    return found.select(*left.columns, *picked)
+    hot, cold = F.broadcast(plain.where("__hot").drop("__hot")), plain.where(~F.col("__hot")).drop("__hot")
+    served = join_on(left, hot, keys)
+    rest = join_on(join_on(left, hot.select(*keys), keys, "left_anti"), cold, keys, "left")
+    return served.select(*left.columns, *columns).unionByName(rest.select(*left.columns, *columns))

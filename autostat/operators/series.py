@@ -21,7 +21,6 @@ from autostat.functions.columns import number, require_columns
 from autostat.operators.order import Layout, Ties, attach, bucket_rows, plan_layout, spread
 
 MAX_DIFFERENCES = 2
-TIED_TIMES = 1000
 # Lagged cells one task may look at.
 LAG_CELLS = 50_000_000
 # More lags than this are taken by fast Fourier transforms of blocks of so many rows.
@@ -53,9 +52,8 @@ def time_axis(df: DataFrame, time: str) -> Column:
 
 
 def _tied_times(rows: DataFrame, value: str, layout: Layout) -> Ties | None:
-    """Times that more rows share than one task should order (at most TIED_TIMES of them), cut by `value`."""
-    limit = max(layout.limit, layout.rows // TIED_TIMES)
-    found = rows.groupBy("__t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select("__t").collect()
+    """Times that more rows share than one task should order (at most rows / limit of them), cut by `value`."""
+    found = rows.groupBy("__t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > layout.limit).select("__t").collect()
     points = tuple(sorted(r[0] for r in found))
     if not points:
         return None

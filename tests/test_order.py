@@ -9,7 +9,7 @@ from autostat.operators import compare, order
 from autostat.operators.correlate import spearman
 from autostat.operators.describe import describe, group_moments
 from autostat.operators.normality import normality
-from autostat.operators.order import midrank, ordered_counts, plan_layout, quantiles
+from autostat.operators.order import CUT_POINTS, attach, midrank, ordered_counts, plan_layout, quantiles
 
 
 def skewed(spark, n=3000):
@@ -57,20 +57,36 @@ def test_quantiles_match_pandas(spark, small_buckets):
         assert np.allclose(got[name].sort_index(), want[p].sort_index())
 
 
-def test_large_layout_subdivides_buckets(spark):
-    df = spark.range(0, 5000).select((F.col("id") * 1.7).alias("v"))
+@pytest.mark.parametrize("shape", ["F.col('id') * 1.7", "F.pow(F.lit(1.01), F.col('id') / 2)", "F.exp(F.col('id') / 40.0)"])
+def test_large_layout_cuts_again(spark, shape):
+    """More buckets than one pass has cut points, also for a long tail."""
+    df = spark.range(0, 5000).select("id", eval(shape).alias("v"))
     spark.conf.set("spark.autostat.bucketRows", "2")
     try:
         layout = plan_layout(df, "v")
-        assert layout.parts >= 2
-        got = ordered_counts(df, "v", layout=layout)
-        assert got.where(F.col("upto") != F.round(F.col("v") / 1.7) + 1).count() == 0
+        assert layout.buckets > CUT_POINTS
+        got = ordered_counts(df.drop("id"), "v", layout=layout)
+        assert [r["upto"] for r in got.orderBy("v").collect()] == list(range(1, 5001))
         sizes = layout.assign(df, "v", "b").groupBy("b").count()
-        assert sizes.agg(F.max("count")).first()[0] < 60
+        assert sizes.agg(F.max("count")).first()[0] <= 4
     finally:
         spark.conf.unset("spark.autostat.bucketRows")
 
 
+def test_attach_parts_served_rows(spark):
+    left = spark.range(9000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 500 + 1).alias("k"), F.lit("same").alias("v"))
+    left = left.withColumn("k", F.when(F.col("k") == 7, None).otherwise(F.col("k")))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k is null or k <> 9").withColumn("z", F.coalesce(F.col("k") * 2, F.lit(-1)))
+    spark.conf.set("spark.autostat.bucketRows", "40")
+    try:
+        out = attach(left, right, ["k"], plan_layout(left.withColumn("x", F.lit(1.0)), "x"), "n", ["z"])
+        rows = out.groupBy("k", "z").count().collect()
+    finally:
+        spark.conf.unset("spark.autostat.bucketRows")
+    assert sum(r["count"] for r in rows) == 9000 and len(rows) == 501
+    assert all(r["z"] == (None if r["k"] == 9 else -1 if r["k"] is None else 2 * r["k"]) for r in rows)
+
+
 def test_describe_matches_pandas(spark, small_buckets):
     pdf, df = skewed(spark)
     got = describe(df, ["v", "w", "absent"], ["k"]).toPandas()
