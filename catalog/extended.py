@@ -13,9 +13,12 @@ from autostat.functions.columns import NA_TOKENS
 from autostat.operators.describe import group_moments
 from autostat.sources.checkpoints import delete_at_exit, new_path
 from autostat.sources.tables import read_csv
-from catalog.oracle import DIRTY, anova_sql, f_p_4
-from catalog.queries import daily_by_type, dirty_orders, table, tidy
-from catalog.series_oracle import BY_TYPE
+from autostat.plans.analysis import analyze
+from autostat.plans.routing import Comparison
+from autostat.plans.spec import AnalysisSpec
+from catalog.oracle import XS, DIRTY, anova_sql, correlation_table, f_p_4, fences, kruskal_sql, phi, ranked, spearman_rows
+from catalog.queries import daily_by_type, dirty_orders, running_total, table, test_row, tidy
+from catalog.series_oracle import BY_TYPE, SERIES_ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,6 +164,60 @@ def smoothing_forecast(spark, folder):
     return tidy(later.select("event_type", "alpha", "n", "sse", "step", "value"), 4, sse=2)
 
 
+# --- the whole analysis ---
+
+KEPT = f"""{fences("events", "value", "f")}, kept AS (SELECT event_id, event_type, value FROM events, f WHERE value BETWEEN lo AND hi)"""
+
+
+@query(kruskal_sql("kept", "value", "event_type", 2).replace("WITH ", f"WITH {KEPT}, ", 1))
+def analyze_events(spark, folder):
+    """Compare after outlier rows have gone."""
+    found = analyze(table(spark, folder, "events"), AnalysisSpec("value", "compare", group="event_type"))
+    return test_row(found["test_result"])
+
+
+@query(f"""WITH {KEPT}, n AS (SELECT count(*) AS n FROM events), k AS (SELECT count(*) AS k FROM kept)
+SELECT step, "column", action, n_rows FROM (SELECT 'outliers' AS step, 'value' AS "column", CASE WHEN n > k THEN 'filter' ELSE 'none' END AS action, n - k AS n_rows FROM n, k)""")
+def analyze_events_log(spark, folder):
+    found = analyze(table(spark, folder, "events"), AnalysisSpec("value", "compare", group="event_type"))
+    return found["cleaning_log"].where("step = 'outliers'").select("step", "column", "action", "n_rows")
+
+
+@query(SERIES_ORACLE["stationarity_log"])
+def analyze_series_route(spark, folder):
+    """A time column sends the goal `influence` to the series path; no row is removed there."""
+    found = analyze(running_total(spark, folder), AnalysisSpec("y", "influence", xs=(), time_col="day"))
+    return tidy(found["stationarity_log"], 4)
+
+
+@query("WITH " + correlation_table(spearman_rows("lineitem", "l_extendedprice", XS), "Spearman Rank Correlation"))
+def analyze_correlate(spark, folder):
+    spec = AnalysisSpec("l_extendedprice", "correlate", xs=tuple(XS), filter_outliers=False)
+    return tidy(analyze(table(spark, folder, "lineitem"), spec)["correlation"], 6)
+
+
+SHIFTED = """shifted AS (SELECT o_orderpriority, o_orderstatus, (o_totalprice * CASE o_orderstatus WHEN 'O' THEN 2 ELSE 1 END)::DOUBLE AS y FROM orders)"""
+
+
+@query(f"""WITH {SHIFTED}, sig AS (SELECT o_orderpriority FROM ({kruskal_sql("shifted", "y", "o_orderstatus", 1, "o_orderpriority")}) WHERE is_significant),
+pr AS (SELECT DISTINCT a.o_orderpriority, a.o_orderstatus AS group1, b.o_orderstatus AS group2 FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM shifted) a
+  JOIN (SELECT DISTINCT o_orderpriority, o_orderstatus FROM shifted) b ON a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus < b.o_orderstatus JOIN sig ON sig.o_orderpriority = a.o_orderpriority),
+src AS (SELECT pr.*, o_orderstatus, y FROM pr JOIN shifted s ON s.o_orderpriority = pr.o_orderpriority AND o_orderstatus IN (group1, group2)),
+rk AS ({ranked("src", "y", "o_orderpriority, group1, group2")}),
+s AS (SELECT o_orderpriority, group1, group2, count_if(o_orderstatus=group1)::DOUBLE AS n1, count_if(o_orderstatus=group2)::DOUBLE AS n2, sum(CASE WHEN o_orderstatus=group1 THEN rk END) AS r1,
+  sum(tied*tied-1.0) AS ties, avg(CASE WHEN o_orderstatus=group1 THEN y END) - avg(CASE WHEN o_orderstatus=group2 THEN y END) AS md FROM rk GROUP BY ALL),
+u AS (SELECT *, r1-n1*(n1+1)/2 AS u, n1+n2 AS nn FROM s),
+z AS (SELECT *, (greatest(u,n1*n2-u)-n1*n2/2-0.5)/sqrt(n1*n2/12*((nn+1)-ties/(nn*(nn-1)))) AS z FROM u),
+p AS (SELECT *, least(1.0, least(1.0, 2*(1-{phi("z")}))*3) AS p FROM z)
+SELECT o_orderpriority, group1, group2, round(md,4) AS mean_diff, round(p,5) AS p_corrected, p < 0.05 AS is_significant FROM p""")
+def post_hoc_by_priority(spark, folder):
+    """Pairs of groups in every segment whose test found a difference."""
+    dearer = F.col("o_totalprice") * F.when(F.col("o_orderstatus") == "O", 2.0).otherwise(1.0)
+    orders = table(spark, folder, "orders").select("o_orderpriority", "o_orderstatus", dearer.alias("y"))
+    spec = AnalysisSpec("y", "compare", group="o_orderstatus", keys=("o_orderpriority",)).validated()
+    return tidy(Comparison(orders, spec).post_hoc(), 5, mean_diff=4)
+
+
 # --- files ---
 
 TOKENS = ", ".join("'" + t + "'" for t in NA_TOKENS)

@@ -164,6 +164,17 @@ p AS (SELECT w.*, CASE WHEN inside <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1
 SELECT {cols.replace("round(NULL::DOUBLE,6) AS effect_size, ", "")} FROM p"""
 
 
+def studentized_range(source: str) -> str:
+    """`tail` (q, p): P(Q > q) for the distinct (q, k, v) of `source`, by Simpson's rule over z in [-8, 8] and over the
+    scale within ten standard deviations of 1."""
+    simpson = lambda i, last: f"(CASE WHEN {i} IN (0, {last}) THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"""z AS (SELECT i*0.05 - 8 AS z, {simpson("i", 320)}*0.05/3 AS w FROM range(0, 321) r(i)),
+sc AS (SELECT q, k, v, greatest(1e-8, 1 - 10/sqrt(2*v)) AS lo, 1 + 10/sqrt(2*v) + 2/v AS hi, unnest(range(0, 61)) AS j FROM (SELECT DISTINCT q, k, v FROM {source})),
+s AS (SELECT *, lo + (hi-lo)*j/60 AS s, {simpson("j", 60)}*(hi-lo)/180 AS ws FROM sc),
+inn AS (SELECT q, s, ws, v, k*sum(w*exp(-0.5*z*z)/sqrt(2*pi())*pow(greatest({phi("z")} - {phi("(z-q*s)")}, 0.0), k-1)) AS inside FROM s, z GROUP BY q, s, ws, v, k),
+tail AS (SELECT q, greatest(0.0, least(1.0, 1 - sum(ws*inside*exp(0.5*v*ln(v) - lgamma(v/2) - (v/2-1)*ln(2.0) + (v-1)*ln(s) - 0.5*v*s*s)))) AS p FROM inn GROUP BY q)"""
+
+
 def kruskal_sql(source: str, y: str, g: str, half: int, keys: str = "", extra: str = "") -> str:
     k = f"{keys}, " if keys else ""
     by = f"GROUP BY {keys}" if keys else ""
@@ -459,10 +470,11 @@ SELECT {test_columns("Wilcoxon Signed-Rank Test", "t", "", "", "r (Z/sqrt(N))",
     "kruskal_quantity": kruskal_sql("lineitem", "l_quantity", "l_returnflag", 1),
     "anova_events": anova_sql("events", "value", "event_type", f_p_4),
     "anova_by_segment": anova_sql("orders", "o_totalprice", "o_orderstatus", f_p_2, "o_orderpriority"),
-    "tukey_events": """WITH g AS (SELECT event_type AS l, count(*) AS n, avg(value) AS m, var_samp(value)*(count(*)-1) AS ss FROM events GROUP BY 1),
-e AS (SELECT sum(ss)/(sum(n)-count(*)) AS mse FROM g)
-SELECT a.l AS group1, b.l AS group2, round(a.m-b.m,5) AS mean_diff, round(abs(a.m-b.m)/sqrt(mse/2*(1.0/a.n+1.0/b.n)),5) AS statistic,
- abs(a.m-b.m)/sqrt(mse/2*(1.0/a.n+1.0/b.n)) > 3.858 AS is_significant FROM g a JOIN g b ON a.l < b.l, e""",
+    "tukey_events": f"""WITH g AS (SELECT event_type AS l, count(*) AS n, avg(value) AS m, var_samp(value)*(count(*)-1) AS ss FROM events GROUP BY 1),
+e AS (SELECT sum(ss)/(sum(n)-count(*)) AS mse, CAST(count(*) AS DOUBLE) AS k, CAST(sum(n)-count(*) AS DOUBLE) AS v FROM g),
+q AS (SELECT a.l AS group1, b.l AS group2, a.m-b.m AS d, abs(a.m-b.m)/sqrt(mse/2*(1.0/a.n+1.0/b.n)) AS q, k, v FROM g a JOIN g b ON a.l < b.l, e),
+{studentized_range("q")}
+SELECT group1, group2, round(d,5) AS mean_diff, round(q,5) AS statistic, round(p,5) AS p_corrected, p < 0.05 AS is_significant FROM q JOIN tail USING (q)""",
     "pairwise_mann_whitney": f"""WITH k AS (SELECT DISTINCT event_type AS l FROM events),
 pr AS (SELECT a.l AS group1, b.l AS group2 FROM k a JOIN k b ON a.l < b.l),
 src AS (SELECT group1, group2, event_type, value FROM pr JOIN events ON event_type = group1 OR event_type = group2),

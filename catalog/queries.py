@@ -306,7 +306,7 @@ def anova_by_segment(spark, folder):
 
 def tukey_events(spark, folder):
     t = compare.tukey_hsd(group_moments(table(spark, folder, "events"), "value", "event_type"), "event_type")
-    return tidy(t.drop("p_corrected"), 5)
+    return tidy(t, 5)
 
 
 def pairwise_mann_whitney(spark, folder):
