@@ -30,6 +30,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -40,12 +41,13 @@ from autostat.llm.text import whole
 from autostat.llm.tokens import pieces
 
 LARGEST_FILE = 64 << 20
-#: Encodings of words of at most CACHED_BYTES bytes are kept, at most CACHED_WORDS at once in a Python worker.
-CACHED_BYTES, CACHED_WORDS = 48, 1 << 18
+#: Encodings of words of at most CACHED_BYTES bytes are kept in a Python worker, the CACHED_WORDS last asked for and at
+#: most as many older ones.
+CACHED_BYTES, CACHED_WORDS = 48, 1 << 19
 #: Kept at once: last tokens of prefixes of so many bytes, and decided pairs of tokens.
 PREFIX_BYTES, PREFIXES, PAIRS = 12, 1 << 18, 1 << 18
 #: Bytes of a word read, and tokens decoded, at a time.
-STEP, PIECE = 1 << 9, 1 << 14
+STEP, PIECE = 1 << 9, 1 << 16
 #: How byte-level tokenizers cut a text into words; letters and numbers are put in below.
 AFTER_WORD = regex.compile(r"(?<=\S)\s")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
@@ -76,6 +78,15 @@ class Vocabulary:
     def read(self, spec: dict, vocab: dict[str, int]) -> None:
         """What else is needed of the file."""
 
+    @functools.cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens one after the other, and where each token's begin and how many they are."""
+        sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        for i, b in self.bytes.items():
+            sizes[i] = len(b)
+        flat = b"".join(self.bytes[i] for i in sorted(self.bytes))
+        return np.frombuffer(flat, np.uint8), np.cumsum(sizes) - sizes, sizes
+
 
 class Merges(Vocabulary):
     """A vocabulary with its merge list."""
@@ -246,20 +257,27 @@ def word_patterns(other: dict[int, str]) -> tuple[regex.Pattern, regex.Pattern]:
 
 
 class Words(dict):
-    """Encodings of words by word, made when first asked for."""
+    """Encodings of words by word, made when first asked for. A full table becomes the older one; words found there
+    come back, so frequent words are never made again."""
 
     def __init__(self, merges: Merges) -> None:
         super().__init__()
         self.merges = merges
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        transducer, data = Transducer(self.merges), word.encode()
-        ids = transducer.feed(data) + transducer.finish()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = packed
+        packed = self.older.get(word)
+        if packed is None:
+            transducer, data = Transducer(self.merges), word.encode()
+            ids = transducer.feed(data) + transducer.finish()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(data) > CACHED_BYTES:
+                return packed
+        if len(self) >= CACHED_WORDS:
+            self.older = {}
+            self.older = dict(self)
+            self.clear()
+        self[word] = packed
         return packed
 
 
@@ -295,13 +313,32 @@ class Encoder:
         return b"".join([*out, *self.ordinary(text[at:])])
 
 
-def decode(vocabulary: Vocabulary, ids: bytes) -> str:
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    out = []
-    for at in range(0, len(ids), 4 * PIECE):
-        piece = ids[at : at + 4 * PIECE]
-        out.append(machine.decode(b"".join(map(vocabulary.bytes.__getitem__, struct.unpack(f"<{len(piece) // 4}I", piece)))))
-    return "".join([*out, machine.decode(b"", final=True)])
+def decode_all(vocabulary: Vocabulary, texts: list[bytes]) -> list[str]:
+    """The texts of packed ids, PIECE tokens at a time whichever texts they belong to. A text that ends in another piece
+    goes through an incremental decoder."""
+    ids = np.frombuffer(b"".join(texts), "<u4")
+    ends = np.cumsum([len(x) // 4 for x in texts], dtype=np.int64)
+    flat, starts, sizes = vocabulary.table
+    out, parts, machine, text = [], [], None, 0
+    for a in range(0, len(ids), PIECE):
+        piece = ids[a : a + PIECE]
+        size = sizes[piece]
+        upto = np.cumsum(size)
+        total = int(upto[-1])
+        data = flat[np.repeat(starts[piece] - (upto - size), size) + np.arange(total)].tobytes()
+        begin = 0
+        while text < len(ends) and ends[text] <= a + len(piece):
+            end = int(upto[ends[text] - a - 1]) if ends[text] > a else 0
+            if machine is None:
+                out.append(data[begin:end].decode("utf-8", "replace"))
+            else:
+                out.append("".join([*parts, machine.decode(data[begin:end], final=True)]))
+                parts, machine = [], None
+            begin, text = end, text + 1
+        if begin < total:
+            machine = machine or codecs.getincrementaldecoder("utf-8")("replace")
+            parts.append(machine.decode(data[begin:]))
+    return out + [""] * (len(ends) - len(out))
 
 
 _loaded: dict[type, tuple[bytes, object]] = {}
@@ -344,7 +381,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         encoder = loaded(Encoder, data.value, other)
         for piece in pieces(batches, "text"):
             ids = [encoder.encode(t.as_py()) for t in piece.column("text")]
-            texts = pa.array([decode(encoder.merges, x) for x in ids], pa.string())
+            texts = pa.array(decode_all(encoder.merges, ids), pa.string())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.binary()), texts], ["doc_id", "ids", "text"])
 
     work = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
@@ -358,7 +395,7 @@ def decoded(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = loaded(Vocabulary, data.value)
         for batch in batches:
-            yield batch.assign(text=[decode(vocabulary, bytes(x)) for x in batch["ids"]])
+            yield batch.assign(text=decode_all(vocabulary, [bytes(x) for x in batch["ids"]]))
 
     work = tokens.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
     return work.mapInPandas(rows, f"doc_id {work.schema['doc_id'].dataType.simpleString()}, ids binary, text string")

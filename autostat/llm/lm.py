@@ -5,9 +5,10 @@ pairs (n-gram, 1) .. (n-gram, q), and its level is read back by probing 1, 2, ..
 come out too low, and too high only by a false positive or where two pairs of a shard share a 32-bit hash.
 
 Training. All words and all pairs of neighbours are counted and kept, at every size. They are dealt by hash to shards,
-one for `CAPACITY` bytes of training text; a piece of text sends each shard its distinct words and pairs with their
-counts. A shard keeps its words with exact counts and enters its pairs in a filter of `BITS` bits an entry. There are more shards
-for more text, not larger ones, and none is collected or broadcast.
+one for `CAPACITY` bytes of training text (up to `LARGEST`, where there would be more than `SHARDS`); a piece of text
+sends each shard its distinct words and pairs with their counts, as differences in order. A shard keeps its words with
+exact counts and enters its pairs in a filter of `BITS` bits an entry. No shard is collected or broadcast: a filter of
+all pairs grows with the corpus.
 
 Scoring. P(w | u) = (c(uw) + K P(w)) / (c(u) + K) with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). Texts are stored in
 pieces as hashed words; a piece sends each shard its distinct words and pairs, the shard answers them with its one filter in memory, and
@@ -32,8 +33,8 @@ from autostat.llm.text import whole
 from autostat.llm.tokens import followed, mixed, pieces, word_hashes
 from autostat.sources.checkpoints import cut_lineage
 
-#: Bytes of training text for one shard.
-CAPACITY = 1 << 21
+#: Bytes of training text for one shard: as many as give this number of shards, between two bounds.
+SHARDS, CAPACITY, LARGEST = 1 << 12, 1 << 24, 1 << 27
 #: Bits of a filter for each entered (pair, level).
 BITS, PROBES = 16, 5
 #: Counted keys of a shard that wait to be added up.
@@ -130,13 +131,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
-def dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that puts keys of one shard together, the shards, and where each begins (and the last ends)."""
-    shard = (mixed(keys) >> np.uint64(32)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
+def dealt(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts keys of one shard together, ascending as the shard knows them; these keys; the shards, and
+    where each begins (and the last ends)."""
+    shard, known = (mixed(keys) >> np.uint64(32)) % np.uint64(shards), sent(kind, keys)
+    order = np.lexsort((known, shard))
     shard = shard[order]
     starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return order, shard[starts].astype(np.int32), np.r_[starts, len(keys)]
+    return order, known[order], shard[starts].astype(np.int32), np.r_[starts, len(keys)]
 
 
 def sent(kind: int, keys: np.ndarray) -> np.ndarray:
@@ -144,6 +146,29 @@ def sent(kind: int, keys: np.ndarray) -> np.ndarray:
     return keys if kind == WORD else mixed(keys).astype(np.uint32)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, and so on: the upper bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
+def ascending(keys: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values: the differences of each stretch of ascending keys, in planes."""
+    steps = np.diff(keys, prepend=keys[:1])
+    steps[bounds[:-1]] = keys[bounds[:-1]]
+    return pa.array([planes(steps[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+
+
+def keys_of(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all values one after the other, and the bounds of each value's."""
+    parts = [np.cumsum(from_planes(x.as_py(), kind), dtype=kind) for x in column]
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
 def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Binary values: the bytes of each stretch of numbers."""
     offsets = ((bounds - bounds[0]) * values.itemsize).astype(np.int32)
@@ -151,14 +176,6 @@ def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all binary values one after the other, and the bounds of each value's."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    size = np.dtype(kind).itemsize
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), kind), (offsets - offsets[0]) // size
-
-
 def stretches(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     """Where runs of rows that agree in all columns begin and end."""
     if len(columns[0]):
@@ -179,10 +196,12 @@ def counted(texts: DataFrame, shards: int) -> DataFrame:
             tok, bounds = tokens(batch.column("text"))
             for kind, all_ in ((WORD, tok), (PAIR, pair_keys(tok, bounds)[0])):
                 keys, n = np.unique(all_, return_counts=True)
-                order, shard, cuts = dealt(keys, shards)
+                order, known, shard, cuts = dealt(kind, keys, shards)
+                times = n[order].astype(np.uint32)
+                counts = [planes(times[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(np.full(len(shard), kind, np.int8)), packed(sent(kind, keys[order]), cuts),
-                     packed(n[order].astype(np.uint32), cuts)], ["shard", "kind", "keys", "n"],
+                    [pa.array(shard), pa.array(np.full(len(shard), kind, np.int8)), ascending(known, cuts), pa.array(counts, pa.binary())],
+                    ["shard", "kind", "keys", "n"],
                 )
 
     return texts.mapInArrow(rows, "shard int, kind byte, keys binary, n binary")
@@ -213,7 +232,7 @@ def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield row()
                 waiting = ([], [])
             shard, kind, part = int(shards[a]), kinds[a], batch.slice(a, b - a)
-            keys, n = unpacked(part["keys"], SENT[kind])[0], unpacked(part["n"], np.uint32)[0]
+            keys, n = keys_of(part["keys"], SENT[kind])[0], np.concatenate([from_planes(x.as_py(), np.uint32) for x in part["n"]])
             waiting[kind].append((keys.astype(np.uint64), n.astype(np.int64)))
             if len(waiting[kind]) > 1 and sum(len(k) for k, _ in waiting[kind][1:]) > WAITING:
                 waiting[kind][:] = [merged(kind)]
@@ -231,11 +250,11 @@ class Model:
     n_words: int
 
 
-def train(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -> Model:
+def train(docs: DataFrame, text: str = "text", capacity: int | None = None) -> Model:
     """Count all texts of `docs` and build the filters, one for `capacity` bytes of text."""
     texts = docs.select(whole(text).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 1), F.lit(0))).first()[0]
-    n_shards = max(1, -(-size // capacity))
+    n_shards = max(1, -(-size // (capacity or min(max(CAPACITY, size // SHARDS), LARGEST))))
     shards = cut_lineage(by_shard(counted(texts, n_shards), "kind").mapInArrow(built, SHARD))
     n_words, n_tokens = shards.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens")]).first()
     return Model(shards, n_shards, n_tokens, n_words)
@@ -277,10 +296,10 @@ def asked(stored: DataFrame, shards: int) -> DataFrame:
                 bounds, words, codes = parts_of(batch, i)
                 pairs = np.unique(pair_keys(words[codes], bounds)[0])
                 for kind, keys in ((WORD, words), (PAIR, pairs)):
-                    order, shard, cuts = dealt(keys, shards)
+                    _, known, shard, cuts = dealt(kind, keys, shards)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(shard), pa.array(np.full(len(shard), kind, np.int8)),
-                         pa.array(np.full(len(shard), batch["piece"][i].as_py(), np.int64)), packed(sent(kind, keys[order]), cuts)],
+                         pa.array(np.full(len(shard), batch["piece"][i].as_py(), np.int64)), ascending(known, cuts)],
                         ["shard", "kind", "piece", "keys"],
                     )
 
@@ -299,7 +318,7 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, counts = (np.frombuffer(part[c][0].as_py(), k) for c, k in (("words", np.uint64), ("counts", np.int64)))
                 table = CountFilter(np.frombuffer(part["cells"][0].as_py(), np.uint8), part["levels"][0].as_py())
                 continue
-            keys, bounds = unpacked(part["keys"], SENT[kinds[a]])
+            keys, bounds = keys_of(part["keys"], SENT[kinds[a]])
             keys = keys.astype(np.uint64)
             if shards[a] != shard:  # nothing was trained there
                 values = np.zeros(len(keys), np.int64 if kinds[a] == WORD else np.uint8)
@@ -326,7 +345,7 @@ def scored(model: Model, docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         def told(kind: int, keys: np.ndarray, dtype) -> np.ndarray:
             values = np.empty(len(keys), dtype)
             found = b"".join(x.as_py() for x in answers["found"].filter(pa.array(kinds == kind)))
-            values[dealt(keys, shards)[0]] = np.frombuffer(found, dtype)
+            values[dealt(kind, keys, shards)[0]] = np.frombuffer(found, dtype)
             return values
 
         count = told(WORD, words, np.int64)[codes]

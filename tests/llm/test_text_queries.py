@@ -309,3 +309,27 @@ def test_pipeline(spark, texts):
         assert not any(k == 0 for _, k, _ in base_spans(r.text)), r.doc_id
         if not base_spans(texts[r.doc_id]) and "<" not in r.text:
             assert r.text == texts[r.doc_id]
+
+
+def test_decoding_in_pieces(monkeypatch):
+    """Texts that begin and end anywhere in a piece, characters cut by it, and empty texts."""
+    with open(TOKENIZER, "rb") as f:
+        data = f.read()
+    encoder = bpe.Encoder(data, bpe.disputed())
+    texts = ["", "é中\U0001f600" * 9, "", "plain words here", "x", "", "\U0001f680\U0001f680 end", ""]
+    ids = [encoder.encode(t) for t in texts]
+    broken = encoder.encode("中")[:4]  # a token that holds a part of a character
+    for piece in (1, 2, 3, 7, 1 << 16):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        assert bpe.decode_all(encoder.merges, ids) == texts
+        cut = bpe.decode_all(encoder.merges, [broken, *ids])
+        assert cut[1:] == texts and cut[0] == Tokenizer.from_file(TOKENIZER).decode([int.from_bytes(broken, "little")])
+    assert bpe.decode_all(encoder.merges, []) == [] and bpe.decode_all(encoder.merges, [b""]) == [""]
+
+
+def test_words_stay_known(monkeypatch):
+    with open(TOKENIZER, "rb") as f:
+        words_ = bpe.Words(bpe.Merges(f.read()))
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    first = [words_[w] for w in "abcdefgh"]
+    assert [words_[w] for w in "hgfedcba"] == first[::-1] and len(words_) <= 3 and len(words_.older) <= 3
