@@ -159,6 +159,11 @@ class Transducer:
     def finish(self) -> list[int]:
         return self._emit(len(self.buffer))
 
+    def short(self, data: bytes) -> list[int]:
+        """The tokens of a whole word of a few bytes: read at once, and emitted when it ends."""
+        self._read(data)
+        return self._upto(len(data))
+
     def _read(self, data: bytes) -> None:
         merges, last = self.merges, self.last
         pairs, prefixes, root = merges.pairs, merges.prefixes, merges.backwards
@@ -204,13 +209,17 @@ class Transducer:
         """Tokens up to a position, which are dropped. The last of them stays as the neighbour of what follows."""
         if not upto:
             return []
-        out, at = [], upto
-        while at:
-            token, at = self.last[at]
-            out.append(token)
-        neighbour = self.last[upto][0]
+        out, neighbour = self._upto(upto), self.last[upto][0]
         del self.buffer[:upto]
         self.last = [(neighbour, 0), *((token, start - upto) for token, start in self.last[upto + 1 :])]
+        return out
+
+    def _upto(self, at: int) -> list[int]:
+        """The tokens of the buffer up to a position."""
+        out, last = [], self.last
+        while at:
+            token, at = last[at]
+            out.append(token)
         return out[::-1]
 
 
@@ -269,10 +278,11 @@ class Words(dict):
         packed = self.older.get(word)
         if packed is None:
             transducer, data = Transducer(self.merges), word.encode()
-            ids = transducer.feed(data) + transducer.finish()
-            packed = struct.pack(f"<{len(ids)}I", *ids)
             if len(data) > CACHED_BYTES:
-                return packed
+                ids = transducer.feed(data) + transducer.finish()
+                return struct.pack(f"<{len(ids)}I", *ids)
+            ids = transducer.short(data)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHED_WORDS:
             self.older = {}
             self.older = dict(self)

@@ -169,13 +169,6 @@ def keys_of(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
-def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Binary values: the bytes of each stretch of numbers."""
-    offsets = ((bounds - bounds[0]) * values.itemsize).astype(np.int32)
-    data = values[bounds[0] : bounds[-1]].tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
 def stretches(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     """Where runs of rows that agree in all columns begin and end."""
     if len(columns[0]):
@@ -307,7 +300,7 @@ def asked(stored: DataFrame, shards: int) -> DataFrame:
 
 
 def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and levels of pairs, packed like the keys; a shard's own row (kind -1) comes before its questions."""
+    """Counts of words and levels of pairs, in the order of the keys; a shard's own row (kind -1) comes before its questions."""
     shard = None
     for batch in batches:
         shards, kinds = (batch.column(c).to_numpy() for c in ("shard", "kind"))
@@ -328,7 +321,8 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values[there] = counts[at[there]]
             else:
                 values = table.level(keys)
-            yield pa.RecordBatch.from_arrays([part["piece"], part["shard"], part["kind"], packed(values, bounds)], ["piece", "shard", "kind", "found"])
+            found = pa.array([planes(values[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["piece"], part["shard"], part["kind"], found], ["piece", "shard", "kind", "found"])
 
 
 def scored(model: Model, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,8 +338,8 @@ def scored(model: Model, docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
         def told(kind: int, keys: np.ndarray, dtype) -> np.ndarray:
             values = np.empty(len(keys), dtype)
-            found = b"".join(x.as_py() for x in answers["found"].filter(pa.array(kinds == kind)))
-            values[dealt(kind, keys, shards)[0]] = np.frombuffer(found, dtype)
+            found = [from_planes(x.as_py(), dtype) for x in answers["found"].filter(pa.array(kinds == kind))]
+            values[dealt(kind, keys, shards)[0]] = np.concatenate([np.empty(0, dtype), *found])
             return values
 
         count = told(WORD, words, np.int64)[codes]

@@ -20,6 +20,7 @@ kept; candidates that overlap a base span are dropped; no rows, no result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,21 +82,22 @@ CANDIDATE = (
 )
 
 
-def running(sizes: Column, block: int = 256) -> Column:
-    """Sums of all earlier elements; blocks keep the work near linear."""
-    empty = F.array().cast("array<bigint>")
+def running(values: Column, join: Callable[[Column, Column], Column], start: int, block: int = 256) -> Column:
+    """All earlier elements joined by an associative `join`; blocks keep the work near linear."""
+    empty, first = F.array().cast("array<bigint>"), F.lit(start).cast("long")
 
-    def sums(values: Column, start: Column) -> Column:
-        first = F.struct(start.cast("long").alias("s"), empty.alias("a"))
-        step = lambda t, x: F.struct((t["s"] + x).cast("long").alias("s"), F.array_append(t["a"], t["s"]).alias("a"))
-        return F.aggregate(values, first, step, lambda t: t["a"])
+    def joined(part: Column, begin: Column) -> Column:
+        state = F.struct(begin.cast("long").alias("s"), empty.alias("a"))
+        step = lambda t, x: F.struct(join(t["s"], x).cast("long").alias("s"), F.array_append(t["a"], t["s"]).alias("a"))
+        return F.aggregate(part, state, step, lambda t: t["a"])
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")),
-                        lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
+                        lambda b: F.slice(values, b * block + 1, F.lit(block)))
     spread = lambda ps: let(
-        sums(F.transform(ps, lambda p: total(p)), F.lit(0)), lambda starts: F.flatten(F.transform(ps, lambda p, i: sums(p, F.get(starts, i))))
+        joined(F.transform(ps, lambda p: F.aggregate(p, first, lambda x, y: join(x, y))), first),
+        lambda starts: F.flatten(F.transform(ps, lambda p, i: joined(p, F.get(starts, i)))),
     )
-    return F.when(F.size(sizes) == 0, empty).otherwise(let(parts, spread))
+    return F.when(F.size(values) == 0, empty).otherwise(let(parts, spread))
 
 
 def digits_of(text: Column) -> Column:
@@ -189,7 +191,7 @@ def found(text: Column, source: Source) -> Column:
         return F.transform(ms, at)
 
     def steps(ms: Column, ps: Column, size) -> Column:
-        return running(F.transform(ms, lambda m, i: (size(m) + size(F.get(ps, i))).cast("long")))
+        return running(F.transform(ms, lambda m, i: (size(m) + size(F.get(ps, i))).cast("long")), lambda x, y: x + y, 0)
 
     body = let(F.regexp_extract_all(text, F.lit(source.pattern), F.lit(0)), lambda ms: let(
         F.split(text, source.pattern, -1), lambda ps: let(steps(ms, ps, F.length), lambda starts: let(
@@ -200,9 +202,15 @@ def found(text: Column, source: Source) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", name: str = "candidates") -> DataFrame:
-    """`docs` with a column of all candidates of each text, by start and kind."""
+    """`docs` with a column of all candidates of each text, by start and kind; one for each kind, start and end."""
     body = whole(text)
-    return docs.withColumn(name, F.sort_array(F.concat(*[found(body, s) for s in SOURCES])))
+
+    def once(c: Column) -> Column:
+        # Of equal spans that several patterns find, the last in order: a base span, if one of them is.
+        same = lambda x, y: (x["start"] == y["start"]) & (x["rank"] == y["rank"]) & (x["end"] == y["end"])
+        return F.filter(c, lambda x, i: ~F.coalesce(same(x, F.get(c, i + 1)), F.lit(False)))
+
+    return docs.withColumn(name, let(F.sort_array(F.concat(*[found(body, s) for s in SOURCES])), once))
 
 
 @dataclass
@@ -277,13 +285,24 @@ def trained(found_: DataFrame, name: str = "candidates") -> Classifier:
 
 
 def spans(c: Column, model: Classifier) -> Column:
-    """The candidates that are kept, by start and kind: base spans, and accepted ones that overlap none of them."""
-
-    def kept(base: Column) -> Column:
-        clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.filter(c, lambda x: x["base"] | (model.accepts(x) & clear(x)))
-
-    return let(F.filter(c, lambda x: x["base"]), kept)
+    """The candidates that are kept, by start and kind: base spans, and accepted ones that overlap none of them and lie
+    in no other that starts earlier. Linear in the candidates: those before a candidate matter by their largest end, those
+    after it by their smallest start."""
+    zero, far = F.lit(0).cast("long"), 2**62
+    last_end = lambda of: running(F.transform(c, lambda x: F.when(of(x), x["end"]).otherwise(zero)), F.greatest, 0)
+    starts = F.reverse(F.transform(c, lambda x: F.when(x["base"], x["start"]).otherwise(F.lit(far))))
+
+    def accepted(before: Column, after: Column) -> Column:
+        clear = lambda x, i: (F.get(before, i) <= x["start"]) & (F.get(after, i) >= x["end"])
+        return F.filter(c, lambda x, i: x["base"] | (model.accepts(x) & clear(x, i)))
+
+    def outer(kept: Column) -> Column:
+        ends = running(F.transform(kept, lambda x: x["end"]), F.greatest, 0)
+        return let(ends, lambda e: F.filter(kept, lambda x, i: x["base"] | (F.get(e, i) < x["end"])))
+
+    inside = let(last_end(lambda x: x["base"]), lambda before: let(
+        F.reverse(running(starts, F.least, far)), lambda after: let(accepted(before, after), outer)))
+    return F.when(F.size(c) == 0, c).otherwise(inside)
 
 
 def tagged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

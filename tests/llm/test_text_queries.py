@@ -333,3 +333,33 @@ def test_words_stay_known(monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
     first = [words_[w] for w in "abcdefgh"]
     assert [words_[w] for w in "hgfedcba"] == first[::-1] and len(words_) <= 3 and len(words_.older) <= 3
+
+
+def test_spans_once(spark):
+    """A span that two patterns find is one candidate, and no kept span lies in another that starts before it."""
+    t = "pay 4111 1111 1111 1112 or 4111 1111 1111 1111, call +1 415 555 0132 or 415 555 0132; key sk-abcdefghij1234567890abcd12"
+    docs = spark.createDataFrame([(i, t) for i in range(40)] + [(99, None), (98, "")], "doc_id int, text string")
+    for r in pii.candidates(docs).collect():
+        found = [(c["kind"], c["start"], c["end"]) for c in r["candidates"]]
+        assert len(found) == len(set(found))
+    rows = {r["doc_id"]: r["spans"] for r in pii.tagged(docs).collect()}
+    assert rows[98] == rows[99] == [] and rows[0]
+    for a in rows[0]:
+        assert a["base"] or not any(b["start"] <= a["start"] and a["end"] <= b["end"] for b in rows[0] if b != a)
+        assert a["base"] or not any(b["base"] and b["start"] < a["end"] and a["start"] < b["end"] for b in rows[0])
+    assert pii.tagged(docs.where("false")).collect() == []
+
+
+def test_spans_grow_linearly(spark):
+    """Twice the e-mails and failed addresses of one text take about twice the time, not four times."""
+    import time
+
+    model, seconds = pii.Classifier({"ip|kind|": 1.0}), []
+    for n in (2000, 8000):
+        text = " ".join(f"a{i}@b.cc 1.2.3.{300 + i % 9}" for i in range(n))
+        found = pii.candidates(spark.createDataFrame([(text,)], "text string")).select("candidates").cache()
+        assert found.select(F.size("candidates")).first()[0] > 2 * n
+        start = time.perf_counter()
+        assert found.select(F.size(pii.spans(F.col("candidates"), model))).first()[0] == 2 * n
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 8 * max(seconds[0], 1.0), seconds
