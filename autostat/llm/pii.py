@@ -334,12 +334,12 @@ def cut_out(text: Column, kept: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with personal data cut out of the text. Candidates are found once for training and once for cutting, so
-    that texts are neither stored nor shuffled."""
-    model = trained(cut_lineage(candidates(docs.select(F.col(text).alias("text"))).select("candidates")))
+    """`docs` with personal data cut out of the text. Texts are stored once beside their candidates, which serve for
+    training and for cutting; nothing is shuffled."""
     name = "_candidates"
     while name in docs.columns:
         name = f"_{name}"
-    marked = candidates(docs, text, name)
+    marked = cut_lineage(candidates(docs, text, name))
+    model = trained(marked, name)
     kept = let(spans(F.col(name), model), lambda s: cut_out(F.col(text), s))
     return marked.withColumn(text, F.when(F.size(name) == 0, F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -132,5 +132,9 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def passing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that break no rule."""
-    return judged(docs, doc_id, text).where("kept").select("row.*")
+    """The rows of `docs` that break no rule.
+
+    The verdict passes through a generator of one row: a filter on it would be moved below the projections, and every
+    measure worked out again wherever a rule names it."""
+    verdict = F.inline(F.array(F.struct(F.col("kept").alias("_kept"))))
+    return judged(docs, doc_id, text).select("row", verdict).where("_kept").select("row.*")

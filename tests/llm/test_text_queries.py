@@ -363,3 +363,23 @@ def test_spans_grow_linearly(spark):
         assert found.select(F.size(pii.spans(F.col("candidates"), model))).first()[0] == 2 * n
         seconds.append(time.perf_counter() - start)
     assert seconds[1] < 8 * max(seconds[0], 1.0), seconds
+
+
+def test_passing_measures_once(spark, odd_docs):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(quality.passing(odd_docs)).count("split(") == plan(quality.judged(odd_docs)).count("split(") == 2
+    kept = quality.judged(odd_docs).where("kept").select("row.*").collect()
+    assert sorted(map(repr, quality.passing(odd_docs).collect())) == sorted(map(repr, kept))
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Every stage takes null, empty and repeated rows, and no rows at all."""
+    import corpus_pipeline
+
+    documents = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.select(documents).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in odd_docs.collect()} and (name == "odd" or not rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs.select(documents), "").columns == documents
