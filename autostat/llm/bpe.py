@@ -43,11 +43,11 @@ from autostat.llm.tokens import pieces
 LARGEST_FILE = 64 << 20
 #: Encodings of words of at most CACHED_BYTES bytes are kept in a Python worker, the CACHED_WORDS last asked for and at
 #: most as many older ones.
-CACHED_BYTES, CACHED_WORDS = 48, 1 << 19
+CACHED_BYTES, CACHED_WORDS = 48, 3 << 17
 #: Kept at once: last tokens of prefixes of so many bytes, and decided pairs of tokens.
 PREFIX_BYTES, PREFIXES, PAIRS = 12, 1 << 18, 1 << 18
-#: Bytes of a word read, and tokens decoded, at a time.
-STEP, PIECE = 1 << 9, 1 << 16
+#: Bytes of a word read, characters cut into words, and tokens decoded, at a time.
+STEP, CUT, PIECE = 1 << 9, 1 << 14, 1 << 16
 #: How byte-level tokenizers cut a text into words; letters and numbers are put in below.
 AFTER_WORD = regex.compile(r"(?<=\S)\s")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
@@ -305,7 +305,7 @@ class Encoder:
         """Piece by piece; a space after something else always begins a word, so a piece may end before it."""
         at = 0
         while at < len(text):
-            cut = AFTER_WORD.search(text, at + PIECE)
+            cut = AFTER_WORD.search(text, at + CUT)
             piece = text[at : cut.start() if cut else len(text)]
             at += len(piece)
             try:
