@@ -45,7 +45,7 @@ LARGEST_FILE = 64 << 20
 #: most as many older ones.
 CACHED_BYTES, CACHED_WORDS = 48, 3 << 17
 #: Kept at once: last tokens of prefixes of so many bytes, and decided pairs of tokens.
-PREFIX_BYTES, PREFIXES, PAIRS = 12, 1 << 18, 1 << 18
+PREFIX_BYTES, PREFIXES, PAIRS = 12, 1 << 18, 1 << 19
 #: Bytes of a word read, characters cut into words, and tokens decoded, at a time.
 STEP, CUT, PIECE = 1 << 9, 1 << 14, 1 << 16
 #: How byte-level tokenizers cut a text into words; letters and numbers are put in below.
