@@ -26,6 +26,7 @@ import codecs
 import functools
 import itertools
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -253,16 +254,23 @@ def ranges(codes: Iterable[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
 
 
-def word_patterns(other: dict[int, str]) -> tuple[regex.Pattern, regex.Pattern]:
+def latin_pattern() -> re.Pattern:
+    """WORD_PATTERN for texts in Latin-1, with its classes written out: the standard library matches these faster."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c)))
+    letters, numbers, space = (of(kind) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    classes = WORD_PATTERN.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+    return re.compile(classes.replace("{L}", f"[{letters}]").replace("{N}", f"[{numbers}]").replace("{l}{n}", letters + numbers))
+
+
+def word_patterns(other: dict[int, str]) -> tuple[re.Pattern, regex.Pattern]:
     """For texts in Latin-1, and for all."""
-    simple = WORD_PATTERN.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}")
     names = {}
     for kind in "LN":
         out, into = (ranges(c for c, k in other.items() if (k == kind) == inside) for inside in (False, True))
         names[kind] = rf"[\p{{{kind}}}{f'--[{out}]' if out else ''}]"
         names[kind] = f"[{names[kind]}||[{into}]]" if into else names[kind]
     full = r"(?V1)" + WORD_PATTERN.replace(r"[^\s{l}{n}]", r"[[^\s]--{L}--{N}]").format(**names)
-    return regex.compile(simple), regex.compile(full)
+    return latin_pattern(), regex.compile(full)
 
 
 class Words(dict):

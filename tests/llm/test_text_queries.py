@@ -383,3 +383,14 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
         assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in odd_docs.collect()} and (name == "odd" or not rows)
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs.select(documents), "").columns == documents
+
+
+def test_words_of_latin_texts():
+    """The written-out classes cut every mixture of Latin-1 characters like the pattern for all texts."""
+    import random
+
+    latin, every = bpe.word_patterns(bpe.disputed())
+    rng, odd = random.Random(3), [*map(chr, (9, 10, 0x1C, 0x1F, 0x20, 0x20, 0x27, 0x2D, 0x30, 0x41, 0x73, 0x74, 0x85, 0xA0, 0xB2, 0xE9))]
+    for _ in range(20_000):
+        text = "".join(rng.choice(odd) if rng.random() < 0.8 else chr(rng.randrange(256)) for _ in range(9))
+        assert latin.findall(text) == every.findall(text)
