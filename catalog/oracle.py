@@ -240,8 +240,8 @@ FROM (SELECT {k}position, sum(c)::DOUBLE AS t FROM cell GROUP BY {k}position, {o
     return f"""WITH cell AS (SELECT {k}position, variable, a, b, count(*)::DOUBLE AS c FROM ({rows}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
 s AS (SELECT {k}position, sum(p.c*q.c*sign(p.a-q.a)*sign(p.b-q.b))/2 AS s FROM cell p JOIN cell q {using} GROUP BY {k}position),
 n AS (SELECT {k}position, variable, sum(c) AS n FROM cell GROUP BY {k}position, variable), {tied("a", "x")}, {tied("b", "y")},
-m AS (SELECT *, s/(sqrt((n*(n-1)-x2)*(n*(n-1)-y2))/2) AS r,
-  s/sqrt((n*(n-1)*(2*n+5)-xv-yv)/18 + x2*y2/(2*n*(n-1)) + x3*y3/(9*n*(n-1)*(n-2))) AS z
+m AS (SELECT *, coalesce(s/nullif(sqrt((n*(n-1)-x2)*(n*(n-1)-y2))/2, 0), 0.0) AS r,
+  CASE WHEN s = 0 THEN 0.0 ELSE s/sqrt((n*(n-1)*(2*n+5)-xv-yv)/18 + x2*y2/(2*n*(n-1)) + x3*y3/(9*n*(n-1)*(n-2))) END AS z
   FROM n JOIN s {using} JOIN x {using} JOIN y {using}),
 p AS (SELECT *, 2*(1 - {phi("abs(z)")}) AS p, round(abs(r),12) AS s_ FROM m)
 SELECT {k}CAST(position AS BIGINT) AS position, variable, 'Kendall Rank Correlation' AS method, n::BIGINT AS n, round(r,6) AS r, round(p,6) AS p_value,
