@@ -4,13 +4,18 @@ A paragraph is a line with a word; its digest is a 64-bit hash. A sketch has thr
 a text is in one cell of each: a cell holds how many digests fell into it, their exclusive or, and the exclusive or
 of their check hashes. Sketches of two versions are subtracted cell by cell, so what both have vanishes. Peeling
 finds cells with exactly one digest left (count 1 or -1 and a fitting check hash), takes these out of their other
-cells, and goes on; if nothing remains, all digests that differ have been recovered. If peeling gets stuck, the
-sketch is built again four times as large, at most `RETRIES` times (lazily: `coalesce` stops at the first success);
-what is stuck even then is compared by its digests. Long texts are cut into sections by the digest first, so that the
-work of a pair grows little faster than its paragraphs.
+cells, and goes on; if nothing remains, all digests that differ have been recovered.
+
+A fingerprint deals the digests to sections by hash, a power of two of them and at most `SECTION` digests each on
+average, so work and size are in proportion to the paragraphs. Every section is one sketch, built again four times as
+large until it can be peeled by itself (at most `RETRIES` times; what is stuck even then lists its digests). It
+depends on the text's set of paragraphs only. Sections and cells are nested: neighbouring sections, and cells at equal
+distance, add up to those of a smaller fingerprint. So any two published fingerprints can be compared: both are
+brought to the smaller number of sections and to `CELLS` cells, subtracted and peeled; where too many digests differ for
+that, both sides' sections are peeled at their full published size, which always recovers all.
 
 The likeness of two fingerprints is the Jaccard similarity of their digests: with d recovered differences,
-(|A| + |B| - d) / (|A| + |B| + d).
+(|A| + |B| - d) / (|A| + |B| + d). `likeness` and `changes` need nothing but fingerprints (`parsed` reads published ones).
 
 `versions` pairs every document with its successor by id without a global sort: ids are dealt into ranges, each range
 is ordered by itself, and the first ids of the ranges close the gaps. Texts are shuffled once by id, and half of
@@ -31,13 +36,15 @@ from autostat.llm.text import let, total, whole
 from autostat.sources.checkpoints import cut_lineage
 
 TABLES = 3
-#: Cells of a table in the published sketch and on the first try of a comparison.
+#: Cells of a table on the first try, and in a comparison.
 CELLS = 8
 RETRIES = 3
-#: Digests of both texts in a section, about.
-SECTION = 32
+#: Digests of a text in a section, at most, on average.
+SECTION = 8
 ROUNDS = 24
 CHECK = 77
+#: Sections are cut out of a range of so many hash values.
+RANGE = 1 << 30
 
 
 def digests(text: Column) -> Column:
@@ -46,11 +53,15 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
-def placed(keys: Column, cells: int) -> Column:
+def number(x: int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def placed(keys: Column, cells: int | Column) -> Column:
     """Each digest with its check hash and its cells."""
 
     def spots(k: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(k, F.lit(j)), F.lit(cells)).cast("int").alias(f"p{j}") for j in range(TABLES)]
+        return [F.pmod(F.xxhash64(k, F.lit(j)), number(cells)).cast("int").alias(f"p{j}") for j in range(TABLES)]
 
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(CHECK)).alias("c"), *spots(k)))
 
@@ -59,14 +70,14 @@ def cell(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
 
 
-def sketch(keys: Column, cells: int) -> Column:
+def sketch(keys: Column, cells: int | Column) -> Column:
     """All cells, table after table."""
     empty = cell(F.lit(0), F.lit(0), F.lit(0))
 
     def table(of: Column, j: int) -> Column:
         add = lambda a, x: cell(a["n"] + 1, a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))
         one = lambda i: F.aggregate(of, empty, lambda a, x: F.when(x[f"p{j}"] == i, add(a, x)).otherwise(a))
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), one)
+        return F.transform(F.sequence(F.lit(0), number(cells) - 1), one)
 
     return let(placed(keys, cells), lambda of: F.concat(*[table(of, j) for j in range(TABLES)]))
 
@@ -75,8 +86,13 @@ def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
 
 
-def peeled(cells: Column, size: int) -> Column:
-    """Number of digests recovered from subtracted cells; null if some stay hidden."""
+def added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: cell(x["n"] + y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
+
+
+def peeled(cells: Column, size: int | Column) -> Column:
+    """The digests in a sketch or a difference of two, with their signs; null if some stay hidden."""
+    size = number(size)
 
     def pure(now: Column) -> Column:
         ones = F.filter(now, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"], F.lit(CHECK))))
@@ -97,45 +113,135 @@ def peeled(cells: Column, size: int) -> Column:
         return F.transform(placed(keys, size), lambda y: F.struct(y["k"].alias("k"), y["c"].alias("c"), *spots(y), sign(y["k"]).alias("n")))
 
     def step(state: Column, _: Column) -> Column:
-        go_on = lambda keys: F.when(F.size(keys) == 0, state).otherwise(
-            F.struct(
-                let(with_sign(state["now"], keys), lambda out: without(state["now"], out)).alias("now"),
-                (state["found"] + F.size(keys)).cast("long").alias("found"),
-            )
-        )
+        def taken(out: Column) -> Column:
+            found = F.concat(state["found"], F.transform(out, lambda y: digest(y["k"], y["n"])))
+            return F.struct(without(state["now"], out).alias("now"), found.alias("found"))
+
+        go_on = lambda keys: F.when(F.size(keys) == 0, state).otherwise(let(with_sign(state["now"], keys), taken))
         return let(pure(state["now"]), go_on)
 
-    start = F.struct(cells.alias("now"), F.lit(0).cast("long").alias("found"))
+    nothing = F.array().cast("array<struct<k:bigint,n:bigint>>")
+    start = F.struct(cells.alias("now"), nothing.alias("found"))
     empty = lambda now: ~F.exists(now, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s["now"]), s["found"]))
 
 
-def differences(a: Column, b: Column) -> Column:
-    """How many digests are in one of the arrays only, from their sketches."""
+def digest(k: Column, n: Column) -> Column:
+    return F.struct(k.cast("long").alias("k"), n.cast("long").alias("n"))
+
+
+def section(size: Column, cells: Column) -> Column:
+    return F.struct(size.cast("int").alias("size"), cells.alias("cells"))
+
+
+def sketched(keys: Column) -> Column:
+    """A section: the smallest sketch that can be peeled by itself. Size 0: one cell for each digest."""
+    fits = lambda s: let(sketch(keys, s), lambda c: F.when(peeled(c, s).isNotNull(), section(s, c)))
+    sizes = F.array(*[F.lit(CELLS * 4**i) for i in range(RETRIES + 1)])
+    none = F.lit(None).cast("struct<size:int,cells:array<struct<n:bigint,k:bigint,c:bigint>>>")
+    tried = F.aggregate(sizes, none, lambda done, s: F.when(done.isNull(), fits(s)).otherwise(done))
+    each = F.transform(F.sort_array(keys), lambda k: cell(F.lit(1), k, F.xxhash64(k, F.lit(CHECK))))
+    return F.coalesce(tried, section(F.lit(0), each))
+
+
+def sections(keys: Column) -> Column:
+    """The fingerprint of distinct digests: an array of sections. Digests are sorted by section once and cut there."""
+    wanted = F.size(keys) / SECTION
+    many = F.when(wanted <= 1, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(wanted)))).cast("int")
+
+    def cut(n: Column) -> Column:
+        place = lambda k: F.floor(F.pmod(F.xxhash64(k, F.lit(CHECK + 1)), F.lit(RANGE)) * n / RANGE).cast("int")
+        entry = lambda g, k: F.struct(g.alias("g"), k.alias("k"))
+        # An entry without digest opens each section, also an empty one; nulls sort first.
+        opened = F.transform(F.sequence(F.lit(0), n - 1), lambda g: entry(g, F.lit(None).cast("long")))
+        rows = F.sort_array(F.concat(opened, F.transform(keys, lambda k: entry(place(k), k))))
+
+        def sliced(row: Column) -> Column:
+            at = F.filter(F.transform(row, lambda x, i: F.when(x["k"].isNull(), i + 1)), lambda i: i.isNotNull())
+
+            def part(ends: Column) -> Column:
+                length = lambda i, g: F.get(ends, g + 1) - i - 1
+                part_of = lambda i, g: F.transform(F.slice(row, i + 1, length(i, g)), lambda x: x["k"])
+                return F.transform(F.slice(ends, F.lit(1), n), part_of)
+
+            return let(F.concat(at, F.array(F.size(row) + 1)), part)
 
-    def tried(x: Column, y: Column) -> Column:
-        sizes = [CELLS * 4**i for i in range(RETRIES + 1)]
-        tries = [peeled(subtracted(sketch(x, s), sketch(y, s)), s) for s in sizes]
-        hidden = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
-        return F.coalesce(*tries, hidden.cast("long"))
+        return let(rows, sliced)
 
-    sections = F.greatest(F.ceil((F.size(a) + F.size(b)) / SECTION), F.lit(1)).cast("int")
-    part = lambda keys, g: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(CHECK + 1)), sections) == g)
-    each = lambda g: let(part(a, g), lambda x: let(part(b, g), lambda y: tried(x, y)))
-    return total(F.transform(F.sequence(F.lit(0), sections - 1), each))
+    return let(many, lambda n: F.transform(F.when(n == 1, F.array(keys)).otherwise(cut(n)), sketched))
+
+
+def listed(members: Column) -> Column:
+    """All digests of sections, each peeled by itself."""
+    one = lambda m: F.when(m["size"] == 0, F.transform(m["cells"], lambda x: digest(x["k"], x["n"]))).otherwise(peeled(m["cells"], m["size"]))
+    return F.transform(F.flatten(F.transform(members, one)), lambda x: x["k"])
+
+
+def narrowed(m: Column) -> Column:
+    """A section's cells, added up to `CELLS` a table (not of a section that lists its digests)."""
+    none = cell(F.lit(0), F.lit(0), F.lit(0))
+    at = lambda i, j: (F.floor(i / CELLS) * m["size"] + j * CELLS + i % CELLS + 1).cast("int")
+    plus = lambda a, x: cell(a["n"] + x["n"], a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))
+    folds = F.sequence(F.lit(0), (m["size"] / CELLS - 1).cast("int"))
+    fold = lambda i: F.aggregate(folds, none, lambda a, j: plus(a, F.element_at(m["cells"], at(i, j))))
+    folded = F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), fold)
+    return F.when(m["size"] == CELLS, m["cells"]).otherwise(folded)
+
+
+def merged(members: Column) -> Column:
+    """One sketch of `CELLS` a table for several sections; null if one of them lists its digests."""
+    none = cell(F.lit(0), F.lit(0), F.lit(0))
+    start = F.array_repeat(none, TABLES * CELLS)
+    return F.aggregate(members, start, lambda a, m: F.when(m["size"] > 0, added(a, narrowed(m))))
+
+
+def changes(a: Column, b: Column) -> Column:
+    """The digests that are in one of two fingerprints only: n is 1 in the first, -1 in the second."""
+
+    def only(x: Column, y: Column, sign: int) -> Column:
+        return F.transform(F.array_except(x, y), lambda k: digest(k, F.lit(sign)))
+
+    def compared(pair: Column) -> Column:
+        """Of an array of both sides' sections; each step is written once for both sides."""
+        small = let(F.transform(pair, merged), lambda m: peeled(subtracted(m[0], m[1]), CELLS))
+        full = let(F.transform(pair, listed), lambda k: F.concat(only(k[0], k[1], 1), only(k[1], k[0], -1)))
+        return F.coalesce(small, full)
+
+    def each(n: Column) -> Column:
+        of = lambda s, g: F.slice(s, (g * F.size(s) / n + 1).cast("int"), (F.size(s) / n).cast("int"))
+        one = lambda g: let(F.array(of(a, g), of(b, g)), compared)
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), one))
+
+    return let(F.least(F.size(a), F.size(b)), each)
+
+
+def held(fingerprint: Column) -> Column:
+    """Number of digests: the counts of each section's first table."""
+    count = lambda m: total(F.transform(F.when(m["size"] == 0, m["cells"]).otherwise(F.slice(m["cells"], F.lit(1), m["size"])), lambda x: x["n"]))
+    return total(F.transform(fingerprint, count))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two texts' digests, by way of their sketches."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(let(differences(a, b), lambda d: (both - d) / (both + d)))
+    """Jaccard similarity of the digests of two fingerprints."""
+    alike = lambda n: F.when(n == 0, F.lit(1.0)).otherwise(let(F.size(changes(a, b)), lambda d: (n - d) / (n + d)))
+    return let(held(a) + held(b), alike)
+
+
+def published(fingerprint: Column) -> Column:
+    """The fingerprint as text: sections with their size; count, digests and checks of each cell (0: an empty one)."""
+    digits = lambda x: F.lower(F.hex(x))
+    full = lambda x: F.concat_ws(".", x["n"].cast("string"), digits(x["k"]), digits(x["c"]))
+    line = lambda x: F.when((x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0), F.lit("0")).otherwise(full(x))
+    one = lambda m: F.concat(m["size"].cast("string"), F.lit(":"), F.array_join(F.transform(m["cells"], line), ","))
+    return F.array_join(F.transform(fingerprint, one), ";")
 
 
-def published(keys: Column, cells: int = CELLS) -> Column:
-    """The sketch as text: count, digests and checks of every cell."""
-    number = lambda x: F.lpad(F.hex(x), 16, "0")
-    line = lambda x: F.concat_ws(".", x["n"].cast("string"), number(x["k"]), number(x["c"]))
-    return F.array_join(F.transform(sketch(keys, cells), line), ",")
+def parsed(text: Column) -> Column:
+    """The fingerprint of a published text."""
+    value = lambda x, i: F.conv(F.get(x, F.lit(i)), 16, -10).cast("long")
+    read = lambda x: let(F.split(x, r"\."), lambda p: F.when(F.size(p) == 3, cell(p[0], value(p, 1), value(p, 2))).otherwise(cell(F.lit(0), F.lit(0), F.lit(0))))
+    one = lambda x: section(F.substring_index(x, ":", 1), F.transform(F.split(F.substring_index(x, ":", -1), ","), read))
+    return F.transform(F.split(text, ";"), one)
 
 
 def successors(ids: DataFrame, order: list[str]) -> DataFrame:
@@ -184,9 +290,12 @@ def versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def fingerprinted(pairs: DataFrame) -> DataFrame:
-    """Of the rows of `versions`: sketches of both texts as text, and likenesses to the edited and the next one."""
-    keyed = pairs.select("doc_id", "text", "edited", "next_digests", digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"))
-    return keyed.select(
-        "doc_id", "text", "edited", published(F.col("own")).alias("fingerprint"), published(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_digests")).alias("near_next"),
+    """Of the rows of `versions`: fingerprints of both texts as text, and likenesses to the edited and the next one's."""
+    texts = F.array(digests(F.col("text")), digests(F.col("edited")), F.col("next_digests"))
+    cut = pairs.select("doc_id", "text", "edited", F.transform(texts, sections).alias("prints"))
+    own, others = F.col("prints")[0], F.slice("prints", 2, 2)
+    near = cut.select(
+        "doc_id", "text", "edited", published(own).alias("fingerprint"), published(F.col("prints")[1]).alias("edited_fingerprint"),
+        F.transform(others, lambda x: likeness(own, x)).alias("near"),
     )
+    return near.select(*[c for c in near.columns if c != "near"], F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))
