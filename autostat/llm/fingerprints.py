@@ -58,10 +58,10 @@ def number(x: int | Column) -> Column:
 
 
 def placed(keys: Column, cells: int | Column) -> Column:
-    """Each digest with its check hash and its cells."""
+    """Each digest with its check hash and its cells, counted over all tables."""
 
     def spots(k: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(k, F.lit(j)), number(cells)).cast("int").alias(f"p{j}") for j in range(TABLES)]
+        return [(F.pmod(F.xxhash64(k, F.lit(j)), number(cells)).cast("int") + number(cells) * j).alias(f"p{j}") for j in range(TABLES)]
 
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(CHECK)).alias("c"), *spots(k)))
 
@@ -73,13 +73,14 @@ def cell(n: Column, k: Column, c: Column) -> Column:
 def sketch(keys: Column, cells: int | Column) -> Column:
     """All cells, table after table."""
     empty = cell(F.lit(0), F.lit(0), F.lit(0))
+    add = lambda a, x: cell(a["n"] + 1, a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))
+    one = lambda of, i: F.aggregate(of, empty, lambda a, x: F.when(within(x, i), add(a, x)).otherwise(a))
+    return let(placed(keys, cells), lambda of: F.transform(F.sequence(F.lit(0), number(cells) * TABLES - 1), lambda i: one(of, i)))
 
-    def table(of: Column, j: int) -> Column:
-        add = lambda a, x: cell(a["n"] + 1, a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))
-        one = lambda i: F.aggregate(of, empty, lambda a, x: F.when(x[f"p{j}"] == i, add(a, x)).otherwise(a))
-        return F.transform(F.sequence(F.lit(0), number(cells) - 1), one)
 
-    return let(placed(keys, cells), lambda of: F.concat(*[table(of, j) for j in range(TABLES)]))
+def within(x: Column, i: Column) -> Column:
+    """Whether a placed digest is in cell i."""
+    return (x["p0"] == i) | (x["p1"] == i) | (x["p2"] == i)
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -90,21 +91,20 @@ def added(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: cell(x["n"] + y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
 
 
+def pure(now: Column) -> Column:
+    """Digests that have a cell for themselves."""
+    ones = F.filter(now, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"], F.lit(CHECK))))
+    return F.array_distinct(F.transform(ones, lambda x: x["k"]))
+
+
 def peeled(cells: Column, size: int | Column) -> Column:
     """The digests in a sketch or a difference of two, with their signs; null if some stay hidden."""
     size = number(size)
 
-    def pure(now: Column) -> Column:
-        ones = F.filter(now, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"], F.lit(CHECK))))
-        return F.array_distinct(F.transform(ones, lambda x: x["k"]))
-
     def without(now: Column, out: Column) -> Column:
-        def left(x: Column, i: Column) -> Column:
-            here = lambda y: F.element_at(F.array(*[y[f"p{j}"] for j in range(TABLES)]), (F.floor(i / size) + 1).cast("int")) == i % size
-            # A pure cell's sign is its own count; elsewhere the digest leaves with the sign it has there.
-            less = lambda a, y: cell(a["n"] - y["n"], a["k"].bitwiseXOR(y["k"]), a["c"].bitwiseXOR(y["c"]))
-            return F.aggregate(out, x, lambda a, y: F.when(here(y), less(a, y)).otherwise(a))
-
+        # A pure cell's sign is its own count; elsewhere the digest leaves with the sign it has there.
+        less = lambda a, y: cell(a["n"] - y["n"], a["k"].bitwiseXOR(y["k"]), a["c"].bitwiseXOR(y["c"]))
+        left = lambda x, i: F.aggregate(out, x, lambda a, y: F.when(within(y, i), less(a, y)).otherwise(a))
         return F.transform(now, left)
 
     def with_sign(now: Column, keys: Column) -> Column:
@@ -115,13 +115,14 @@ def peeled(cells: Column, size: int | Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         def taken(out: Column) -> Column:
             found = F.concat(state["found"], F.transform(out, lambda y: digest(y["k"], y["n"])))
-            return F.struct(without(state["now"], out).alias("now"), found.alias("found"))
+            return F.struct(without(state["now"], out).alias("now"), found.alias("found"), F.lit(False).alias("done"))
 
-        go_on = lambda keys: F.when(F.size(keys) == 0, state).otherwise(let(with_sign(state["now"], keys), taken))
-        return let(pure(state["now"]), go_on)
+        stop = F.struct(state["now"], state["found"], F.lit(True).alias("done"))
+        go_on = lambda keys: F.when(F.size(keys) == 0, stop).otherwise(let(with_sign(state["now"], keys), taken))
+        return F.when(state["done"], state).otherwise(let(pure(state["now"]), go_on))
 
     nothing = F.array().cast("array<struct<k:bigint,n:bigint>>")
-    start = F.struct(cells.alias("now"), nothing.alias("found"))
+    start = F.struct(cells.alias("now"), nothing.alias("found"), F.lit(False).alias("done"))
     empty = lambda now: ~F.exists(now, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s["now"]), s["found"]))
 
@@ -136,7 +137,9 @@ def section(size: Column, cells: Column) -> Column:
 
 def sketched(keys: Column) -> Column:
     """A section: the smallest sketch that can be peeled by itself. Size 0: one cell for each digest."""
-    fits = lambda s: let(sketch(keys, s), lambda c: F.when(peeled(c, s).isNotNull(), section(s, c)))
+    # Where each digest has a cell for itself, the first round takes all.
+    peels = lambda c, s: F.when(F.size(pure(c)) == F.size(keys), F.lit(True)).otherwise(peeled(c, s).isNotNull())
+    fits = lambda s: let(sketch(keys, s), lambda c: F.when(peels(c, s), section(s, c)))
     sizes = F.array(*[F.lit(CELLS * 4**i) for i in range(RETRIES + 1)])
     none = F.lit(None).cast("struct<size:int,cells:array<struct<n:bigint,k:bigint,c:bigint>>>")
     tried = F.aggregate(sizes, none, lambda done, s: F.when(done.isNull(), fits(s)).otherwise(done))
