@@ -394,3 +394,31 @@ def test_words_of_latin_texts():
     for _ in range(20_000):
         text = "".join(rng.choice(odd) if rng.random() < 0.8 else chr(rng.randrange(256)) for _ in range(9))
         assert latin.findall(text) == every.findall(text)
+
+
+def test_stored_fingerprints_name_the_changed_paragraphs(spark):
+    """Published texts are enough: they give the digests that differ and the likeness, for any sizes of both."""
+    lines = lambda n, tag="line": [f"{tag} {i}" for i in range(n)]
+    pairs = [([], []), ([], ["a"]), (["a", "a", " "], ["a"]), (lines(40), lines(40)[:-1] + ["new"]), (lines(9), lines(200)),
+             (lines(300), lines(150) + lines(90, "other")), (lines(12), lines(12, "other"))]
+    docs = spark.createDataFrame([("\n".join(a), "\n".join(b)) for a, b in pairs], "a string, b string")
+    keyed = docs.select("a", "b", *[fingerprints.digests(F.col(c)).alias(f"d{c}") for c in "ab"])
+    cut = keyed.select("*", *[fingerprints.published(fingerprints.sections(F.col(f"d{c}"))).alias(f"p{c}") for c in "ab"])
+    read = cut.select("*", *[fingerprints.parsed(F.col(f"p{c}")).alias(f"s{c}") for c in "ab"])
+    got = read.select("a", "b", "da", "db", fingerprints.changes(F.col("sa"), F.col("sb")).alias("d"), fingerprints.likeness(F.col("sa"), F.col("sb")).alias("near"))
+    for r in got.collect():
+        a, b = set(r["da"]), set(r["db"])
+        assert {(x["k"], x["n"]) for x in r["d"]} == {(k, 1) for k in a - b} | {(k, -1) for k in b - a}
+        assert len(r["d"]) == len(a ^ b)
+        assert r["near"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_sections_that_cannot_be_peeled_list_their_digests(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RETRIES", 0)
+    monkeypatch.setattr(fingerprints, "SECTION", 40)
+    docs = spark.createDataFrame([(list(range(1, 40)), list(range(20, 90))), ([5], list(range(60)))], "a array<bigint>, b array<bigint>")
+    cut = docs.select("a", "b", *[fingerprints.sections(F.col(c)).alias(f"s{c}") for c in "ab"])
+    for r in cut.select("a", "b", "sa", "sb", fingerprints.likeness(F.col("sa"), F.col("sb")).alias("near")).collect():
+        a, b = set(r["a"]), set(r["b"])
+        assert any(s["size"] == 0 for s in [*r["sa"], *r["sb"]])
+        assert r["near"] == pytest.approx(len(a & b) / len(a | b))
