@@ -21,6 +21,8 @@ from autostat.functions.columns import number, require_columns
 from autostat.operators.order import Layout, Ties, attach, bucket_rows, plan_layout, spread
 
 MAX_DIFFERENCES = 2
+# Rows of a series one task may place or look back over: a row is held in several orders and four differences at once.
+SERIES_ROWS = 100_000
 # Lagged cells one task may look at.
 LAG_CELLS = 50_000_000
 # More lags than this are taken by fast Fourier transforms of blocks of so many rows.
@@ -51,13 +53,18 @@ def time_axis(df: DataFrame, time: str) -> Column:
     return F.unix_micros(F.try_to_timestamp(F.col(time).cast("string"))).cast("double")
 
 
+def series_rows(df: DataFrame) -> int:
+    """Rows of one bucket or chunk of a series (no more than the session's bucket)."""
+    return min(bucket_rows(df), SERIES_ROWS)
+
+
 def _tied_times(rows: DataFrame, value: str, layout: Layout) -> Ties | None:
     """Times that more rows share than one task should order (at most rows / limit of them), cut by `value`."""
     found = rows.groupBy("__t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > layout.limit).select("__t").collect()
     points = tuple(sorted(r[0] for r in found))
     if not points:
         return None
-    return Ties(points, value, plan_layout(rows.where(F.col("__t").isin(list(points))), value))
+    return Ties(points, value, plan_layout(rows.where(F.col("__t").isin(list(points))), value, limit=layout.limit))
 
 
 def place(df: DataFrame, time: str, values: Sequence[str], keys: Sequence[str] = ()) -> Series:
@@ -66,7 +73,7 @@ def place(df: DataFrame, time: str, values: Sequence[str], keys: Sequence[str] =
     require_columns(df, [*keys, time, *values])
     rows = df.select(*keys, time_axis(df, time).alias("__t"), *[number(df, c).alias(c) for c in values])
     rows = rows.dropna(how="any", subset=["__t", *values])
-    layout = plan_layout(rows, "__t")
+    layout = plan_layout(rows, "__t", limit=series_rows(rows))
     if layout.single:
         order = Window.partitionBy(*keys).orderBy("__t", *values)
         placed = rows.withColumn("pos", F.row_number().over(order).cast("long"))
@@ -82,7 +89,7 @@ def place(df: DataFrame, time: str, values: Sequence[str], keys: Sequence[str] =
 def chunked(series: Series, halo: int) -> DataFrame:
     """Add `chunk` and `own`: rows near the end of a chunk are repeated, not own, in the next one."""
     # Long halos mean many lags per row: shorter chunks keep the work of one task bounded.
-    size = max(halo, min(bucket_rows(series.frame), LAG_CELLS // (halo + 1)))
+    size = max(halo, min(series_rows(series.frame), LAG_CELLS // (halo + 1)))
     frame = series.frame
     if series.layout.rows <= size:
         return frame.withColumns({"chunk": F.lit(0).cast("long"), "own": F.lit(True)})

@@ -287,3 +287,12 @@ def test_shared_timestamps_are_cut_too(spark, keys):
     want["pos"] = (want.groupby(keys).cumcount() if keys else np.arange(n)) + 1
     assert np.allclose(got.sort_values([*keys, "pos"]).y, want.sort_values([*keys, "pos"]).y)
     assert list(got.sort_values([*keys, "pos"]).pos) == list(want.sort_values([*keys, "pos"]).pos)
+
+
+def test_long_series_is_cut_below_a_sorting_bucket(spark):
+    """A quarter of a million rows fit one sorting bucket, but are more than one task may hold in lags and differences."""
+    s = sr.place(spark.range(250_000).selectExpr("249999 - id AS t", "CAST(id % 7 AS DOUBLE) AS y"), "t", ["y"])
+    assert not s.layout.single and s.layout.buckets >= 3
+    chunks = sr.chunked(s, 12).selectExpr("*", "IF(own, 1, 0) AS one").groupBy("chunk").agg({"one": "sum", "pos": "max"}).collect()
+    assert len(chunks) >= 3 and max(r["sum(one)"] for r in chunks) <= 100_000 and max(r["max(pos)"] for r in chunks) == 250_000
+    assert s.frame.where("y != (250000 - pos) % 7").count() == 0
