@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from autostat.operators import compare, order
+from autostat.operators import compare, correlate, order
 from autostat.operators.correlate import spearman
 from autostat.operators.describe import describe, group_moments
 from autostat.operators.normality import normality
@@ -110,6 +110,46 @@ def test_spearman_matches_pandas(spark, buckets):
         assert row.r == pytest.approx(x.v.rank().corr(x.w.rank()), abs=1e-9)
 
 
+@pytest.mark.parametrize("looked_up", [100_000, 30, 0])
+def test_spearman_orders_the_outcome_once(spark, monkeypatch, looked_up):
+    """Predictors of few and many values, missing cells of their own, ties: one stored row per outcome value, not per pair."""
+    rng = np.random.default_rng(12)
+    n = 900
+    y = np.where(rng.random(n) < 0.2, 7.0, rng.integers(0, 150, n))
+    pdf = pd.DataFrame({
+        "k": rng.choice(["a", "b", None], n, p=[0.8, 0.15, 0.05]), "y": y, "few": rng.integers(0, 5, n) + (y > 90),
+        "many": np.round(rng.normal(size=n) - y / 60, 2), "same": 1.0, "none": np.nan,
+    })
+    pdf.loc[rng.random(n) < 0.3, "few"] = np.nan
+    pdf.loc[rng.random(n) < 0.2, "many"] = np.nan
+    pdf.loc[rng.random(n) < 0.1, "y"] = np.nan
+    stored, cut = [], correlate.cut_lineage
+    monkeypatch.setattr(correlate, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    monkeypatch.setattr(correlate, "LOOKUP_VALUES", looked_up, raising=False)
+    schema = ", ".join(["k string", *[f"{c} double" for c in pdf.columns[1:]]])
+    rows = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), schema)
+    spark.conf.set("spark.autostat.bucketRows", "40")
+    try:
+        xs = ["few", "many", "same", "none"]
+        alone = {r.variable: r for r in spearman(rows, "y", xs).collect()}
+        keyed = spearman(rows, "y", xs, ["k"]).collect()
+    finally:
+        spark.conf.unset("spark.autostat.bucketRows")
+
+    def check(row, part):
+        both = part[["y", row.variable]].dropna()
+        r = both.y.rank().corr(both[row.variable].rank()) if row.variable != "same" else 0.0
+        assert row.n == len(both) and row.r == pytest.approx(r, abs=1e-12)
+
+    assert set(alone) == {"few", "many", "same"} and len(keyed) == 9
+    for row in alone.values():
+        check(row, pdf)
+    for row in keyed:
+        check(row, pdf[pdf.k.isna() if row.k is None else pdf.k == row.k])
+    of_y, of_x = pdf.drop_duplicates(["k", "y"]), pdf.melt(["k"], ["few", "many", "same"]).drop_duplicates()
+    assert max(df.count() for df in stored) <= max(len(of_y), len(of_x))
+
+
 def test_rank_sum_invariants(spark, orders):
     ordered = ordered_counts(orders, "o_totalprice", (), ["o_orderstatus"])
     sums = compare.rank_sums(ordered, "o_orderstatus").toPandas()
