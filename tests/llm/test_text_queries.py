@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -154,6 +156,18 @@ def test_repeats_in_small_blocks(odd_docs, no_docs):
     assert repeats.without_repeats(odd_docs).count() == 15 and repeats.without_repeats(no_docs).count() == 0
 
 
+def test_digits_in_several_blocks_take_one_sort():
+    rng = np.random.default_rng(3)
+    few = [rng.integers(0, 40, n, dtype=np.uint64) for n in (0, 5, 1, 30, 0, 12)]
+    times = collections.Counter(np.concatenate(few).tolist())
+    assert [np.frombuffer(b, np.uint64).tolist() for b in repeats.in_several(few)] == [[x for x in f.tolist() if times[x] > 1] for f in few]
+    pool = rng.integers(0, 1 << 56, 10**6, dtype=np.uint64)
+    blocks = [rng.choice(pool, 2000) for _ in range(1000)]  # with a search for each block this takes minutes
+    began = time.process_time()
+    repeats.in_several(blocks)
+    assert time.process_time() - began < 10
+
+
 def test_scores(spark, texts):
     r = result(spark, "op6_lm_scoring")
     tokens = {i: [*words(t), b""] for i, t in texts.items()}
