@@ -156,6 +156,25 @@ def test_repeats_in_small_blocks(odd_docs, no_docs):
     assert repeats.without_repeats(odd_docs).count() == 15 and repeats.without_repeats(no_docs).count() == 0
 
 
+def test_groups_of_digits_grow_with_the_blocks():
+    assert [repeats.group_bits(n) for n in (0, 1, 68, 1024, 1025, 4096, 1 << 30)] == [8, 8, 8, 8, 9, 10, 16]
+    digits = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 3000, dtype=np.uint64))
+    for bits in (8, 10, 16):
+        t = repeats.sent(digits, bits)
+        assert len(t) == len(set((digits >> np.uint64(64 - bits)).tolist())) and not len(repeats.sent(digits[:0], bits))
+        back = np.concatenate([repeats.received(g, d, bits) for g, d in zip(t["group"], t["digits"], strict=True)])
+        assert np.array_equal(back, repeats.cut_digits(digits, bits)) and len(set(back.tolist())) == 3000
+
+
+def test_ranges_join_inside_one_text():
+    ends = np.array([0, 5, 5, 9, 20])
+    starts, stops = np.array([12, 7, 3, 1, 5, 10, 16]), np.array([14, 9, 5, 3, 6, 13, 18])
+    joined, cuts = repeats.joined_up(starts, stops, ends)
+    assert joined.tolist() == [[1, 5], [5, 6], [7, 9], [10, 14], [16, 18]] and cuts.tolist() == [0, 1, 1, 3, 5]
+    none = np.empty(0, np.int64)
+    assert repeats.joined_up(none, none, ends)[1].tolist() == [0] * 5
+
+
 def test_digits_in_several_blocks_take_one_sort():
     rng = np.random.default_rng(3)
     few = [rng.integers(0, 40, n, dtype=np.uint64) for n in (0, 5, 1, 30, 0, 12)]
